@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from .bpe_codec import op6_byte_bpe
+from .chat import OP7_SQL, op7_chat_format
+from .hamming import OP2_SQL, op2_hamming_top_k
 from .packing import op4_best_fit_packing
 from .token_counts import op3_token_counts
+from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op2_hamming_top_k": op2_hamming_top_k,
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_url_filter": op5_url_filter,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_chat_format": op7_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_hamming_top_k": OP2_SQL,
+    "op5_url_filter": OP5_SQL,
+    "op7_chat_format": OP7_SQL,
+}
