@@ -7,6 +7,7 @@ from .chat import OP7_SQL, op7_chat_format
 from .hamming import OP2_SQL, op2_hamming_top_k
 from .packing import op4_best_fit_packing
 from .token_counts import op3_token_counts
+from .toxicity import op8_toxicity_crf
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat_format": op7_chat_format,
+    "op8_toxicity_crf": op8_toxicity_crf,
 }
 
 ORACLE_SQL = {
