@@ -34,59 +34,64 @@ def _decoder(path: str):
     return _DECODERS[path]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", engine: str = "duckdb") -> DataFrame:
-    """``id_col`` and ``ids`` (array of int): the whole text's token ids."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoded(batches: Batches, path: str, engine: str) -> Batches:
+    c = coder(engine, path)
+    for batch in batches:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        for a, ids, bounds in c.batches(texts):
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(bounds) - 1), lists], names=[batch.schema.names[0], "ids"])
+
+
+def _decoded(batches: Batches, path: str) -> Batches:
+    d = _decoder(path)
+    for batch in batches:
+        lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        step = 0
+        while step < len(lists):
+            stop = max(step + 1, int(np.searchsorted(bounds, bounds[step] + 1_000_000, "right")) - 1)
+            ids = np.asarray(lists.values)[bounds[step] : bounds[stop]]
+            data = d.decode(ids, bounds[step : stop + 1] - bounds[step])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(step, stop - step), lists.slice(step, stop - step), pa.array(data, pa.binary())], names=[batch.schema.names[0], "ids", "bytes"])
+            step = stop
+
+
+def _digested(batches: Batches) -> Batches:
+    for batch in batches:
+        lists = batch.column(1)
+        bounds = np.asarray(lists.offsets).tolist()
+        raw = np.asarray(lists.values).astype("<u4").tobytes()
+        ids = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        text = [hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(ids), pa.array(text)], names=[batch.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(engine, ranks_path)
-        for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, ids, bounds in c.batches(texts):
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([keys.slice(a, len(bounds) - 1), lists], names=[id_col, "ids"])
 
+def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", engine: str = "duckdb") -> DataFrame:
+    """``id_col`` and ``ids`` (array of int): the whole text's token ids."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lambda b: _encoded(b, ranks_path, engine), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col``, ``ids`` and ``bytes`` (binary): the bytes that the ids stand for; a null list counts as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = _decoder(ranks_path)
-        for batch in batches:
-            lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
-            bounds = np.asarray(lists.offsets).astype(np.int64)
-            step = 0
-            while step < len(lists):
-                stop = max(step + 1, int(np.searchsorted(bounds, bounds[step] + 1_000_000, "right")) - 1)
-                ids = np.asarray(lists.values)[bounds[step] : bounds[stop]]
-                data = d.decode(ids, bounds[step : stop + 1] - bounds[step])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(step, stop - step), lists.slice(step, stop - step), pa.array(data, pa.binary())], names=[id_col, "ids", "bytes"])
-                step = stop
-
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, bytes binary")
-
+    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(lambda b: _decoded(b, ranks_path), f"`{id_col}` {kind}, ids array<int>, bytes binary")
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and SHA-256 digests of ids (little-endian unsigned 32-bit) and bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            bounds = np.asarray(lists.offsets).tolist()
-            raw = np.asarray(lists.values).astype("<u4").tobytes()
-            ids = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            text = [hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(ids), pa.array(text)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = decoded.schema[id_col].dataType.simpleString()
-    return decoded.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts and SHA-256 digests of ids (little-endian unsigned 32-bit) and of decoded bytes; the
+    encoder and the decoder run in one worker, batch by batch, so ids never leave it."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lambda b: _digested(_decoded(_encoded(b, ranks_path, "duckdb"), ranks_path)), schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return digests(decode_ids(encode_documents(read(spark, sf_dir, "documents"), path), path))
+    return round_trip(read(spark, sf_dir, "documents"), path)

@@ -96,7 +96,7 @@ class WordCoder:
     bounded whatever the vocabulary of the corpus.
     """
 
-    def __init__(self, merge_words: Callable[[list[str]], list], max_words: int = 2_000_000) -> None:
+    def __init__(self, merge_words: Callable[[list[str]], list], max_words: int = 600_000) -> None:
         self.merge_words, self.max_words = merge_words, max_words
         self.hasher = SpanHasher()
         self._reset()

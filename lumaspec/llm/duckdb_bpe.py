@@ -19,7 +19,7 @@ from .bytebpe import read_ranks
 from .common import HashIndex, SpanHasher, mix64
 
 #: Symbols (bytes of words) that one recursive query takes at a time; bounds its memory.
-BLOCK_SYMBOLS = 400_000
+BLOCK_SYMBOLS = 150_000
 
 _ENCODE = """
 WITH RECURSIVE step(turn, word, pos, id) AS (
@@ -54,7 +54,7 @@ FROM tokens t JOIN vocab v ON v.id = t.id GROUP BY t.segment
 def _connection(path: str):
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "preserve_insertion_order": False})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
     atexit.register(con.close)
     ranks = read_ranks(path)
     a, b, rank = [], [], []
@@ -119,7 +119,7 @@ class SegmentDecoder:
     """Bytes of id sequences. Sequences are cut before tokens that begin with a
     blank, and each distinct segment is decoded once by an ordered aggregation."""
 
-    def __init__(self, path: str, max_segments: int = 2_000_000) -> None:
+    def __init__(self, path: str, max_segments: int = 500_000) -> None:
         ranks = read_ranks(path)
         self.con, self.max_segments = _connection(path), max_segments
         top = max(ranks.values()) + 1
