@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .bytebpe import LETTER, NUMBER, char_classes, code_points
 from .common import SpanHasher, mix64, read
 
-PER_CLASS, SAMPLE_CHARS = 2_000, 16_000_000
+PER_CLASS, SAMPLE_CHARS = 2_000, 8_000_000
 LEAST_G = 12.0
 BITS = 18
 EPOCHS = 40
@@ -85,6 +85,21 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return starts, ends, out, np.searchsorted(starts, np.concatenate([[0], ends_of]))
 
 
+def token_features(texts: list[str], chars: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and bounds as ``tokens`` gives them, block by block (one text is never cut)."""
+    parts, sizes, a = [], [], 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) <= chars):
+            size += len(texts[b])
+            b += 1
+        _, _, f, bounds = tokens(texts[a:b])
+        parts.append(f)
+        sizes.append(np.diff(bounds))
+        a = b
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
 class Chain:
     """Two states, 0 and 1 (toxic). ``weights``: a feature's share of state 1's log odds; ``moves[i, j]``: log weight of state j after i."""
 
@@ -96,7 +111,10 @@ class Chain:
     def emissions(self, features: np.ndarray) -> np.ndarray:
         w = self.weights.copy()
         w[0] = 0.0
-        return np.clip(self.bias + w[features].sum(axis=1), -30, 30)
+        out = np.full(len(features), self.bias)
+        for k in range(features.shape[1]):
+            out += w[features[:, k]]
+        return np.clip(out, -30, 30)
 
     def marginals(self, emission: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(state 1) of each token, and the (2, 2) sums of P(state i, then j)."""
@@ -134,12 +152,11 @@ class Chain:
         at = np.flatnonzero(inner)
         seen = np.bincount(labels[at - 1] * 2 + labels[at], minlength=4).reshape(2, 2).astype(float)
         size = 1 << BITS
-        flat = features.ravel()
         m1, m2 = np.zeros(size + 5), np.zeros(size + 5)
         for epoch in range(1, epochs + 1):
             p, joint = self.marginals(self.emissions(features), bounds)
             d = labels - p
-            g = np.concatenate([np.bincount(flat, np.repeat(d, KINDS), minlength=size) - l2 * self.weights, [d.sum()], (seen - joint).ravel() - l2 * self.moves.ravel()])
+            g = np.concatenate([sum(np.bincount(features[:, k], d, minlength=size) for k in range(KINDS)) - l2 * self.weights, [d.sum()], (seen - joint).ravel() - l2 * self.moves.ravel()])
             g[0] = 0.0
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
             step = rate * (m1 / (1 - 0.9**epoch)) / (np.sqrt(m2 / (1 - 0.99**epoch)) + 1e-8)
@@ -151,10 +168,9 @@ class Chain:
 def token_labels(features: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """1 for tokens of toxic texts with a feature that stands in them significantly more often."""
     doc = np.repeat(np.arange(len(toxic)), np.diff(bounds))
-    pairs = np.unique(doc[:, None] * (1 << BITS) + features[:, : KINDS - 1])
-    y = toxic[pairs >> BITS]
-    feature = pairs & ((1 << BITS) - 1)
-    a, b = (np.bincount(feature[y == c], minlength=1 << BITS).astype(float) for c in (1, 0))
+    a, b = np.zeros(1 << BITS), np.zeros(1 << BITS)  # documents of each class that hold a feature
+    for d, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        (a if toxic[d] else b)[np.unique(features[x:y, : KINDS - 1])] += 1
     n1, n0 = max(toxic.sum(), 1), max((1 - toxic).sum(), 1)
 
     def term(x, rate, size):
@@ -221,7 +237,7 @@ def fit_model(rows: list[tuple[str, int, int]], class_sizes: tuple[int, int]) ->
         chain.bias = -30.0
         return Model(chain, constant)
     for part in ([r for r in rows if r[2] != 1], rows):  # the curve comes from the first chain, tokens' odds from the last
-        _, _, features, bounds = tokens([r[0] for r in part])
+        features, bounds = token_features([r[0] for r in part])
         y = np.array([r[1] for r in part])
         chain = Chain()
         chain.fit(features, bounds, token_labels(features, bounds, y))
@@ -229,7 +245,7 @@ def fit_model(rows: list[tuple[str, int, int]], class_sizes: tuple[int, int]) ->
             unseen = [r for r in rows if r[2] == 1]
             if len({r[1] for r in unseen}) < 2:
                 unseen = rows
-            _, _, f, b = tokens([r[0] for r in unseen])
+            f, b = token_features([r[0] for r in unseen])
             y = np.array([r[1] for r in unseen])
             weight = np.where(y == 1, class_sizes[1] / max(1, y.sum()), class_sizes[0] / max(1, (1 - y).sum()))
             curve = _logistic(_document_values(chain.marginals(chain.emissions(f), b)[0], b), y, weight * len(y) / weight.sum())
