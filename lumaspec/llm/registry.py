@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_codec import op6_byte_bpe
 from .chat import OP7_SQL, op7_chat_format
 from .hamming import OP2_SQL, op2_hamming_top_k
+from .near_dedup import OP10_SQL, op10_minhash_odd_sketch
 from .packing import op4_best_fit_packing
 from .token_counts import op3_token_counts
 from .toxicity import op8_toxicity_crf
@@ -18,10 +19,12 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat_format": op7_chat_format,
     "op8_toxicity_crf": op8_toxicity_crf,
+    "op10_minhash_odd_sketch": op10_minhash_odd_sketch,
 }
 
 ORACLE_SQL = {
     "op2_hamming_top_k": OP2_SQL,
     "op5_url_filter": OP5_SQL,
     "op7_chat_format": OP7_SQL,
+    "op10_minhash_odd_sketch": OP10_SQL,
 }
