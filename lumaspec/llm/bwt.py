@@ -3,11 +3,11 @@
 A shard is a list of short byte strings. Its transform lists, for its suffixes
 in order, the symbol before each. The merged order of several shards is held as
 an interleave: the shard number of each place. One refinement walks through the
-interleave, takes each shard's next symbol and deals the places out by symbol;
-after h refinements the interleave is sorted by the first h symbols, and places
-whose first h symbols are equal form a block. No suffix is compared or sorted
-again. After ``depth`` refinements the blocks are the intervals of suffixes
-with a common prefix of that length.
+interleave, takes each shard's next two symbols and deals the places out by
+them; after h refinements the interleave is sorted by the first 2 * h symbols,
+and places whose first 2 * h symbols are equal form a block. No suffix is
+compared or sorted again. When ``depth`` symbols are reached the blocks are the
+intervals of suffixes with a common prefix of that length.
 """
 
 from __future__ import annotations
@@ -15,67 +15,82 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffixes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and preceding symbols of strings.
+def suffixes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Suffix order of strings.
 
-    ``data``: strings end to end as uint16, each byte plus 1 and a 0 after each
-    string; ``ends``: places of the zeros. Equal suffixes stand in the order of
+    ``data``: strings end to end as codes from 1 (under 256) with a 0 after
+    each; ``ends``: places of the zeros. Equal suffixes stand in the order of
     their strings.
     """
     n = len(data)
     stop = np.repeat(ends, np.diff(np.concatenate([[-1], ends])))  # of each place's string
-    room = stop - np.arange(n)
+    room = (stop - np.arange(n)).astype(np.int16)
     padded = np.concatenate([data, np.zeros(8, dtype=data.dtype)])
     key = np.zeros(n, dtype=np.uint64)
-    for j in range(7):  # 9 bits for a symbol
-        key = (key << np.uint64(9)) | np.where(room >= j, padded[j : j + n], 0).astype(np.uint64)
-    length, most = 7, int(room.max(initial=0)) + 1
+    for j in range(8):
+        key = (key << np.uint64(8)) | np.where(room >= j, padded[j : j + n], 0).astype(np.uint64)
+    length, most = 8, int(room.max(initial=0)) + 1
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         fresh = np.concatenate([[False], ordered[1:] != ordered[:-1]])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(fresh) + 1
+        rank = np.empty(n, dtype=np.uint64)
+        rank[order] = np.cumsum(fresh).astype(np.uint64) + np.uint64(1)
         if length >= most or fresh.sum() == n - 1:
             break
-        after = np.zeros(n, dtype=np.int64)
-        inside = room >= length
-        after[inside] = rank[np.flatnonzero(inside) + length]
-        key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
+        after = np.zeros(n, dtype=np.uint64)
+        inside = np.flatnonzero(room >= length)
+        after[inside] = rank[inside + length]
+        key = (rank << np.uint64(32)) | after
         length *= 2
-    before = np.concatenate([[0], data[:-1]]).astype(np.uint16)
-    return order, before[order]
+    return np.argsort((rank << np.uint64(32)) | np.arange(n, dtype=np.uint64))
 
 
-def merge(transforms: list[np.ndarray], strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the merged order of each shard's rows, shard after shard; block number of each merged place)."""
-    sizes = [len(t) for t in transforms]
-    n = sum(sizes)
+def two_before(data: np.ndarray, order: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Transform for steps of two symbols: the code of the two symbols before each suffix, 0 where its string has fewer."""
+    first = np.concatenate([[0], ends[:-1] + 1])
+    code = np.zeros(len(data), dtype=np.uint16)
+    code[2:] = data[:-2].astype(np.uint16) * np.uint16(base) + data[1:-1]
+    code[first] = 0
+    code[first + 1] = 0
+    return code[order]
+
+
+def merge(transforms: list[np.ndarray], last: list[np.ndarray], base: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the merged order of each shard's rows, shard after shard; block number of each merged place).
+
+    ``transforms``: of each shard, for steps of two symbols; ``last``: the last
+    symbol of each of its strings. Suffixes of no or one symbol keep their
+    places from the start; every refinement fixes two more symbols.
+    """
+    sizes, strings = [len(t) for t in transforms], [len(x) for x in last]
+    n, m = sum(sizes), sum(strings)
     symbols = np.concatenate(transforms)
     kind = np.uint8 if len(sizes) <= 256 else np.uint16
     z = np.repeat(np.arange(len(sizes)).astype(kind), sizes)
-    m = sum(strings)
-    head = np.repeat(np.arange(len(sizes)).astype(kind), strings)
+    ends = np.repeat(np.arange(len(sizes)).astype(kind), strings)
+    end_codes = np.concatenate(last).astype(np.uint16) * np.uint16(base)
+    end_blocks = -np.arange(1, m + 1, dtype=np.int32)  # ends of strings are all different
     block = np.zeros(n, dtype=np.int32)
-    blocks = 0
     rows = np.arange(n)
-    for _ in range(depth):
+    before = None
+    for _ in range(-(-depth // 2)):
         symbol = np.empty(n, dtype=np.uint16)
         symbol[rows] = symbols
-        order = np.argsort(symbol, kind="stable")
-        from_block, from_symbol = block[order], symbol[order]
-        fresh = np.empty(n, dtype=bool)
-        fresh[0] = False
-        np.logical_or(from_symbol[1:] != from_symbol[:-1], from_block[1:] != from_block[:-1], out=fresh[1:])
-        fresh[: min(m + 1, n)] = True  # ends of strings are all different
-        block = np.cumsum(fresh, dtype=np.int32)
-        new_z = np.concatenate([head, z[order[m:]]])
+        moved = np.flatnonzero(symbol)
+        codes = np.concatenate([end_codes, symbol[moved]])
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        from_block = np.concatenate([end_blocks, block[moved]])[order]
+        fresh = np.ones(n - m, dtype=bool)
+        np.logical_or(codes[1:] != codes[:-1], from_block[1:] != from_block[:-1], out=fresh[1:])
+        block = np.concatenate([np.arange(m, dtype=np.int32), np.cumsum(fresh, dtype=np.int32) + np.int32(m - 1)])
+        z = np.concatenate([ends, np.concatenate([ends, z[moved]])[order]])
+        rows = np.argsort(z, kind="stable")
         now = int(block[-1])
-        if now == blocks and np.array_equal(new_z, z):
-            z = new_z
+        if now == n - 1 or now == before == n - 1:
             break
-        z, blocks = new_z, now
-        rows = np.argsort(z, kind="stable")
+        before = now
     return rows, block
 
 
@@ -88,22 +103,29 @@ def least_owners(strings: list[bytes], owners: np.ndarray, depth: int, shard_siz
     windows = np.maximum(sizes - depth + 1, 0)
     if not windows.sum():
         return np.zeros(0, dtype=np.int64), windows
-    orders, transforms, counts, base = [], [], [], 0
+    raw = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    used = np.flatnonzero(np.bincount(raw, minlength=256))
+    if len(used) > 254:
+        raise ValueError("texts hold bytes that UTF-8 never has")
+    code = np.zeros(256, dtype=np.uint8)
+    code[used] = np.arange(1, len(used) + 1)
+    raw, base = code[raw], len(used) + 1
+    orders, transforms, last, total, at_byte = [], [], [], 0, 0
     for a in range(0, len(strings), shard_size):
-        part = strings[a : a + shard_size]
         length = sizes[a : a + shard_size] + 1
-        data = np.zeros(int(length.sum()), dtype=np.uint16)
         ends = np.cumsum(length) - 1
+        data = np.zeros(int(length.sum()), dtype=np.uint8)
         filled = np.ones(len(data), dtype=bool)
         filled[ends] = False
-        data[filled] = np.frombuffer(b"".join(part), dtype=np.uint8).astype(np.uint16) + 1
-        order, transform = suffixes(data, ends)
-        orders.append(order + base)
-        transforms.append(transform)
-        counts.append(len(part))
-        base += len(data)
-    rows, block = merge(transforms, counts, depth)
-    place = np.empty(base, dtype=np.int64)
+        data[filled] = raw[at_byte : at_byte + len(data) - len(ends)]
+        at_byte += len(data) - len(ends)
+        order = suffixes(data, ends)
+        orders.append(order + total)
+        transforms.append(two_before(data, order, ends, base))
+        last.append(data[ends - 1])
+        total += len(data)
+    rows, block = merge(transforms, last, base, depth)
+    place = np.empty(total, dtype=np.int64)
     place[np.concatenate(orders)] = rows
     starts = np.cumsum(sizes + 1) - sizes - 1
     at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))

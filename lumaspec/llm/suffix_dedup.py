@@ -38,7 +38,9 @@ from .common import SpanHasher, mix64, read
 WIDTH, ANCHOR = 50, 16
 #: Bytes of text in a group, and in a bucket's share of the input, on average.
 GROUP_BYTES = 4_000_000
-_TABLES = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(s)) for s in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+#: Bytes of text whose windows are looked for at a time.
+BLOCK_BYTES = 400_000
+_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _HASHER = SpanHasher()
 _SENT = "bucket long, g long, data binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("data", pa.binary())])
@@ -54,33 +56,54 @@ class Windows:
         self.sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.raw = b"".join(texts)
-        data = np.frombuffer(self.raw, dtype=np.uint8)
+        self.data = np.frombuffer(self.raw, dtype=np.uint8)
+        parts, a = [], 0
+        while a < len(texts):  # blocks of whole texts, small enough for the processor's caches
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + self.sizes[b] <= BLOCK_BYTES):
+                size += self.sizes[b]
+                b += 1
+            parts.append(self._block(a, b))
+            a = b
+        starts, stops, doc, anchors = zip(*parts, strict=True) if parts else ([np.zeros(0, dtype=np.int64)],) * 3 + ([np.zeros(0, dtype=np.uint64)],)
+        self.starts, self.stops, self.doc, self.anchors = (np.concatenate(x) for x in (starts, stops, doc, anchors))
+
+    def _block(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and end windows, text and anchor hash of each run of texts a to b."""
+        base = int(self.begin[a])
+        data = self.data[base : int(self.begin[b - 1] + self.sizes[b - 1])]
         n = len(data) - WIDTH + 1
-        self.starts = self.stops = self.doc = np.zeros(0, dtype=np.int64)
-        self.anchors = np.zeros(0, dtype=np.uint64)
-        self.data = data
         if n <= 0:
-            return
-        at = np.arange(len(data) - ANCHOR + 1)
-        grams = _HASHER(data, at, at + ANCHOR, _TABLES[0])
-        low = np.uint64((1 << 28) - 1)  # a group's places fit: one larger text would be a text of 256 MB
-        least = (grams & ~low) | (at.astype(np.uint64) & low)
+            return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)
+        words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,)).astype(np.uint64)  # 8 bytes from each place
+        grams = words[:-8] * np.uint64(0x9E3779B97F4A7C15)
+        grams ^= grams >> np.uint64(29)
+        grams += words[8:]
+        grams *= np.uint64(0xBF58476D1CE4E5B9)
+        grams ^= grams >> np.uint64(32)
+        grams *= np.uint64(0x94D049BB133111EB)
+        low = np.uint64((1 << 28) - 1)  # one text of 256 MB or more would not fit a place
+        least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         span, size = 1, WIDTH - ANCHOR + 1
         while span * 2 <= size:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
-        least = np.minimum(least[: n], least[size - span : size - span + n])
+        least = np.minimum(least[:n], least[size - span : size - span + n])
         place = (least & low).astype(np.int64)
-        doc = np.repeat(np.arange(len(texts)), self.sizes)[:n]
-        whole = np.arange(n) + WIDTH <= (self.begin + self.sizes)[doc]
-        first = np.ones(n, dtype=bool)
-        first[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1])
+        first = np.empty(n, dtype=bool)
+        first[0] = True
+        np.not_equal(place[1:], place[:-1], out=first[1:])
+        edges = self.begin[a:b] - base
+        ends = edges + self.sizes[a:b]
+        first[edges[edges < n]] = True
+        outside = np.maximum(ends - WIDTH + 1, edges)  # windows from here on would leave their text
+        first[outside[outside < n]] = True
         starts = np.flatnonzero(first)
         stops = np.append(starts[1:], n)
-        keep = whole[starts]
-        self.starts, self.stops = starts[keep], stops[keep]  # of windows
-        self.doc = doc[self.starts]
-        self.anchors = grams[place[self.starts]]
+        doc = np.searchsorted(edges, starts, "right") - 1
+        keep = starts + WIDTH <= ends[doc]
+        starts, stops, doc = starts[keep], stops[keep], doc[keep]
+        return starts + base, stops + base, doc + a, grams[place[starts]]
 
     def anchor_hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Different anchors, and whether each stands in two documents here."""
@@ -99,7 +122,7 @@ class Windows:
         a, b = self.starts[runs], self.stops[runs] + WIDTH - 1
         if not len(runs):
             return runs, runs, runs
-        key = _HASHER(self.data, a, b, _TABLES[0]) ^ mix64(_HASHER(self.data, a, b, _TABLES[1]))
+        key = _HASHER(self.data, a, b, _TABLE)
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         return runs, runs[first], inverse
 
@@ -163,7 +186,7 @@ def _submit(buckets: int):
             starts, ends = w.starts[x], w.stops[x] + WIDTH - 1
             text = b"".join(w.raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True))
             head = np.array([len(x)], dtype="<u4").tobytes()
-            out.append((int(k), g, head + w.ids[w.doc[x]].astype("<i8").tobytes() + (ends - starts).astype(np.uint8).tobytes() + text))
+            out.append((int(k), g, head + w.ids[w.doc[x]].astype("<i8").tobytes() + w.anchors[x].tobytes() + (ends - starts).astype(np.uint8).tobytes() + text))
         return _send(out)
 
     return run
@@ -175,24 +198,33 @@ def _answer(table: pa.Table) -> pa.Table:
     groups, raw = table.column("g").to_pylist(), table.column("data").to_pylist()
     number: dict[bytes, int] = {}
     owners: list[int] = []
+    anchors: list[int] = []
     sent: list[list[int]] = []
     for r in raw:
         n = int(np.frombuffer(r[:4], dtype="<u4")[0])
         ids = np.frombuffer(r[4 : 4 + 8 * n], dtype="<i8").tolist()
-        ends = np.cumsum(np.frombuffer(r[4 + 8 * n : 4 + 9 * n], dtype=np.uint8)).tolist()
-        text, a, mine = r[4 + 9 * n :], 0, []
-        for doc, b in zip(ids, ends, strict=True):
+        keys = np.frombuffer(r[4 + 8 * n : 4 + 16 * n], dtype=np.uint64).tolist()
+        ends = np.cumsum(np.frombuffer(r[4 + 16 * n : 4 + 17 * n], dtype=np.uint8)).tolist()
+        text, a, mine = r[4 + 17 * n :], 0, []
+        for doc, key, b in zip(ids, keys, ends, strict=True):
             s = text[a:b]
             i = number.setdefault(s, len(owners))
             if i == len(owners):
                 owners.append(doc)
+                anchors.append(key)
             elif doc < owners[i]:
                 owners[i] = doc
             mine.append(i)
             a = b
         sent.append(mine)
-    least, windows = least_owners(list(number), np.array(owners, dtype=np.int64), WIDTH)
+    # Windows of an anchor with one string alone belong to that string's least document; the others' transforms are merged.
+    _, inverse, count = np.unique(np.array(anchors, dtype=np.uint64), return_inverse=True, return_counts=True)
+    shared = count[inverse] > 1
+    owner, strings = np.array(owners, dtype=np.int64), list(number)
+    windows = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)) - WIDTH + 1
     string = np.repeat(np.arange(len(windows)), windows)
+    least = owner[string]
+    least[shared[string]] = least_owners([strings[i] for i in np.flatnonzero(shared)], owner[shared], WIDTH)[0]
     fresh = np.ones(len(least), dtype=bool)
     fresh[1:] = (least[1:] != least[:-1]) | (string[1:] != string[:-1])
     at = np.flatnonzero(fresh)
