@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import ORACLE_SQL, QUERIES, columns, joins_text, latent, normalising, signals, testing, validation  # noqa: F401
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,0 +1,159 @@
+"""Group tests and corrections over ``lineitem``, ``orders`` and ``part``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import plotdata
+from ..operators import tests as t
+from ..plans.matrix import tidy_to_long
+from . import query
+from .columns import r6, table
+
+NUMBERS = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
+LINES = "(" + " UNION ALL ".join(f"SELECT l_returnflag AS grp, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM lineitem" for c in NUMBERS) + ")"
+WELCH_SQL = f"""(SELECT feature, count(*) FILTER (grp = 'A') AS na, count(*) FILTER (grp = 'R') AS nb, avg(value) FILTER (grp = 'A') AS ma, avg(value) FILTER (grp = 'R') AS mb,
+var_samp(value) FILTER (grp = 'A') AS va, var_samp(value) FILTER (grp = 'R') AS vb FROM {LINES} l GROUP BY feature)"""
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy_to_long(table(spark, sf_dir, "lineitem"), "l_returnflag", NUMBERS)
+
+
+def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy_to_long(table(spark, sf_dir, "orders"), "o_orderpriority", ["o_totalprice"])
+
+
+@query(f"""SELECT feature, round(log2(mb / ma), 8) + 0.0 AS "log2FC", round((ma - mb) / sqrt(va / na + vb / nb), 6) + 0.0 AS t,
+round((va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), 2) AS df FROM {WELCH_SQL} w""")
+def volcano_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = t.volcano(table(spark, sf_dir, "lineitem"), "l_returnflag", "A", "R", NUMBERS)
+    return got.select("feature", (F.round("log2FC", 8) + F.lit(0.0)).alias("log2FC"), *r6("t"), F.round("df", 2).alias("df"))
+
+
+@query()
+def volcano_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.volcano(table(spark, sf_dir, "lineitem"), "l_returnflag", "A", "R", NUMBERS)
+
+
+@query(f"SELECT feature, round(log2(mb / ma), 8) + 0.0 AS fc FROM {WELCH_SQL} w ORDER BY abs(log2(mb / ma)) DESC, feature LIMIT 3")
+def fold_change_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = t.fold_change(table(spark, sf_dir, "lineitem"), "l_returnflag", "A", "R", NUMBERS)
+    return plotdata.top_by_magnitude(got, "feature", "fc", 3).select("feature", (F.round("fc", 8) + F.lit(0.0)).alias("fc"))
+
+
+ORDER_SQL = "(SELECT o_orderpriority AS grp, o_totalprice AS value FROM orders WHERE o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL)"
+ANOVA_SQL = f"""(SELECT sum(n * (m - mm) ** 2) AS ssb, sum((n - 1) * v) AS ssw, count(*) AS k, sum(n) AS n FROM
+(SELECT *, sum(n * m) OVER () / sum(n) OVER () AS mm FROM (SELECT grp, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM {ORDER_SQL} o GROUP BY grp)))"""
+
+
+@query(f"SELECT 'o_totalprice' AS feature, round((ssb / (k - 1)) / (ssw / (n - k)), 6) AS f, CAST(k - 1 AS DOUBLE) AS df1, CAST(n - k AS DOUBLE) AS df2 FROM {ANOVA_SQL} a")
+def anova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.anova(order_prices(spark, sf_dir)).select("feature", *r6("f"), "df1", "df2")
+
+
+@query(f"""WITH g AS (SELECT grp, count(*) AS n, avg(value) AS m FROM {ORDER_SQL} o GROUP BY grp), a AS {ANOVA_SQL}
+SELECT x.grp AS group1, y.grp AS group2, round(y.m - x.m, 4) + 0.0 AS meandiff, round(abs(y.m - x.m) / sqrt(ssw / (a.n - k) / 2 * (1.0 / x.n + 1.0 / y.n)), 6) AS q
+FROM g x JOIN g y ON x.grp < y.grp, a""")
+def tukey_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = t.tukey(order_prices(spark, sf_dir))
+    return got.select("group1", "group2", (F.round("meandiff", 4) + F.lit(0.0)).alias("meandiff"), *r6("q"))
+
+
+@query()
+def tukey_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.tukey(order_prices(spark, sf_dir), correct_again=True)
+
+
+RANKS = """(SELECT grp, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY value) AS c FROM
+(SELECT l_returnflag AS grp, l_quantity AS value FROM lineitem {where}))"""
+
+
+def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy_to_long(table(spark, sf_dir, "lineitem"), "l_returnflag", ["l_quantity"])
+
+
+@query(f"""WITH r AS {RANKS.format(where='')}, n AS (SELECT count(*)::DOUBLE AS n, sum(c * c - 1.0) AS tie FROM r), s AS (SELECT sum(x) AS s FROM (SELECT sum(r) ** 2 / count(*) AS x FROM r GROUP BY grp))
+SELECT round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - tie / (n ** 3 - n)), 6) AS h FROM n, s""")
+def kruskal_h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.kruskal(quantities(spark, sf_dir)).select(*r6("h"))
+
+
+@query(f"""WITH r AS {RANKS.format(where='')}, g AS (SELECT grp, avg(r) AS m, count(*) AS k FROM r GROUP BY grp), n AS (SELECT count(*)::DOUBLE AS n FROM r)
+SELECT x.grp AS group1, y.grp AS group2, round((x.m - y.m) / sqrt(n * (n + 1) / 12 * (1.0 / x.k + 1.0 / y.k)), 6) + 0.0 AS z FROM g x JOIN g y ON x.grp < y.grp, n""")
+def dunn_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.dunn(quantities(spark, sf_dir)).select("group1", "group2", *r6("z"))
+
+
+@query(f"""WITH r AS {RANKS.format(where="WHERE l_returnflag IN ('A', 'R')")}, n AS (SELECT count(*)::DOUBLE AS n, sum(c * c - 1.0) AS tie, count(*) FILTER (grp = 'A')::DOUBLE AS n1, count(*) FILTER (grp = 'R')::DOUBLE AS n2, sum(r) FILTER (grp = 'A') AS r1 FROM r)
+SELECT round(r1 - n1 * (n1 + 1) / 2, 1) AS u, round((greatest(r1 - n1 * (n1 + 1) / 2, n1 * n2 - r1 + n1 * (n1 + 1) / 2) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - tie / (n * (n - 1)))), 6) AS z FROM n""")
+def mannwhitney_u(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.mann_whitney(quantities(spark, sf_dir), "A", "R").select(F.round("u", 1).alias("u"), *r6("z"))
+
+
+P_SQL = "(SELECT p_partkey AS feature, p_size / (p_retailprice + 0.001 * p_partkey) AS p_value FROM part)"
+
+
+def part_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers between 0 and 1 that stand in for p-values."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), (F.col("p_size") / (F.col("p_retailprice") + 0.001 * F.col("p_partkey"))).alias("p_value"))
+
+
+def _padjust_sql(value: str) -> str:
+    return f"""WITH p AS {P_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY p_value, feature) AS r, count(*) OVER () AS m FROM p)
+SELECT feature, round(least(1.0, {value}), 8) AS p_adj FROM r"""
+
+
+_DOWN = "OVER (ORDER BY p_value DESC, feature DESC ROWS UNBOUNDED PRECEDING)"
+
+
+@query(_padjust_sql(f"min(p_value * m / r) {_DOWN}"))
+def padjust_bh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.adjust(part_ratios(spark, sf_dir), "fdr_bh").select("feature", F.round("p_adj", 8).alias("p_adj"))
+
+
+@query(_padjust_sql(f"min(p_value * m * (SELECT sum(1.0 / i) FROM range(1, (SELECT count(*) FROM part) + 1) x(i)) / r) {_DOWN}"))
+def padjust_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.adjust(part_ratios(spark, sf_dir), "fdr_by").select("feature", F.round("p_adj", 8).alias("p_adj"))
+
+
+@query(_padjust_sql("max(p_value * (m - r + 1)) OVER (ORDER BY p_value, feature ROWS UNBOUNDED PRECEDING)"))
+def padjust_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.adjust(part_ratios(spark, sf_dir), "holm").select("feature", F.round("p_adj", 8).alias("p_adj"))
+
+
+@query(_padjust_sql("p_value * m"))
+def padjust_bonferroni(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.adjust(part_ratios(spark, sf_dir), "bonferroni").select("feature", F.round("p_adj", 8).alias("p_adj"))
+
+
+@query(f"""WITH g AS (SELECT feature, grp, avg(value) AS m, var_samp(value) AS v FROM {LINES} l GROUP BY ALL)
+SELECT x.feature, x.grp AS group1, y.grp AS group2, round((x.m - y.m) / sqrt((x.v + y.v) / 2), 6) + 0.0 AS d FROM g x JOIN g y ON x.feature = y.feature AND x.grp < y.grp""")
+def pairwise_cohen_d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.cohen_d(lines(spark, sf_dir)).select("feature", "group1", "group2", *r6("d"))
+
+
+@query("WITH g AS (SELECT DISTINCT c_mktsegment AS g FROM customer) SELECT x.g AS group1, y.g AS group2 FROM g x JOIN g y ON x.g < y.g")
+def group_pair_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.group_pairs(table(spark, sf_dir, "customer"), "c_mktsegment")
+
+
+@query()
+def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.p_value_table(table(spark, sf_dir, "lineitem"), "l_returnflag", value_cols=NUMBERS)
+
+
+@query()
+def pairwise_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.pairwise(lines(spark, sf_dir)).unionByName(t.pairwise(quantities(spark, sf_dir), "mannwhitney"))
+
+
+@query("""WITH l AS (SELECT CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j, CAST(unnest(embedding) AS DOUBLE) AS value, CAST(label AS DOUBLE) AS y FROM embeddings)
+SELECT j, round(regr_slope(value, y), 8) + 0.0 AS slope, round(regr_intercept(value, y), 6) + 0.0 AS intercept, round(regr_r2(value, y), 8) AS r2 FROM l GROUP BY j""")
+def feature_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.matrix import to_long
+    from .columns import matrix
+
+    got = t.regression(to_long(matrix(spark, sf_dir), F.col("grp").cast("double").alias("y")))
+    return got.select("j", (F.round("slope", 8) + F.lit(0.0)).alias("slope"), *r6("intercept"), F.round("r2", 8).alias("r2"))
