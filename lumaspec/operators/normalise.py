@@ -136,9 +136,9 @@ def knn_impute(long: DataFrame, k: int = 2) -> DataFrame:
     d = d.join(F.broadcast(p), how="cross").select("sample_id", "donor", F.sqrt(F.col("p") / F.col("n") * F.col("s")).alias("d"))
     offers = holes.join(d, "sample_id").join(b.withColumnRenamed("y", "value"), ["donor", "j"])
     near = offers.withColumn("_r", F.row_number().over(Window.partitionBy("sample_id", "j").orderBy("d", "donor"))).where(F.col("_r") <= k)
-    filled = near.groupBy("sample_id", "grp", "j").agg(F.avg("value").alias("fill"))
+    filled = near.groupBy("sample_id", "j").agg(F.avg("value").alias("fill"))
     mean = present.groupBy("j").agg(F.avg("value").alias("mean"))
-    got = holes.join(filled, ["sample_id", "j"], "left").join(mean, "j", "left").select(holes["sample_id"], holes["grp"], "j", F.coalesce("fill", "mean").alias("value"))
+    got = holes.join(filled, ["sample_id", "j"], "left").join(mean, "j", "left").select("sample_id", "grp", "j", F.coalesce("fill", "mean").alias("value"))
     return present.select("sample_id", "grp", "j", "value").unionByName(got)
 
 

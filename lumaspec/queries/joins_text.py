@@ -15,6 +15,10 @@ from .columns import LONG, long, r6, table
 AXIS_SQL = "(SELECT CAST(i AS BIGINT) AS j, 9.5 - 9.0 * i / 63.0 AS coord FROM range(64) t(i))"
 
 
+#: Seconds since 1970 of a time stamp without zone, whatever the session's zone.
+SECONDS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {0}) / 1e6"
+
+
 def axis(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.posexplode(s.ppm_axis(9.5, 9.0, 64)).alias("j", "coord")).select(F.col("j").cast("long").alias("j"), "coord")
 
@@ -54,7 +58,7 @@ def region_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 i AS (SELECT *, CAST(sum(f) OVER (PARTITION BY user_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM f)
 SELECT user_id, island, count(*) AS n, round(sum(value), 6) AS total FROM i GROUP BY ALL""")
 def peak_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("double").alias("x"), "value")
+    e = table(spark, sf_dir, "events").select("user_id", F.expr(SECONDS.format("ts")).alias("x"), "value")
     return j.islands(e, ["user_id"], "x", 86400.0).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
@@ -63,7 +67,7 @@ f AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY user_id ORDER BY a, b RO
 i AS (SELECT *, sum(CASE WHEN r = 1 THEN 1 ELSE f END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM f)
 SELECT user_id, round(min(a), 3) AS a, round(max(b), 3) AS b, count(*) AS n FROM i GROUP BY user_id, island""")
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("double").alias("a"), (F.col("ts").cast("double") + 43200.0).alias("b"))
+    w = table(spark, sf_dir, "events").select("user_id", F.expr(SECONDS.format("ts")).alias("a"), (F.expr(SECONDS.format("ts")) + 43200.0).alias("b"))
     return j.merge_intervals(w, ["user_id"], "a", "b").select("user_id", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"), "n")
 
 
@@ -126,7 +130,7 @@ m AS (SELECT *, list_avg(gaps) AS gm, CASE n WHEN 2 THEN [1.0, 1.0] WHEN 3 THEN
 c AS (SELECT user_id, n, CASE WHEN gm > 0 THEN sqrt(list_avg([(g - gm) ** 2 for g in gaps])) / gm ELSE 1.0 END AS cv, CASE WHEN n BETWEEN 2 AND 4 THEN list_avg([abs(h[i] / list_max(h) - ideal[i]) for i in range(1, n + 1)]) END AS off FROM m)
 SELECT user_id, CASE WHEN n = 1 THEN 'singlet' WHEN n BETWEEN 2 AND 4 AND cv < 0.25 AND off <= 0.35 THEN CASE n WHEN 2 THEN 'doublet' WHEN 3 THEN 'triplet' ELSE 'quartet' END ELSE 'multiplet' END AS pattern FROM c""")
 def binomial_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("value > 0")
-    g = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("p"))
-    x, h = F.transform("p", lambda r: r["ts"].cast("double") / 86400.0), F.transform("p", lambda r: r["value"])
+    e = table(spark, sf_dir, "events").where("value > 0").withColumn("x", F.expr(SECONDS.format("ts")) / 86400.0)
+    g = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("x", "event_id", "value"))).alias("p"))
+    x, h = F.transform("p", lambda r: r["x"]), F.transform("p", lambda r: r["value"])
     return g.select("user_id", s.multiplet_pattern(x, h).alias("pattern"))
