@@ -40,7 +40,7 @@ def range_snr(long: DataFrame, axis: DataFrame, targets: DataFrame, width: float
 
 def cut_region(long: DataFrame, axis: DataFrame, first: float, second: float) -> DataFrame:
     """Long form without the features from nearest(first) to nearest(second); positions are numbered anew. An interval given the other way round removes nothing."""
-    spark = long.sparkSession
+    spark, first, second = long.sparkSession, float(first), float(second)
     at = {r["target"]: r["j"] for r in nearest_feature(axis, spark.createDataFrame([(first,), (second,)], "target double")).collect()}
     low, high = at[first], at[second]
     gone = max(0, high - low + 1)

@@ -59,9 +59,9 @@ def folds(df: DataFrame, key: str, strategy: str = "kfold", k: int = 5, label: s
         from itertools import combinations
 
         held = spark.createDataFrame([(i, x) for i, c in enumerate(combinations(ids, 1 if strategy == "loo" else p)) for x in c], f"fold int, held {df.schema[key].dataType.simpleString()}")
-        pairs = held.select("fold").distinct().join(df.select(key), how="cross")
-        got = pairs.join(held, (pairs["fold"] == held["fold"]) & (pairs[key] == held["held"]), "left")
-        return got.select(pairs[key], F.lit(0).alias("repeat"), pairs["fold"], F.when(held["held"].isNotNull(), "test").otherwise("train").alias("role"))
+        sets = held.groupBy("fold").agg(F.collect_set("held").alias("held"))  # p ids each
+        got = sets.join(df.select(key), how="cross")
+        return got.select(key, F.lit(0).alias("repeat"), "fold", F.when(F.array_contains("held", F.col(key)), "test").otherwise("train").alias("role"))
     if strategy == "shuffle_split":
         each = df.select(key).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
         w = Window.partitionBy("fold")
