@@ -17,13 +17,11 @@ from lumaspec.llm.packing import pack_pieces, token_pieces
 from lumaspec.llm.suffix_dedup import remove_repeats
 from lumaspec.llm.toxicity import score_documents, train
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain scores under 0.5."""
     model = train(docs, read(spark, sf_dir, "labels"))
-    return score_documents(docs, model, keep=True).where("_score < 0.5").select(*docs.columns)
+    return score_documents(docs, model, keep=True).where("score < 0.5").select("row.*")
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +34,12 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what repeats from documents of smaller id; bytes of characters that a cut split are dropped with it."""
-    kept = cut(remove_repeats(docs).where("doc_id IS NOT NULL").select("doc_id", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), F.make_valid_utf8(F.col("kept").cast("string")).alias("mended")))
-    text = F.coalesce("whole", F.translate("mended", "�", ""))
-    joined = docs.where("doc_id IS NOT NULL").drop("text", "n_chars").join(kept.select("doc_id", text.alias("text")), "doc_id")
-    joined = joined.withColumn("n_chars", F.length("text").cast("long"))
+    kept = remove_repeats(docs).where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text_hash"])
+    text = F.coalesce(F.try_validate_utf8(F.col("kept").cast("string")), F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), text.alias("_kept_text"))
+    rows = docs.where("doc_id IS NOT NULL").withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))).drop("text", "n_chars")
+    joined = rows.join(kept, (F.col("doc_id").cast("long") == F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")))
+    joined = joined.withColumn("text", F.col("_kept_text")).withColumn("n_chars", F.length("_kept_text").cast("long"))
     return joined.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -51,7 +51,7 @@ class Windows:
 
     def __init__(self, table: pa.Table) -> None:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.ids = np.asarray(table.column("doc_id"))
+        self.ids, self.hashes = np.asarray(table.column("doc_id")), table.column("text_hash")
         texts = [t or b"" for t in table.column("text").to_pylist()]
         self.sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         self.begin = np.cumsum(self.sizes) - self.sizes
@@ -241,7 +241,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return _send(out)
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
 def _remove(buckets: int):
@@ -287,24 +287,25 @@ def _remove(buckets: int):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], x.view(np.int8), [0]]))).reshape(-1, 2).tolist()
             kept.append(w.data[a : a + n][~x].tobytes())
             removed.append([{"start": i, "end": j} for i, j in edges])
-        return pa.Table.from_pydict({"doc_id": w.ids, "n_bytes": w.sizes, "kept": kept, "removed": removed}, schema=_RESULT)
+        return pa.Table.from_pydict({"doc_id": w.ids, "text_hash": w.hashes, "n_bytes": w.sizes, "kept": kept, "removed": removed}, schema=_RESULT)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, kept (binary) and removed (array of start, end in bytes) for each row of ``docs``."""
+    """doc_id, text_hash (xxhash64 of the text's bytes), n_bytes, kept (binary) and removed (array of start, end in bytes) for each row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
-    grouped = rows.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"), "doc_id", "text")
+    grouped = rows.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(groups)).alias("g"), "doc_id", "text", "text_hash")
     by_group = grouped.groupBy("g")
     told = by_group.applyInArrow(_announce(groups), _SENT).groupBy("bucket").applyInArrow(_repeated, _SENT)
     sent = by_group.cogroup(told.groupBy("g")).applyInArrow(_submit(groups), _SENT)
     answers = sent.groupBy("bucket").applyInArrow(_answer, _SENT)
     both = told.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)))
-    result = by_group.cogroup(both.groupBy("g")).applyInArrow(_remove(groups), "doc_id long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>")
-    alone = rows.where("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("kept"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"))
+    result = by_group.cogroup(both.groupBy("g")).applyInArrow(_remove(groups), "doc_id long, text_hash long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>")
+    alone = rows.where("doc_id IS NULL").select("doc_id", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("kept"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"))
     return result.unionByName(alone)
 
 
