@@ -272,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """id (or all columns with ``keep``), score and toxic_spans (array of start, end in characters)."""
+    """``row`` (struct of the id, or of all columns with ``keep``), score and toxic_spans (array of start, end in characters)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.chain.weights.astype(np.float32), model.chain.bias, model.chain.moves, model.curve))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
@@ -281,7 +281,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         chain.weights, chain.bias, chain.moves, curve = shared.value
         score = Model(chain, curve)
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             a = 0
             while a < len(texts):
                 b, chars = a, 0
@@ -289,26 +289,22 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                     chars += len(texts[b])
                     b += 1
                 values, spans = score(texts[a:b])
-                part = batch.slice(a, b - a)
-                columns = [part.column(i) for i in range(part.num_columns - 1)]
                 rows = [[{"start": x, "end": y} for x, y in s] for s in spans]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(values), pa.array(rows, pa.list_(span))], names=[*batch.schema.names[:-1], "_score", "_spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(values, pa.float64()), pa.array(rows, pa.list_(span))], names=["row", "score", "toxic_spans"])
                 a = b
 
-    kept = docs if keep else docs.select(id_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    names = docs.columns if keep else [id_col]
-    given = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("_text"))
-    return given.mapInArrow(run, f"{schema}, _score double, _spans array<struct<start:int,end:int>>")
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep else [id_col])])
+    given = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+    return given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, score double, toxic_spans array<struct<start:int,end:int>>")
 
 
 def op8_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, read(spark, sf_dir, "labels")))
     return scored.select(
-        "doc_id",
-        F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
-        F.col("_spans").alias("toxic_spans"),
+        F.col("row.doc_id").alias("doc_id"),
+        F.coalesce(fold("row.doc_id") == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "toxic_spans",
     )
