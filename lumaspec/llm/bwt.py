@@ -1,13 +1,13 @@
 """Merging of Burrows-Wheeler transforms by iterative interleave refinement.
 
 A shard is a list of short byte strings. Its transform lists, for its suffixes
-in order, the symbol before each. The merged order of several shards is held as
-an interleave: the shard number of each place. One refinement walks through the
-interleave, takes each shard's next two symbols and deals the places out by
-them; after h refinements the interleave is sorted by the first 2 * h symbols,
-and places whose first 2 * h symbols are equal form a block. No suffix is
-compared or sorted again. When ``depth`` symbols are reached the blocks are the
-intervals of suffixes with a common prefix of that length.
+in order, the symbols before each. The merged order of several shards is held as
+an interleave of their rows. One refinement walks through the interleave, takes
+each row's next two symbols and deals the rows out by them; after h refinements
+the interleave is sorted by the first 2 * h symbols, and rows whose first 2 * h
+symbols are equal form a block. No suffix is compared or sorted again, and a
+block of one row is resolved and left out. When ``depth`` symbols are reached
+the blocks are the intervals of suffixes with a common prefix of that length.
 """
 
 from __future__ import annotations
@@ -46,51 +46,47 @@ def suffixes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.argsort((rank << np.uint64(32)) | np.arange(n, dtype=np.uint64))
 
 
-def two_before(data: np.ndarray, order: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Transform for steps of two symbols: the code of the two symbols before each suffix, 0 where its string has fewer."""
+def two_before(data: np.ndarray, order: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code of the two symbols before each suffix, 0 where its string has fewer; row of the suffix two symbols longer)."""
     first = np.concatenate([[0], ends[:-1] + 1])
     code = np.zeros(len(data), dtype=np.uint16)
     code[2:] = data[:-2].astype(np.uint16) * np.uint16(base) + data[1:-1]
     code[first] = 0
     code[first + 1] = 0
-    return code[order]
+    row = np.empty(len(data), dtype=np.int32)
+    row[order] = np.arange(len(data), dtype=np.int32)
+    return code[order], row[np.maximum(order - 2, 0)]
 
 
-def merge(transforms: list[np.ndarray], last: list[np.ndarray], base: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the merged order of each shard's rows, shard after shard; block number of each merged place).
+def merge(transforms: list[np.ndarray], longer: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, block of each): the suffixes, as rows numbered shard after shard, that share their first ``depth`` symbols with another.
 
-    ``transforms``: of each shard, for steps of two symbols; ``last``: the last
-    symbol of each of its strings. Suffixes of no or one symbol keep their
-    places from the start; every refinement fixes two more symbols.
+    The interleave starts as the shards one after the other, one block. Each
+    refinement takes the next symbols of all rows in order and deals their
+    longer suffixes out by them. A block of one row is resolved: what it
+    leads to is alone as well, so it leaves the interleave.
     """
-    sizes, strings = [len(t) for t in transforms], [len(x) for x in last]
-    n, m = sum(sizes), sum(strings)
+    if depth % 2:
+        raise ValueError("depth must be even")
     symbols = np.concatenate(transforms)
-    kind = np.uint8 if len(sizes) <= 256 else np.uint16
-    z = np.repeat(np.arange(len(sizes)).astype(kind), sizes)
-    ends = np.repeat(np.arange(len(sizes)).astype(kind), strings)
-    end_codes = np.concatenate(last).astype(np.uint16) * np.uint16(base)
-    end_blocks = -np.arange(1, m + 1, dtype=np.int32)  # ends of strings are all different
-    block = np.zeros(n, dtype=np.int32)
-    rows = np.arange(n)
-    before = None
-    for _ in range(-(-depth // 2)):
-        symbol = np.empty(n, dtype=np.uint16)
-        symbol[rows] = symbols
+    base = np.cumsum([0, *map(len, longer[:-1])])
+    step = np.concatenate([x + np.int32(b) for x, b in zip(longer, base, strict=True)])
+    rows = np.arange(len(symbols), dtype=np.int32)
+    block = np.zeros(len(symbols), dtype=np.int32)
+    for _ in range(depth // 2):
+        symbol = symbols[rows]
         moved = np.flatnonzero(symbol)
-        codes = np.concatenate([end_codes, symbol[moved]])
-        order = np.argsort(codes, kind="stable")
-        codes = codes[order]
-        from_block = np.concatenate([end_blocks, block[moved]])[order]
-        fresh = np.ones(n - m, dtype=bool)
-        np.logical_or(codes[1:] != codes[:-1], from_block[1:] != from_block[:-1], out=fresh[1:])
-        block = np.concatenate([np.arange(m, dtype=np.int32), np.cumsum(fresh, dtype=np.int32) + np.int32(m - 1)])
-        z = np.concatenate([ends, np.concatenate([ends, z[moved]])[order]])
-        rows = np.argsort(z, kind="stable")
-        now = int(block[-1])
-        if now == n - 1 or now == before == n - 1:
+        symbol = symbol[moved]
+        order = np.argsort(symbol, kind="stable")
+        symbol, moved = symbol[order], moved[order]
+        block, rows = block[moved], step[rows[moved]]
+        fresh = np.ones(len(rows) + 1, dtype=bool)
+        np.logical_or(symbol[1:] != symbol[:-1], block[1:] != block[:-1], out=fresh[1:-1])
+        open_ = ~(fresh[:-1] & fresh[1:])
+        block = np.cumsum(fresh[:-1], dtype=np.int32)[open_]
+        rows = rows[open_]
+        if not len(rows):
             break
-        before = now
     return rows, block
 
 
@@ -110,7 +106,7 @@ def least_owners(strings: list[bytes], owners: np.ndarray, depth: int, shard_siz
     code = np.zeros(256, dtype=np.uint8)
     code[used] = np.arange(1, len(used) + 1)
     raw, base = code[raw], len(used) + 1
-    orders, transforms, last, total, at_byte = [], [], [], 0, 0
+    orders, transforms, longer, total, at_byte = [], [], [], 0, 0
     for a in range(0, len(strings), shard_size):
         length = sizes[a : a + shard_size] + 1
         ends = np.cumsum(length) - 1
@@ -121,16 +117,18 @@ def least_owners(strings: list[bytes], owners: np.ndarray, depth: int, shard_siz
         at_byte += len(data) - len(ends)
         order = suffixes(data, ends)
         orders.append(order + total)
-        transforms.append(two_before(data, order, ends, base))
-        last.append(data[ends - 1])
+        code_before, row = two_before(data, order, ends, base)
+        transforms.append(code_before)
+        longer.append(row)
         total += len(data)
-    rows, block = merge(transforms, last, base, depth)
-    place = np.empty(total, dtype=np.int64)
-    place[np.concatenate(orders)] = rows
+    rows, block = merge(transforms, longer, depth)
+    place = np.concatenate(orders)[rows]  # of each repeated suffix in the strings end to end
     starts = np.cumsum(sizes + 1) - sizes - 1
-    at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    number = block[place[at]]
-    owner = np.repeat(owners, windows)
-    least = np.full(int(block[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, number, owner)
-    return least[number], windows
+    string = np.searchsorted(starts, place, "right") - 1
+    out = np.repeat(owners, windows)
+    if len(rows):
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        least = np.minimum.reduceat(owners[string], first)
+        before = np.cumsum(windows) - windows
+        out[before[string] + place - starts[string]] = np.repeat(least, np.diff(np.append(first, len(rows))))
+    return out, windows

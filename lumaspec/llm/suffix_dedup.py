@@ -38,6 +38,10 @@ from .common import SpanHasher, mix64, read
 WIDTH, ANCHOR = 50, 16
 #: Bytes of text in a group, and in a bucket's share of the input, on average.
 GROUP_BYTES = 4_000_000
+#: Buckets for each group: the transforms merged at a time stay small.
+BUCKETS_PER_GROUP = 4
+#: Bits of an anchor's hash that travel; a bucket's number tells the rest. Anchors taken for equal only cost work.
+KEY_BITS = 40
 #: Bytes of text whose windows are looked for at a time.
 BLOCK_BYTES = 400_000
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -105,6 +109,9 @@ class Windows:
         starts, stops, doc = starts[keep], stops[keep], doc[keep]
         return starts + base, stops + base, doc + a, grams[place[starts]]
 
+    def keys(self, buckets: int) -> np.ndarray:
+        return _keys(self.anchors % np.uint64(buckets), self.anchors >> np.uint64(64 - KEY_BITS))
+
     def anchor_hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Different anchors, and whether each stands in two documents here."""
         order = np.argsort(self.anchors, kind="stable")
@@ -116,9 +123,9 @@ class Windows:
             return a, fresh
         return a[at], np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
 
-    def strings(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def strings(self, repeated: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of repeated anchors: (their numbers, first run of each different string, number of each run's string)."""
-        runs = np.flatnonzero(np.isin(self.anchors, repeated, kind="sort")) if len(repeated) else np.zeros(0, dtype=np.int64)
+        runs = np.flatnonzero(np.isin(self.keys(buckets), repeated, kind="sort")) if len(repeated) else np.zeros(0, dtype=np.int64)
         a, b = self.starts[runs], self.stops[runs] + WIDTH - 1
         if not len(runs):
             return runs, runs, runs
@@ -127,6 +134,32 @@ class Windows:
         return runs, runs[first], inverse
 
 
+def _keys(bucket: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """One number for a bucket and the bits of a hash that travel."""
+    return mix64(bucket) ^ short
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    """The upper ``KEY_BITS`` bits of each hash."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BITS // 8 :].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    """What ``_short`` wrote, as numbers."""
+    n = KEY_BITS // 8
+    out = np.zeros((len(raw) // n, 8), dtype=np.uint8)
+    out[:, :n] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, n)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _pack(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    return pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+
+
 def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of hashes by bucket, and where the buckets begin and which they are."""
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
@@ -144,7 +177,7 @@ def _announce(buckets: int):
         g = table.column("g")[0].as_py()
         hashes, twice = Windows(table).anchor_hashes()
         order, at, names = _by_bucket(hashes, buckets)
-        return _send([(int(k), g, hashes[x].tobytes() + twice[x].tobytes()) for k, x in ((k, order[a:b]) for k, a, b in zip(names, at[:-1], at[1:], strict=True))])
+        return _send([(int(k), g, _short(hashes[x]) + twice[x].tobytes()) for k, x in ((k, order[a:b]) for k, a, b in zip(names, at[:-1], at[1:], strict=True))])
 
     return run
 
@@ -152,9 +185,10 @@ def _announce(buckets: int):
 def _repeated(table: pa.Table) -> pa.Table:
     """Tells each group which of its anchors repeat."""
     groups, raw = table.column("g").to_pylist(), table.column("data").to_pylist()
-    sizes = [len(r) // 9 for r in raw]
-    hashes = np.concatenate([np.frombuffer(r[: 8 * k], dtype=np.uint64) for r, k in zip(raw, sizes, strict=True)])
-    twice = np.concatenate([np.frombuffer(r[8 * k :], dtype=bool) for r, k in zip(raw, sizes, strict=True)])
+    width = KEY_BITS // 8
+    sizes = [len(r) // (width + 1) for r in raw]
+    hashes = np.concatenate([_long(r[: width * k]) for r, k in zip(raw, sizes, strict=True)])
+    twice = np.concatenate([np.frombuffer(r[width * k :], dtype=bool) for r, k in zip(raw, sizes, strict=True)])
     names, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
     many = counts > 1
     many[inverse[twice]] = True
@@ -162,13 +196,14 @@ def _repeated(table: pa.Table) -> pa.Table:
     for g, k in zip(groups, sizes, strict=True):
         x = hashes[a : a + k][many[inverse[a : a + k]]]
         if len(x):
-            out.append((bucket, g, x.tobytes()))
+            out.append((bucket, g, _short(x << np.uint64(64 - KEY_BITS))))
         a += k
     return _send(out)
 
 
 def _known(told: pa.Table) -> np.ndarray:
-    rows = [np.frombuffer(r, dtype=np.uint64) for r in told.column("data").to_pylist()]
+    buckets = np.asarray(told.column("bucket")).astype(np.uint64)
+    rows = [_keys(b, _long(r)) for b, r in zip(buckets, told.column("data").to_pylist(), strict=True)]
     return np.sort(np.concatenate(rows)) if rows else np.zeros(0, dtype=np.uint64)
 
 
@@ -178,7 +213,7 @@ def _submit(buckets: int):
             return _send([])
         w = Windows(docs)
         g = docs.column("g")[0].as_py()
-        _, first, _ = w.strings(_known(told))
+        _, first, _ = w.strings(_known(told), buckets)
         order, at, names = _by_bucket(w.anchors[first], buckets)
         out = []
         for k, a, b in zip(names, at[:-1], at[1:], strict=True):
@@ -186,7 +221,8 @@ def _submit(buckets: int):
             starts, ends = w.starts[x], w.stops[x] + WIDTH - 1
             text = b"".join(w.raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True))
             head = np.array([len(x)], dtype="<u4").tobytes()
-            out.append((int(k), g, head + w.ids[w.doc[x]].astype("<i8").tobytes() + w.anchors[x].tobytes() + (ends - starts).astype(np.uint8).tobytes() + text))
+            anchor = (w.anchors[x] >> np.uint64(32)).astype("<u4").tobytes()
+            out.append((int(k), g, _pack(head + w.ids[w.doc[x]].astype("<i8").tobytes() + anchor + (ends - starts).astype(np.uint8).tobytes() + text)))
         return _send(out)
 
     return run
@@ -195,7 +231,7 @@ def _submit(buckets: int):
 def _answer(table: pa.Table) -> pa.Table:
     """Merges the transforms of a bucket's strings; answers each group with runs of (length, least document) for its strings."""
     table = table.sort_by([("g", "ascending")])
-    groups, raw = table.column("g").to_pylist(), table.column("data").to_pylist()
+    groups, raw = table.column("g").to_pylist(), map(_unpack, table.column("data").to_pylist())
     number: dict[bytes, int] = {}
     owners: list[int] = []
     anchors: list[int] = []
@@ -203,9 +239,9 @@ def _answer(table: pa.Table) -> pa.Table:
     for r in raw:
         n = int(np.frombuffer(r[:4], dtype="<u4")[0])
         ids = np.frombuffer(r[4 : 4 + 8 * n], dtype="<i8").tolist()
-        keys = np.frombuffer(r[4 + 8 * n : 4 + 16 * n], dtype=np.uint64).tolist()
-        ends = np.cumsum(np.frombuffer(r[4 + 16 * n : 4 + 17 * n], dtype=np.uint8)).tolist()
-        text, a, mine = r[4 + 17 * n :], 0, []
+        keys = np.frombuffer(r[4 + 8 * n : 4 + 12 * n], dtype="<u4").tolist()
+        ends = np.cumsum(np.frombuffer(r[4 + 12 * n : 4 + 13 * n], dtype=np.uint8)).tolist()
+        text, a, mine = r[4 + 13 * n :], 0, []
         for doc, key, b in zip(ids, keys, ends, strict=True):
             s = text[a:b]
             i = number.setdefault(s, len(owners))
@@ -218,7 +254,7 @@ def _answer(table: pa.Table) -> pa.Table:
             a = b
         sent.append(mine)
     # Windows of an anchor with one string alone belong to that string's least document; the others' transforms are merged.
-    _, inverse, count = np.unique(np.array(anchors, dtype=np.uint64), return_inverse=True, return_counts=True)
+    _, inverse, count = np.unique(np.array(anchors, dtype=np.uint32), return_inverse=True, return_counts=True)
     shared = count[inverse] > 1
     owner, strings = np.array(owners, dtype=np.int64), list(number)
     windows = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)) - WIDTH + 1
@@ -253,7 +289,7 @@ def _remove(buckets: int):
         kinds = np.asarray(told.column("kind")) if told.num_rows else np.zeros(0, dtype=np.int32)
         answers = {b: r for b, r, k in zip(told.column("bucket").to_pylist(), told.column("data").to_pylist(), kinds, strict=True) if k == 1}
         if answers:
-            runs, first, inverse = w.strings(_known(told.filter(pa.array(kinds == 0))))
+            runs, first, inverse = w.strings(_known(told.filter(pa.array(kinds == 0))), buckets)
             order, at, names = _by_bucket(w.anchors[first], buckets)
             counts, lengths, values = [], [], []
             for k in names.tolist():
@@ -298,13 +334,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
+    buckets = groups * BUCKETS_PER_GROUP
     grouped = rows.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(groups)).alias("g"), "doc_id", "text", "text_hash")
     by_group = grouped.groupBy("g")
-    told = by_group.applyInArrow(_announce(groups), _SENT).groupBy("bucket").applyInArrow(_repeated, _SENT)
-    sent = by_group.cogroup(told.groupBy("g")).applyInArrow(_submit(groups), _SENT)
+    told = by_group.applyInArrow(_announce(buckets), _SENT).groupBy("bucket").applyInArrow(_repeated, _SENT)
+    sent = by_group.cogroup(told.groupBy("g")).applyInArrow(_submit(buckets), _SENT)
     answers = sent.groupBy("bucket").applyInArrow(_answer, _SENT)
     both = told.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)))
-    result = by_group.cogroup(both.groupBy("g")).applyInArrow(_remove(groups), "doc_id long, text_hash long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>")
+    result = by_group.cogroup(both.groupBy("g")).applyInArrow(_remove(buckets), "doc_id long, text_hash long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>")
     alone = rows.where("doc_id IS NULL").select("doc_id", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("kept"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"))
     return result.unionByName(alone)
 
