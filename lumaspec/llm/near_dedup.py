@@ -7,11 +7,13 @@
 2. Texts of equal sets are one class, represented by its least id.
 3. In each bucket every class is compared with one pivot (a star, as many pairs
    as members), for ``STARS`` choices of pivot. Then every pair of a bucket
-   whose classes are not yet connected is compared, in blocks of a bucket, so
-   no link between different components is lost. The XOR's population count
-   decides which pairs are worth an exact check (estimates down to five
-   standard errors below the threshold pass), and each pair that passes is
-   confirmed on the two full shingle sets.
+   whose classes are not yet connected is compared, so no link between
+   different components is lost. The XOR's population count decides which
+   pairs are worth an exact check (estimates down to five standard errors below
+   the threshold pass), and each pair that passes is confirmed on the two full
+   shingle sets: pairs of buckets of up to ``SMALL`` classes by joins with the
+   texts, those of larger buckets inside the tasks of their blocks, where each
+   pair is checked in the first bucket it shares and links alone come out.
 4. Confirmed links are joined to components by label passing with pointer
    jumping, in tables.
 
@@ -39,7 +41,7 @@ from .shingles import shingle_sets
 BANDS, ROWS = 48, 5
 SKETCH_BITS = 1024
 STARS = 2
-BLOCK = 1024
+SMALL, BLOCK = 16, 512
 SAMPLES = BANDS * ROWS
 _SEEDS = (mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _FACTORS = (mix64(np.arange(SAMPLES + 1, 2 * SAMPLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -140,23 +142,39 @@ def _confirm(percent: int):
                 n = part.num_rows
                 keep = []
                 for x, y in zip(both[:n], both[n:], strict=True):
-                    p, q = each[number[x]], each[number[y]]
-                    small, large = (p, q) if len(p) <= len(q) else (q, p)
-                    at_ = np.searchsorted(large, small)
-                    common = int((large[np.minimum(at_, len(large) - 1)] == small).sum()) if len(large) else 0
-                    keep.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
+                    keep.append(_linked(each[number[x]], each[number[y]], percent))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _block_pairs(xor_most: int, percent: int):
-    """Pairs of rows of one block (key, i, j) from different components that may be near; blocks hold at most about two times BLOCK rows."""
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked."""
+    small, large = (p, q) if len(p) <= len(q) else (q, p)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return common > 0 and 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def _block_pairs(xor_most: int, percent: int, exact: bool):
+    """Pairs of rows of one block from different components that may be near, or, ``exact``, that are linked.
+
+    Rows of a block are neighbours. ``exact`` rows also carry their bucket's
+    key, all their keys and their set; a pair counts in the first bucket that
+    both share.
+    """
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         number = np.asarray(t.column("block"))
         ids, comp, n, side = (np.asarray(t.column(c)) for c in ("id", "comp", "n", "side"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
+        if exact:
+            key = np.asarray(t.column("key"))
+            keys = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(len(ids), BANDS)
+            raw = t.column("set").to_pylist()
+            sets: dict[int, np.ndarray] = {}
         left, right = [], []
         rows = np.arange(len(ids))
         d = 1
@@ -166,10 +184,18 @@ def _block_pairs(xor_most: int, percent: int):
             x, y = rows, rows + d
             fit = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= percent * np.maximum(n[x], n[y])) & ((side[x] != side[y]) | (side[x] == 2))
             x, y = x[fit], y[fit]
-            if len(x):
-                near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= xor_most
-                left.append(ids[x[near]])
-                right.append(ids[y[near]])
+            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= xor_most
+            x, y = x[near], y[near]
+            if exact and len(x):
+                same = keys[x] == keys[y]
+                first = keys[x, np.argmax(same, axis=1)] == key[x]
+                x, y = x[first], y[first]
+                for i in {*x.tolist(), *y.tolist()} - sets.keys():
+                    sets[i] = np.frombuffer(raw[i], dtype=np.uint64)
+                hit = np.fromiter((_linked(sets[i], sets[j], percent) for i, j in zip(x.tolist(), y.tolist(), strict=True)), dtype=bool, count=len(x))
+                x, y = x[hit], y[hit]
+            left.append(ids[x])
+            right.append(ids[y])
             d += 1
         a = np.concatenate(left) if left else ids[:0]
         b = np.concatenate(right) if right else ids[:0]
@@ -192,6 +218,15 @@ def _block_pairs(xor_most: int, percent: int):
     return run
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, set): the sorted shingle hashes of each text, as bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            sets, bounds = shingle_sets([t or b"" for t in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "set"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the least id reachable from each id of ``edges`` (a, b)."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -240,18 +275,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
             pairs = pairs.select("a", "b", "sa", "sb").mapInArrow(_near(most, percent), f"a {id_kind}, b {id_kind}")
         else:
             left = placed.join(open_.select("key"), "key").join(info, "id")
+            few = left.where(F.col("m") <= SMALL).select(F.col("key").alias("block"), "id", "comp", "n", F.lit(2).alias("side"), "sketch")
+            pairs = few.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_block_pairs(most, percent, False), f"a {id_kind}, b {id_kind}").distinct()
+            many = left.where(F.col("m") > SMALL)
             parts = F.ceil(F.col("m") / BLOCK).cast("int")
             mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-            left = left.withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            many = many.withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             # Block (i, j) compares part i with part j; block (i, i) compares a part with itself (side 2).
-            left = left.withColumn("block", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-            left = left.withColumn("side", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1))
-            dealt = left.select("block", "id", "comp", "n", "side", "sketch").repartition("block").sortWithinPartitions("block", "id")
-            pairs = dealt.mapInArrow(_block_pairs(most, percent), f"a {id_kind}, b {id_kind}").distinct()
+            many = many.withColumn("block", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+            many = many.withColumn("side", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1))
+            sets = texts.join(left.where(F.col("m") > SMALL).select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets, f"id {id_kind}, set binary")
+            many = many.join(sets, "id").join(classes.select("id", "keys"), "id").select("block", "id", "comp", "n", "side", "sketch", "key", "keys", "set")
+            direct = many.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_block_pairs(most, percent, True), f"a {id_kind}, b {id_kind}")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        found = cut(check(pairs))
+        found = cut(check(pairs) if turn < STARS else check(pairs).unionByName(direct))
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         joined = components(links)
