@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import cut, mix64, read
 from .hamming import usable
 
-K, REVERSE, RUN, PROJECTIONS = 20, 20, 40, 5
+K, REVERSE, RUN, PROJECTIONS = 24, 24, 40, 5
 ROUNDS, STOP = 8, 0.01
 #: Best of each group that one local join passes on to a vector.
 PASSED = 8
-BEAM, EXPAND, STEPS = 64, 16, 10
+BEAM, EXPAND, STEPS = 192, 48, 10
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
