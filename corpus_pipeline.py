@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
     import public_tokenizers
 
-    return pack_pieces(cut(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))))
+    return pack_pieces(cut(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)))
 
 
 STAGES = [

@@ -93,11 +93,15 @@ class WordCoder:
 
     ``merge_words(list of words) -> list of id sequences`` encodes new words.
     The cache is emptied when it holds ``max_words`` words, so memory stays
-    bounded whatever the vocabulary of the corpus.
+    bounded whatever the vocabulary of the corpus. ``added`` (content to id)
+    are tokens matched in the text before it is cut into words.
     """
 
-    def __init__(self, merge_words: Callable[[list[str]], list], max_words: int = 600_000) -> None:
+    def __init__(self, merge_words: Callable[[list[str]], list], max_words: int = 600_000, added: dict[str, int] | None = None) -> None:
         self.merge_words, self.max_words = merge_words, max_words
+        self.added = added or {}
+        # Leftmost, then longest, as the library matches them.
+        self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.hasher = SpanHasher()
         self._reset()
 
@@ -131,6 +135,17 @@ class WordCoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids start (one more entry: the end)."""
+        if not any(a in t for t in texts for a in self.added):
+            return self._encode_plain(texts)
+        split = [self.added_pattern.split(t) for t in texts]  # text and added token in turn
+        ids, bounds = self._encode_plain([p for s in split for p in s[::2]])
+        first = np.cumsum([0, *((len(s) + 1) // 2 for s in split)])  # part of each text
+        before_token = np.ones(len(bounds) - 1, dtype=bool)
+        before_token[first[1:] - 1] = False
+        tokens = np.array([self.added[p] for s in split for p in s[1::2]], dtype=ids.dtype)
+        return np.insert(ids, bounds[1:][before_token], tokens), bounds[first] + first - np.arange(len(first))
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         ends = np.cumsum(sizes)
         codes = code_points(texts)
@@ -200,15 +215,28 @@ def json_merges(path: str) -> Callable[[list[str]], list]:
     return lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
 
 
+def json_added(path: str) -> dict[str, int]:
+    """Content and id of the added tokens of a file of the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    tokens = Tokenizer.from_file(path).get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens.values()):
+        raise ValueError("added tokens that strip, match single words or normalised text are not supported")
+    return {t.content: i for i, t in tokens.items()}
+
+
 _CODERS: dict[tuple, WordCoder] = {}
 
 
-def coder(kind: str, path: str) -> WordCoder:
-    """The worker's own coder, kept between tasks (a cache only: losing it loses no result)."""
-    if (kind, path) not in _CODERS:
+def coder(kind: str, path: str, added: bool = False) -> WordCoder:
+    """The worker's own coder, kept between tasks (a cache only: losing it loses no result).
+
+    ``added``: the added tokens of a json file are matched, as by the library; otherwise their strings are ordinary text.
+    """
+    if (kind, path, added) not in _CODERS:
         if kind == "duckdb":
             from .duckdb_bpe import duckdb_merges as make
         else:
             make = {"ranks": rank_merges, "json": json_merges}[kind]
-        _CODERS[kind, path] = WordCoder(make(path))
-    return _CODERS[kind, path]
+        _CODERS[kind, path, added] = WordCoder(make(path), added=json_added(path) if added and kind == "json" else None)
+    return _CODERS[kind, path, added]

@@ -13,7 +13,9 @@
 
 Edge cases: a null text counts as empty, so it is one piece of one id; repeated
 rows are packed each on their own; an empty table gives an empty table; other
-columns of the input are not read. Strings of special tokens are ordinary text.
+columns of the input are not read. With ``added`` the added tokens of a json file
+are matched in the texts, as the tokenizers library does (op4 and the pipeline);
+without, their strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ from .bytebpe import coder
 from .common import cut, parallelism, read
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Pieces of all documents: id, piece, start, length, ids_crc32 and, if asked for, ids."""
     engine = "json" if tokenizer_path.endswith(".json") else "ranks"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(engine, tokenizer_path)
+        c = coder(engine, tokenizer_path, added)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for first, ids, bounds in c.batches(texts):
@@ -210,5 +212,5 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, id_col: str = "doc_id")
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = cut(token_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    pieces = cut(token_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added=True))
     return pack_pieces(pieces)

@@ -1,5 +1,6 @@
 """Tokenising, packing, section counts and chat formatting against plain versions."""
 
+import functools
 import hashlib
 import zlib
 
@@ -90,6 +91,38 @@ def test_packing(spark, capacity):
     assert packing.pack_pieces(packing.token_pieces(table(spark, []), P.path("byte_bpe_50k.json"))).count() == 0
 
 
+@functools.lru_cache(maxsize=1)
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>'s  \n <|endoftext|", "  <|endoftext|>  don<|endoftext|>'t", "none", None, "", "x <|endoftext|>"]
+
+
+def test_op4_ids_are_those_of_the_tokenizers_library(spark, tmp_path):
+    tok = library()
+    texts = ADDED + ODD
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = packing.op4_best_fit_packing(spark, str(tmp_path)).orderBy("doc_id", "piece").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        assert sum(n for _, n, _ in got[i]) == len(ids)
+        assert all(crc == zlib.crc32(ids[a : a + n].tobytes()) for a, n, crc in got[i])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "'s", "\n", "é1"]), max_size=12).map("".join), max_size=4))
+def test_added_tokens_are_matched_as_by_the_library(texts):
+    tok = library()
+    ids, bounds = bytebpe.coder("json", P.path("byte_bpe_50k.json"), added=True).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), min_size=1), st.integers(1, 40))
 def test_plan_places_everything_once(counts, groups):
