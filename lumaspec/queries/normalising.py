@@ -155,3 +155,10 @@ SELECT l.sample_id, l.j, round(coalesce(l.value, f.fill), 6) + 0.0 AS value FROM
 def knn_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = long(spark, sf_dir).where("j < 8").withColumn("value", F.when((F.col("sample_id") * 7 + F.col("j") * 13) % 97 != 0, F.col("value")))
     return out(n.knn_impute(x))
+
+
+@query()
+def knn_impute_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features, filled and counted in the distances; ``knn_impute`` is held to the first eight by its SQL."""
+    x = long(spark, sf_dir).withColumn("value", F.when((F.col("sample_id") * 7 + F.col("j") * 13) % 97 != 0, F.col("value")))
+    return out(n.knn_impute(x))
