@@ -109,4 +109,4 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rf_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ml import Classifier
 
-    return Classifier("rf").cross_validate(matrix(spark, sf_dir).where(F.col("grp").isin(0, 1)), 3)
+    return Classifier("rf").cross_validate(matrix(spark, sf_dir), 3)

@@ -27,3 +27,15 @@ def test_imputation_covers_all_features(spark, tmp_path):
     for r in rows:
         got[r["sample_id"], r["j"]] = r["value"]
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_forest_is_validated_on_all_labels(spark, tmp_path, monkeypatch):
+    from lumaspec.operators.ml import Classifier
+
+    labels = np.repeat(np.arange(4), 9)
+    at, _ = embeddings(spark, tmp_path, np.random.default_rng(4).normal(size=(36, 3)) + 9 * labels[:, None], labels)
+    seen, fit = [], Classifier.fit
+    monkeypatch.setattr(Classifier, "fit", lambda self, m: seen.append({r["grp"]: r["count"] for r in m.groupBy("grp").count().collect()}) or fit(self, m))
+    rows = QUERIES["rf_cv"](spark, at).collect()
+    assert seen == [dict.fromkeys(range(4), 6)] * 3
+    assert len(rows) == 3 and all(r["accuracy"] > 0.9 and r["macro_f1"] > 0.9 for r in rows)
