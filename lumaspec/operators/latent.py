@@ -393,6 +393,12 @@ def hca(long: DataFrame, clusters: int = 3) -> tuple[list, list[tuple[int, int,
         alive[a] = False
         merges.append((a, b, float(np.sqrt(max(h, 0))), float(s[a] + s[b])))
         size[b] = s[a] + s[b]
+    rows, flat = _tree(n, merges, clusters)
+    return ids, rows, flat
+
+
+def _tree(n: int, merges: list[tuple[int, int, float, float]], clusters: int) -> tuple[list[tuple[int, int, float, int]], np.ndarray]:
+    """Linkage rows in order of height and the flat clusters of n samples, from merges in any order."""
     order = sorted(range(n - 1), key=lambda i: merges[i][2])
     name, rows = list(range(n)), []
     parent = list(range(2 * n - 1))
@@ -418,6 +424,51 @@ def hca(long: DataFrame, clusters: int = 3) -> tuple[list, list[tuple[int, int,
         while parent[at] != at and parent[at] < 2 * n - clusters:
             at = parent[at]
         flat[i] = label.setdefault(at, len(label) + 1)
+    return rows, flat
+
+
+def hca_samples(matrix: DataFrame, clusters: int = 3, most: int = 100_000) -> tuple[list, list[tuple[int, int, float, int]], np.ndarray]:
+    """As ``hca``, without a matrix of samples by samples: Ward distances come from the clusters' means and sizes.
+
+    All samples reach the driver (samples x features numbers) and time grows with
+    the square of the samples; more than ``most`` of them are an error.
+    """
+    n = matrix.count()
+    if n > most:
+        raise ValueError(f"{n} samples: more than the driver should cluster")
+    got = matrix.orderBy("sample_id").select("sample_id", "values").toArrow()
+    ids = got["sample_id"].to_pylist()
+    if not n:
+        return ids, [], np.zeros(0, dtype=int)
+    x = np.vstack(got["values"].to_numpy()).astype(float)
+    if np.isnan(x).any():
+        raise ValueError("missing values: impute them first")
+    number, size, left = np.arange(n), np.ones(n), n  # clusters stand at 0 .. left - 1, each under the number of one of its samples
+    place, merges, chain = np.arange(n), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(number[0])]
+        while True:
+            at = place[chain[-1]]
+            d = ((x[:left] - x[at]) ** 2).sum(axis=1) * (2 * (size[:left] * size[at]) / (size[:left] + size[at]))
+            d[at] = np.inf
+            y = int(number[np.argmin(d)])
+            if len(chain) > 1 and (d[place[chain[-2]]] <= d[place[y]] or y in chain):
+                y = chain[-2]
+            if len(chain) > 1 and y == chain[-2]:
+                break
+            chain.append(y)
+        y, z = chain.pop(), chain.pop()
+        a, b = min(y, z), max(y, z)
+        i, k = place[a], place[b]
+        h = ((x[i] - x[k]) ** 2).sum() * (2 * (size[i] * size[k]) / (size[i] + size[k]))
+        x[k] = (size[i] * x[i] + size[k] * x[k]) / (size[i] + size[k])
+        size[k] += size[i]
+        merges.append((a, b, float(np.sqrt(h)), float(size[k])))
+        left -= 1
+        x[i], size[i], number[i] = x[left], size[left], number[left]
+        place[number[i]] = i
+    rows, flat = _tree(n, merges, clusters)
     return ids, rows, flat
 
 

@@ -91,13 +91,9 @@ def ica_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hca_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the classes' mean spectra."""
-    from ..operators.colstats import group_profile
-    from .columns import long
-
-    means = group_profile(long(spark, sf_dir)).select(F.col("grp").alias("sample_id"), "j", "value")
-    ids, _, flat = m.hca(means, 3)
-    return spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, flat, strict=True)], "label int, cluster int")
+    """A cluster for each sample."""
+    ids, _, flat = m.hca_samples(matrix(spark, sf_dir), 3)
+    return spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, flat, strict=True)], "sample_id long, cluster int")
 
 
 @query()

@@ -39,3 +39,21 @@ def test_forest_is_validated_on_all_labels(spark, tmp_path, monkeypatch):
     rows = QUERIES["rf_cv"](spark, at).collect()
     assert seen == [dict.fromkeys(range(4), 6)] * 3
     assert len(rows) == 3 and all(r["accuracy"] > 0.9 and r["macro_f1"] > 0.9 for r in rows)
+
+
+def test_every_sample_gets_a_cluster(spark, tmp_path):
+    from lumaspec.operators import latent
+    from lumaspec.plans.matrix import to_long
+    from lumaspec.queries.columns import matrix
+
+    group = np.arange(60) % 3
+    at, x = embeddings(spark, tmp_path, np.random.default_rng(5).normal(size=(60, 4)) + 30 * group[:, None], group % 2)
+    rows = sorted(QUERIES["hca_clusters"](spark, at).collect())
+    assert [r["sample_id"] for r in rows] == list(range(60))
+    assert len({(g, r["cluster"]) for g, r in zip(group, rows, strict=True)}) == 3
+    ids, linkage, flat = latent.hca(to_long(matrix(spark, at)), 5)
+    ids2, linkage2, flat2 = latent.hca_samples(matrix(spark, at), 5)
+    assert ids == ids2 and list(flat) == list(flat2)
+    assert np.array(linkage2) == pytest.approx(np.array(linkage), rel=1e-6)
+    with pytest.raises(ValueError):
+        latent.hca_samples(matrix(spark, at), 3, most=59)
