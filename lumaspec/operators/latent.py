@@ -215,9 +215,10 @@ def opls_predict(model: dict, x: np.ndarray, k: int) -> np.ndarray:
     return work @ model["w"] * model["c"][min(k, len(model["c"])) - 1]
 
 
-def opls_da(matrix: DataFrame, kfold: int = 3, scaling: str = "pareto", most: int = 10) -> DataFrame:
+def opls_da(matrix: DataFrame, kfold: int = 3, scaling: str = "pareto", most: int | None = None) -> DataFrame:
     """One row: components, r2y, q2, misclassified, n of a two-class model, components chosen by contiguous-fold cross-validation.
 
+    All min(samples - 1, features) components of each fold are judged, or at most ``most``.
     Each fold is fitted in a worker on the samples of two classes (a study, not
     a stream: the samples of a study fit a worker, which is checked).
     """
@@ -243,11 +244,13 @@ def opls_da(matrix: DataFrame, kfold: int = 3, scaling: str = "pareto", most: in
         power = {"uv": 1.0, "pareto": 0.5, "mean": 0.0}[scaling]
         div = np.where(sd > 0, np.where(sd > 0, sd, 1) ** power, 1.0)
         my = y[train].mean()
-        m = opls_arrays((x[train] - mean) / div, y[train] - my, min(most, train.sum() - 1, x.shape[1]))
+        m = opls_arrays((x[train] - mean) / div, y[train] - my, min(train.sum() - 1, x.shape[1], *([] if most is None else [most])))
         z, v = (x[test] - mean) / div, y[test] - my
         out = []
         for k in range(1, len(m["c"]) + 1):
-            e = v - opls_predict(m, z, k)
+            if k <= len(m["wo"]):  # one more component removed, as in opls_predict
+                z = z - np.outer(z @ m["wo"][k - 1], m["po"][k - 1])
+            e = v - z @ m["w"] * m["c"][k - 1]
             out.append((run, k, float(e @ e), int(((v - e > 0) != (v > 0)).sum()), float(((y[test] - y.mean()) ** 2).sum())))
         return pd.DataFrame(out, columns=["run", "k", "press", "wrong", "ss"])
 

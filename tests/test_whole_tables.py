@@ -57,3 +57,27 @@ def test_every_sample_gets_a_cluster(spark, tmp_path):
     assert np.array(linkage2) == pytest.approx(np.array(linkage), rel=1e-6)
     with pytest.raises(ValueError):
         latent.hca_samples(matrix(spark, at), 3, most=59)
+
+
+def test_opls_judges_all_components(spark, tmp_path):
+    from lumaspec.operators import latent
+    from lumaspec.queries.columns import matrix
+
+    rng = np.random.default_rng(101)
+    y = np.repeat([0, 1], 40)
+    x = rng.normal(size=(80, 14))
+    x[:, 0] += 1.5 * y
+    x = x @ rng.normal(size=(14, 14)) * np.geomspace(1, 30, 14)
+    at, x = embeddings(spark, tmp_path, x, y)
+    fold = np.concatenate([np.arange(40) // 14] * 2)
+    wrong = np.zeros(13, dtype=int)  # 14 features leave 13 orthogonal directions
+    for f in range(3):
+        a, b = fold != f, fold == f
+        mean, div, my = x[a].mean(0), np.sqrt(x[a].std(0)), y[a].mean()
+        model = latent.opls_arrays((x[a] - mean) / div, y[a] - my, 14)
+        for k in range(13):
+            wrong[k] += ((latent.opls_predict(model, (x[b] - mean) / div, k + 1) > 0) != (y[b] > my)).sum()
+    assert wrong.argmin() >= 10
+    got = QUERIES["opls_da"](spark, at).first()
+    assert (got["components"], got["misclassified"]) == (wrong.argmin() + 1, wrong.min())
+    assert latent.opls_da(matrix(spark, at), 3, most=10).first()["components"] <= 10
