@@ -344,25 +344,40 @@ def lda(matrix: DataFrame, components: int | None = None) -> tuple[DataFrame, np
     return _project(matrix, mean, w, [f"LD{i + 1}" for i in range(len(order))]), b[order] / max(b[b > 0].sum(), 1e-300)
 
 
-def ica(matrix: DataFrame, components: int = 2, seed: int = 42, rounds: int = 200, sample: int = 50_000) -> DataFrame:
-    """Independent components (symmetric fixed point, log cosh). The rotation is found on at most ``sample`` rows in order of a hash of the id; scores cover all rows."""
+def ica(matrix: DataFrame, components: int = 2, seed: int = 42, rounds: int = 200) -> DataFrame:
+    """Independent components (symmetric fixed point, log cosh). Each round is a sum over all rows; the driver sees components x components numbers of each task."""
     n, mean, c = moments(matrix)
     val, vec = np.linalg.eigh(c / n)
     order = np.argsort(-val)[:components]
     white = vec[:, order] / np.sqrt(np.maximum(val[order], 1e-300))
     names = [f"IC{i + 1}" for i in range(components)]
-    rows = _project(matrix, mean, white, names).orderBy(F.xxhash64("sample_id"), "sample_id").limit(sample).select(*names).collect()
-    z = np.array([list(r) for r in rows])
+    rows = _project(matrix, mean, white, names).select(*names).persist()
     w = np.linalg.qr(np.random.default_rng(seed).normal(size=(components, components)))[0]
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over all rows of the outer products of tanh and row, and of the derivatives."""
+
+        def part(batches):
+            gz, slope = np.zeros((components, components)), np.zeros(components)
+            for b in batches:
+                z = b.to_numpy()
+                g = np.tanh(z @ w.T)
+                gz, slope = gz + g.T @ z, slope + (1 - g**2).sum(0)
+            yield pd.DataFrame({"gz": [gz.ravel().tolist()], "slope": [slope.tolist()]})
+
+        got = rows.mapInPandas(part, "gz array<double>, slope array<double>").collect()
+        return np.sum([r["gz"] for r in got], axis=0).reshape(components, components), np.sum([r["slope"] for r in got], axis=0)
+
     for _ in range(rounds):
-        g = np.tanh(z @ w.T)
-        new = g.T @ z / len(z) - np.diag((1 - g**2).mean(0)) @ w
+        gz, slope = sums(w)
+        new = gz / n - np.diag(slope / n) @ w
         u, _, v = np.linalg.svd(new)
         new = u @ v
         if np.max(np.abs(np.abs(np.sum(new * w, axis=1)) - 1)) < 1e-6:
             w = new
             break
         w = new
+    rows.unpersist()
     full = white @ w.T
     return _project(matrix, mean, full * fixed_signs(full), names)
 

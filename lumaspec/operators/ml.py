@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .linalg import moments
+
 MODELS = ("rf", "svm", "xgb", "elasticnet", "mlp")
 
 
@@ -100,30 +102,32 @@ class Classifier:
 
 
 class Autoencoder:
-    """Dense autoencoder trained by Adam on a bounded sample; encoding covers all rows."""
+    """Dense autoencoder trained by Adam on all rows.
+
+    Each epoch brings the rows to the driver once, batch by batch, in the order of a new hash.
+    """
 
-    def __init__(self, hidden: tuple[int, ...] = (32,), latent: int = 8, epochs: int = 50, rate: float = 1e-3, seed: int = 42, sample: int = 50_000) -> None:
-        self.hidden, self.latent, self.epochs, self.rate, self.seed, self.sample = hidden, latent, epochs, rate, seed, sample
+    def __init__(self, hidden: tuple[int, ...] = (32,), latent: int = 8, epochs: int = 50, rate: float = 1e-3, seed: int = 42) -> None:
+        self.hidden, self.latent, self.epochs, self.rate, self.seed = hidden, latent, epochs, rate, seed
 
     def fit(self, matrix: DataFrame) -> "Autoencoder":
-        x = np.array([r["values"] for r in matrix.orderBy(F.xxhash64("sample_id"), "sample_id").limit(self.sample).select("values").collect()])
-        self.mean, sd = x.mean(0), x.std(0)
+        n, self.mean, c = moments(matrix)
+        sd = np.sqrt(np.maximum(np.diag(c) / n, 0))
         self.sd = np.where(sd > 0, sd, 1.0)
-        x = (x - self.mean) / self.sd
-        sizes = [x.shape[1], *self.hidden, self.latent, *self.hidden[::-1], x.shape[1]]
+        sizes = [len(sd), *self.hidden, self.latent, *self.hidden[::-1], len(sd)]
         rng = np.random.default_rng(self.seed)
         w = [rng.normal(size=(a, b)) * np.sqrt(2 / a) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
         b = [np.zeros(s) for s in sizes[1:]]
         par = w + b
         m1, m2, step = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par], 0
         linear = {len(self.hidden), len(w) - 1}
-        for _ in range(self.epochs):
-            for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
-                acts = [x[at]]
+        for epoch in range(self.epochs):
+            for x in self._mini_batches(matrix, epoch):
+                acts = [x]
                 for i in range(len(w)):
                     z = acts[-1] @ w[i] + b[i]
                     acts.append(z if i in linear else np.maximum(z, 0))
-                d = 2 * (acts[-1] - x[at]) / acts[-1].size
+                d = 2 * (acts[-1] - x) / acts[-1].size
                 gw, gb = [None] * len(w), [None] * len(w)
                 for i in range(len(w) - 1, -1, -1):
                     if i not in linear:
@@ -138,6 +142,25 @@ class Autoencoder:
         self.w, self.b, self.linear = w, b, linear
         return self
 
+    def _mini_batches(self, matrix: DataFrame, epoch: int, size: int = 64):
+        """All rows, scaled, in arrays of ``size`` rows (the last may be smaller)."""
+
+        def pack(batches):
+            for b in batches:
+                for a in range(0, len(b), 1024):
+                    yield pd.DataFrame({"rows": [np.vstack(b["values"].iloc[a : a + 1024].to_numpy()).astype(float).tobytes()]})
+
+        dealt = matrix.orderBy(F.xxhash64("sample_id", F.lit(self.seed), F.lit(epoch)), "sample_id").select("values")
+        left = np.zeros((0, len(self.mean)))
+        for r in dealt.mapInPandas(pack, "rows binary").toLocalIterator():
+            x = (np.frombuffer(bytes(r["rows"])).reshape(-1, len(self.mean)) - self.mean) / self.sd
+            left = np.vstack([left, x])
+            whole = len(left) // size * size
+            yield from (left[a : a + size] for a in range(0, whole, size))
+            left = left[whole:]
+        if len(left):
+            yield left
+
     def encode(self, matrix: DataFrame) -> DataFrame:
         """sample_id, grp, values: the latent numbers, and ``error``: mean squared error of the reconstruction."""
         w, b, linear, mean, sd, cut = self.w, self.b, self.linear, self.mean, self.sd, len(self.hidden)

@@ -81,3 +81,40 @@ def test_opls_judges_all_components(spark, tmp_path):
     got = QUERIES["opls_da"](spark, at).first()
     assert (got["components"], got["misclassified"]) == (wrong.argmin() + 1, wrong.min())
     assert latent.opls_da(matrix(spark, at), 3, most=10).first()["components"] <= 10
+
+
+def test_rotation_comes_from_all_rows(spark):
+    from lumaspec.operators import latent
+
+    n = 50_400  # more than the rows once taken
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.laplace(size=n), rng.uniform(-1, 1, n)]) @ np.array([[1.0, 0.5], [-0.3, 1.0]])
+    x[:300] *= 40
+    matrix = spark.createDataFrame([(i, 0, r) for i, r in enumerate(x.tolist())], "sample_id long, grp int, values array<double>")
+    z = x - x.mean(0)
+    val, vec = np.linalg.eigh(z.T @ z / n)
+    white = vec[:, ::-1] / np.sqrt(val[::-1])
+    z, w = z @ white, np.linalg.qr(np.random.default_rng(42).normal(size=(2, 2)))[0]
+    for _ in range(200):
+        g = np.tanh(z @ w.T)
+        u, _, v = np.linalg.svd(g.T @ z / n - np.diag((1 - g**2).mean(0)) @ w)
+        w, old = u @ v, w
+        if np.max(np.abs(np.abs(np.sum(w * old, axis=1)) - 1)) < 1e-6:
+            break
+    want = z @ w.T
+    got = np.array([[r["IC1"], r["IC2"]] for r in latent.ica(matrix, 2).orderBy("sample_id").collect()])
+    assert np.abs(got) == pytest.approx(np.abs(want), rel=1e-5, abs=1e-6)
+
+
+def test_autoencoder_trains_on_all_rows(spark):
+    from lumaspec.operators.ml import Autoencoder
+
+    x = np.random.default_rng(7).normal(size=(300, 2)) @ np.random.default_rng(8).normal(size=(2, 6))
+    matrix = spark.createDataFrame([(i, 0, r) for i, r in enumerate(x.tolist())], "sample_id long, grp int, values array<double>")
+    model = Autoencoder((8,), 2, epochs=1)
+    model.fit(matrix)
+    assert model.mean == pytest.approx(x.mean(0)) and model.sd == pytest.approx(x.std(0))
+    seen = np.vstack(list(model._mini_batches(matrix, 0))) * model.sd + model.mean
+    assert np.sort(seen[:, 0]) == pytest.approx(np.sort(x[:, 0]))
+    error = lambda m: np.mean([r["error"] for r in m.encode(matrix).collect()])
+    assert error(Autoencoder((8,), 2, epochs=12, rate=1e-2).fit(matrix)) < 0.5 * error(model)
