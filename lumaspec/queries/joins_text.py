@@ -116,6 +116,13 @@ def array_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.transform(rolled, lambda x: F.round(x.cast("double"), 6)), 1, 8).alias("head"))
 
 
+@query("SELECT vec_id, list_transform(list_concat(embedding[60:64], embedding[1:59]), lambda x: round(x::DOUBLE, 6)) AS rolled FROM embeddings")
+def array_roll_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rolled array; ``array_roll`` shows its first eight values, as its SQL does."""
+    rolled = s.roll(F.col("embedding"), F.lit(5))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(rolled, lambda x: F.round(x.cast("double"), 6)).alias("rolled"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL ELSE round(log2(p_size), 6) END AS log2_size, round(-log10(p_size / 100.0), 6) + 0.0 AS nlp,
 CASE WHEN p_size / 1000.0 < 0.001 THEN '***' WHEN p_size / 1000.0 < 0.01 THEN '**' WHEN p_size / 1000.0 < 0.05 THEN '*' ELSE 'ns' END AS stars FROM part""")
 def scalar_marks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,3 +118,9 @@ def test_autoencoder_trains_on_all_rows(spark):
     assert np.sort(seen[:, 0]) == pytest.approx(np.sort(x[:, 0]))
     error = lambda m: np.mean([r["error"] for r in m.encode(matrix).collect()])
     assert error(Autoencoder((8,), 2, epochs=12, rate=1e-2).fit(matrix)) < 0.5 * error(model)
+
+
+def test_rolled_arrays_are_whole(spark, tmp_path):
+    at, x = embeddings(spark, tmp_path, np.random.default_rng(9).normal(size=(4, 64)), np.zeros(4))
+    got = {r["vec_id"]: r["rolled"] for r in QUERIES["array_roll_whole"](spark, at).collect()}
+    assert np.array([got[i] for i in range(4)]) == pytest.approx(np.roll(x, 5, axis=1), abs=1e-6)
