@@ -11,7 +11,9 @@ logistic curve, fitted on training documents that the chain has not seen, to
 the score. Tokens of probability 0.5 or more form the offending spans.
 
 Fitting takes a bounded sample of labelled rows (``PER_CLASS`` of each class and
-``SAMPLE_CHARS`` characters, in order of a hash of the id). Scores cover whole
+``SAMPLE_CHARS`` characters, in order of a hash of the id; a text that does not
+fit is left out alone, and those of over a sixteenth of ``SAMPLE_CHARS`` come
+last). Scores cover whole
 texts and use nothing but the text.
 
 Edge cases: null and empty texts have no tokens and get the curve's value for
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import LETTER, NUMBER, char_classes, code_points
-from .common import SpanHasher, mix64, read
+from .common import SpanHasher, cut, mix64, read
 
 PER_CLASS, SAMPLE_CHARS = 2_000, 8_000_000
 LEAST_G = 12.0
@@ -263,10 +265,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ordered = known.withColumn("_h", F.xxhash64(id_col))
     chosen = ordered.where("toxic = 1").orderBy("_h", id_col).limit(PER_CLASS).unionByName(ordered.where("toxic = 0").orderBy("_h", id_col).limit(PER_CLASS))
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), id_col)  # at most 2 * PER_CLASS rows
-    # Two classes, each of at most PER_CLASS ids; whole texts up to the bound of characters.
-    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy("_h", id_col, "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = sample.withColumn("_sum", so_far).where(F.col("_sum") <= SAMPLE_CHARS // 2).select("text", "toxic", fold(id_col).alias("fold")).collect()
+    room = SAMPLE_CHARS // 2
+    # At most 2 * PER_CLASS ids; a text over the whole bound can never enter. Equal rows teach once.
+    sample = texts.join(F.broadcast(chosen), id_col).withColumn("_size", F.length("text")).where(F.col("_size") <= room).distinct()
+    at = F.row_number().over(Window.partitionBy("toxic").orderBy("_h", id_col, "text"))
+    sample = cut(sample.withColumn("_at", at).withColumn("fold", fold(id_col)).select("toxic", "_at", "_size", "fold", "text"))
+    fits, used = [], {0: 0, 1: 0}
+    # Texts of more than an eighth of the bound come last, so that one cannot take the others' room.
+    for r in sample.select("toxic", "_at", "_size").orderBy(F.col("_size") > room // 8, "toxic", "_at").collect():
+        if used[r["toxic"]] + r["_size"] <= room:
+            used[r["toxic"]] += r["_size"]
+            fits.append((r["toxic"], r["_at"]))
+    taken = docs.sparkSession.createDataFrame(fits, "toxic int, _at int")
+    rows = sample.join(F.broadcast(taken), ["toxic", "_at"]).select("text", "toxic", "fold").collect()
     rows = sorted(((r["text"], r["toxic"], r["fold"]) for r in rows), key=lambda r: (r[1], r[2], r[0]))
     return fit_model(rows, (sizes.get(0, 0), sizes.get(1, 0)))
 

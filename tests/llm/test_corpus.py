@@ -192,6 +192,24 @@ def labelled(spark):
     return frame(spark, docs), lab, docs
 
 
+@pytest.mark.parametrize("size", [3000, 1990, 1000])
+def test_a_long_text_does_not_shut_out_others(spark, monkeypatch, size):
+    lab = spark.createDataFrame([(i, int(i % 2)) for i in range(80)], "doc_id long, toxic int")
+    order = [r["doc_id"] for r in lab.where((toxicity.fold("doc_id") != 0)).orderBy(F.xxhash64("doc_id")).collect()]
+    texts = {i: f"text {i:04d} " + "word " * 8 for i in range(80)}
+    long_ids = [next(i for i in order if i % 2 == c) for c in (0, 1)]
+    for i in long_ids:
+        texts[i] = f"{i:04d}".ljust(size, "x")
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 2 * 2000)
+    monkeypatch.setattr(toxicity, "fit_model", lambda rows, sizes: rows)
+    got = {r[0] for r in toxicity.train(spark.createDataFrame([*texts.items(), (3, texts[3])], "doc_id long, text string"), lab)}
+    for c in (0, 1):
+        mine = [texts[i] for i in order if i % 2 == c and i not in long_ids]
+        taken = [t for t in mine if t in got]
+        assert taken == mine[: (2000 // len(mine[0]))] and len(taken) == min(len(mine), 2000 // len(mine[0]))
+        assert sum(map(len, taken)) <= 2000
+
+
 def test_toxicity_on_held_out_rows(spark):
     df, lab, docs = labelled(spark)
     model = toxicity.train(df, lab)
