@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+import re
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -16,18 +24,66 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, forget: bool = False) -> DataFrame:
     """``df`` materialised with its lineage cut, in the shared checkpoint folder.
 
-    The folder is the one ``spark.checkpoint.dir`` names; only where that is
-    unset (tests, single machine) a temporary one is set.
+    The folder is the one ``spark.checkpoint.dir`` names. Only where that is
+    unset and the master is local (tests, single machine) a temporary one is
+    set; on a cluster it is an error, as executors could not share it.
+    ``forget`` also drops what the optimizer knows of the rows: in long loops
+    the constraints that a checkpoint inherits would double with each round.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(at or os.path.join(tempfile.gettempdir(), "lumaspec-checkpoints"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if forget:
+        out = DataFrame(spark._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False), spark)
+    return out
+
+
+def tidy() -> None:
+    """Lets Spark drop shuffle files and checkpoints that nothing refers to any more (it does so when the driver's garbage is collected)."""
+    gc.collect()
+    sc = SparkContext._active_spark_context
+    if sc is not None:
+        sc._jvm.System.gc()
+
+
+def release() -> None:
+    """Gives a worker's freed memory back to the system: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, a function of batches, with its memory given back at the end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def text_runs(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows of a column of strings or bytes that hold at most ``most`` bytes together, or one longer row."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    a = 0
+    while a < len(lengths):
+        b, size = a, 0
+        while b < len(lengths) and (b == a or size + lengths[b] <= most):
+            size += lengths[b]
+            b += 1
+        yield a, b
+        a = b
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -57,25 +113,28 @@ class SpanHasher:
 
     A span's hash depends on its values alone, not on its place: prefix sums
     of value * BASE**position, brought back to position 0 by the inverse of
-    BASE modulo 2**64.
+    BASE modulo 2**64. All hashers of a process share tables of powers for up to
+    ``KEPT`` positions; longer arrays get tables for the call alone.
     """
 
     BASE = 0x9E3779B97F4A7C15 | 1
     INVERSE = pow(BASE, -1, 1 << 64)
-
-    def __init__(self) -> None:
-        self._up = powers(1, self.BASE)
-        self._down = powers(1, self.INVERSE)
+    KEPT = 1 << 20
+    _tables: tuple[np.ndarray, np.ndarray] | None = None
 
     def __call__(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
         """``table`` maps a value to a random 64-bit number."""
         n = len(codes)
-        if len(self._up) < n + 1:
-            self._up, self._down = powers(2 * n + 1, self.BASE), powers(2 * n + 1, self.INVERSE)
+        if n >= self.KEPT:
+            up, down = powers(n + 1, self.BASE), powers(n + 1, self.INVERSE)
+        else:
+            if SpanHasher._tables is None:
+                SpanHasher._tables = powers(self.KEPT, self.BASE), powers(self.KEPT, self.INVERSE)
+            up, down = SpanHasher._tables
         sums = np.zeros(n + 1, dtype=U64)
         with np.errstate(over="ignore"):
-            np.cumsum(table[codes] * self._up[:n], out=sums[1:], dtype=U64)
-            raw = (sums[ends] - sums[starts]) * self._down[starts]
+            np.cumsum(table[codes] * up[:n], out=sums[1:], dtype=U64)
+            raw = (sums[ends] - sums[starts]) * down[starts]
         return mix64(raw + (np.asarray(ends - starts, dtype=U64) << U64(32)))
 
 
