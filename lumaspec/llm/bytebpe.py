@@ -10,15 +10,17 @@ DuckDB queries (``duckdb_bpe``).
 from __future__ import annotations
 
 import base64
+import os
 import sys
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-from .common import HashIndex, SpanHasher, mix64
+from .common import HashIndex, SpanHasher, mix64, text_runs
 
 LETTER, NUMBER, SPACE, OTHER, BLANK = 0, 1, 2, 3, 4
 
@@ -97,7 +99,7 @@ class WordCoder:
     are tokens matched in the text before it is cut into words.
     """
 
-    def __init__(self, merge_words: Callable[[list[str]], list], max_words: int = 600_000, added: dict[str, int] | None = None) -> None:
+    def __init__(self, merge_words: Callable[[list[str]], list], max_words: int = 800_000, added: dict[str, int] | None = None) -> None:
         self.merge_words, self.max_words = merge_words, max_words
         self.added = added or {}
         # Leftmost, then longest, as the library matches them.
@@ -170,16 +172,10 @@ class WordCoder:
         bounds = np.append(before, total)[word_of_doc]
         return ids, bounds
 
-    def batches(self, texts: list[str], max_chars: int = 2_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of the first text, ids, bounds) for runs of texts of bounded size; one text is never cut."""
-        a = 0
-        while a < len(texts):
-            b, chars = a, 0
-            while b < len(texts) and (b == a or chars + len(texts[b]) <= max_chars):
-                chars += len(texts[b])
-                b += 1
-            yield (a, *self.encode(texts[a:b]))
-            a = b
+    def batches(self, texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the first text, ids, bounds) for runs of texts of at most ``most`` bytes (one text is never cut); a null text counts as empty."""
+        for a, b in text_runs(texts, most):
+            yield (a, *self.encode([t or "" for t in texts.slice(a, b - a).to_pylist()]))
 
 
 @lru_cache(maxsize=4)
@@ -207,19 +203,24 @@ def rank_merges(path: str) -> Callable[[list[str]], list]:
     return lambda words: [core.encode_single_piece(w.encode("utf-8", "replace")) for w in words]
 
 
-def json_merges(path: str) -> Callable[[list[str]], list]:
-    """Words encoded by the tokenizers library from its own file."""
+@lru_cache(maxsize=1)
+def _library(path: str):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    return lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+    return Tokenizer.from_file(path)
+
+
+def json_merges(path: str) -> Callable[[list[str]], list]:
+    """Words encoded by the tokenizers library from its own file."""
+    tok = _library(path)
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already share the processors
+    # A few words at a time: the library's encodings hold far more than ids.
+    return lambda words: [e.ids for a in range(0, len(words), 2_000) for e in tok.encode_batch_fast(words[a : a + 2_000], add_special_tokens=False)]
 
 
 def json_added(path: str) -> dict[str, int]:
     """Content and id of the added tokens of a file of the tokenizers library."""
-    from tokenizers import Tokenizer
-
-    tokens = Tokenizer.from_file(path).get_added_tokens_decoder()
+    tokens = _library(path).get_added_tokens_decoder()
     if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens.values()):
         raise ValueError("added tokens that strip, match single words or normalised text are not supported")
     return {t.content: i for i, t in tokens.items()}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import coder
-from .common import cut, parallelism, read
+from .common import cut, lean, parallelism, read
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
@@ -40,8 +40,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(engine, tokenizer_path, added)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, ids, bounds in c.batches(texts):
+            for first, ids, bounds in c.batches(batch.column(1)):
                 n = np.diff(bounds) + 1
                 pieces = -(-n // capacity)
                 doc = np.repeat(np.arange(len(n)), pieces)
@@ -64,7 +63,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), schema)
 
 
 def linear_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[list[int]]]]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import coder, token_bytes
-from .common import read
+from .common import lean, read
 
 RULES = ("first", "last", "largest")
 
@@ -54,10 +54,8 @@ def section_token_counts(docs: DataFrame, ranks_path: str, rule: str = "first",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sizes = coder("ranks", ranks_path), token_bytes(ranks_path)[2]
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, ids, bounds in c.batches(texts):
-                part = texts[first : first + len(bounds) - 1]
-                raw = [t.encode("utf-8", "replace") for t in part]
+            for first, ids, bounds in c.batches(batch.column(1)):
+                raw = [t or b"" for t in batch.column(1).slice(first, len(bounds) - 1).cast(pa.binary()).to_pylist()]
                 data = np.frombuffer(b"".join(raw), dtype=np.uint8)
                 length = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
                 doc_from = np.cumsum(length) - length
@@ -82,7 +80,7 @@ def section_token_counts(docs: DataFrame, ranks_path: str, rule: str = "first",
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + first)), pa.array(number.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(n_chars.astype(np.int64)), pa.array(n_tokens.astype(np.int64))], names=[id_col, "section", "start", "n_chars", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, section int, start long, n_chars long, n_tokens long")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, section int, start long, n_chars long, n_tokens long")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import LETTER, NUMBER, char_classes, code_points
-from .common import SpanHasher, cut, mix64, read
+from .common import SpanHasher, cut, lean, mix64, read, text_runs
 
 PER_CLASS, SAMPLE_CHARS = 2_000, 8_000_000
 LEAST_G = 12.0
 BITS = 18
 EPOCHS = 40
+#: Bytes of texts scored at a time (one text is never cut).
+SCORED_BYTES = 400_000
 #: Kinds of features of a token: the word, its first 3, 4 and 5 letters, its last 3.
 KINDS = 5
 
@@ -292,21 +294,14 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         chain.weights, chain.bias, chain.moves, curve = shared.value
         score = Model(chain, curve)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            a = 0
-            while a < len(texts):
-                b, chars = a, 0
-                while b < len(texts) and (b == a or chars + len(texts[b]) <= 4_000_000):
-                    chars += len(texts[b])
-                    b += 1
-                values, spans = score(texts[a:b])
+            for a, b in text_runs(batch.column(1), SCORED_BYTES):
+                values, spans = score([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 rows = [[{"start": x, "end": y} for x, y in s] for s in spans]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(values, pa.float64()), pa.array(rows, pa.list_(span))], names=["row", "score", "toxic_spans"])
-                a = b
 
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep else [id_col])])
     given = docs.select(row.alias("row"), F.col(text_col).alias("text"))
-    return given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, score double, toxic_spans array<struct<start:int,end:int>>")
+    return given.mapInArrow(lean(run), f"row {given.schema['row'].dataType.simpleString()}, score double, toxic_spans array<struct<start:int,end:int>>")
 
 
 def op8_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
