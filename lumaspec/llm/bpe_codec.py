@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import coder
-from .common import read
+from .common import lean, read
 
 _DECODERS: dict[str, object] = {}
 
@@ -40,8 +40,7 @@ Batches = Iterator[pa.RecordBatch]
 def _encoded(batches: Batches, path: str, engine: str) -> Batches:
     c = coder(engine, path)
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for a, ids, bounds in c.batches(texts):
+        for a, ids, bounds in c.batches(batch.column(1)):
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(bounds) - 1), lists], names=[batch.schema.names[0], "ids"])
 
@@ -73,13 +72,13 @@ def _digested(batches: Batches) -> Batches:
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", engine: str = "duckdb") -> DataFrame:
     """``id_col`` and ``ids`` (array of int): the whole text's token ids."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lambda b: _encoded(b, ranks_path, engine), f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(lambda b: _encoded(b, ranks_path, engine)), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col``, ``ids`` and ``bytes`` (binary): the bytes that the ids stand for; a null list counts as empty."""
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(lambda b: _decoded(b, ranks_path), f"`{id_col}` {kind}, ids array<int>, bytes binary")
+    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(lean(lambda b: _decoded(b, ranks_path)), f"`{id_col}` {kind}, ids array<int>, bytes binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,7 +86,7 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
     encoder and the decoder run in one worker, batch by batch, so ids never leave it."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lambda b: _digested(_decoded(_encoded(b, ranks_path, "duckdb"), ranks_path)), schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(lambda b: _digested(_decoded(_encoded(b, ranks_path, "duckdb"), ranks_path))), schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
