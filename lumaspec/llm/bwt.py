@@ -90,10 +90,12 @@ def merge(transforms: list[np.ndarray], longer: list[np.ndarray], depth: int) ->
     return rows, block
 
 
-def least_owners(strings: list[bytes], owners: np.ndarray, depth: int, shard_size: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+def least_owners(strings: list[bytes], owners: np.ndarray, depth: int, shards: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """For each start of a ``depth``-byte substring in each string, in order: the least owner of all strings that hold that substring.
 
-    Returns the values and how many each string has.
+    ``shards``: how many strings each shard has, shard after shard; each shard's
+    transform is made by itself, then all are merged. Returns the values and how
+    many each string has.
     """
     sizes = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
     windows = np.maximum(sizes - depth + 1, 0)
@@ -106,9 +108,12 @@ def least_owners(strings: list[bytes], owners: np.ndarray, depth: int, shard_siz
     code = np.zeros(256, dtype=np.uint8)
     code[used] = np.arange(1, len(used) + 1)
     raw, base = code[raw], len(used) + 1
-    orders, transforms, longer, total, at_byte = [], [], [], 0, 0
-    for a in range(0, len(strings), shard_size):
-        length = sizes[a : a + shard_size] + 1
+    orders, transforms, longer, total, at_byte, a = [], [], [], 0, 0, 0
+    for count in shards:
+        length = sizes[a : a + count] + 1
+        a += count
+        if not count:
+            continue
         ends = np.cumsum(length) - 1
         data = np.zeros(int(length.sum()), dtype=np.uint8)
         filled = np.ones(len(data), dtype=bool)

@@ -9,9 +9,10 @@ anchors deal the work out exactly:
    more than one document. Windows of other anchors cannot repeat.
 2. Maximal runs of windows with one repeated anchor are strings of at most
    2 * WIDTH - ANCHOR bytes; each group sends its different ones, each with its
-   least document, to the anchor's bucket. There their shards' Burrows-Wheeler
-   transforms are merged by interleave refinement (``bwt``), and the repeated
-   intervals give the least document of every window.
+   least document, to the anchor's bucket. There each share of the groups is a
+   shard with a Burrows-Wheeler transform of its own; the shards' transforms are
+   merged by interleave refinement (``bwt``), and the repeated intervals give
+   the least document of every window.
 3. Each group removes the bytes covered by windows whose least document is
    smaller than their own.
 
@@ -20,7 +21,8 @@ buckets and tasks have a bounded part of the text, and a passage that many
 documents share is sent once by each group.
 
 Edge cases: a null text counts as empty; texts under WIDTH bytes are kept; rows
-of equal id do not count against each other; rows with null id are kept whole
+of equal id do not count against each other; a text of 256 MB or more raises a
+ValueError; rows with null id are kept whole
 and count against no one; an empty table gives an empty table; other columns
 are not read.
 """
@@ -33,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import least_owners
-from .common import SpanHasher, mix64, read
+from .common import SpanHasher, mix64, read, release
 
 WIDTH, ANCHOR = 50, 16
 #: Bytes of text in a group, and in a bucket's share of the input, on average.
 GROUP_BYTES = 4_000_000
 #: Buckets for each group: the transforms merged at a time stay small.
 BUCKETS_PER_GROUP = 4
+#: Shards whose transforms a bucket merges: each holds the strings of a share of the groups.
+SHARDS = 8
 #: Bits of an anchor's hash that travel; a bucket's number tells the rest. Anchors taken for equal only cost work.
 KEY_BITS = 40
 #: Bytes of text whose windows are looked for at a time.
@@ -86,7 +90,9 @@ class Windows:
         grams *= np.uint64(0xBF58476D1CE4E5B9)
         grams ^= grams >> np.uint64(32)
         grams *= np.uint64(0x94D049BB133111EB)
-        low = np.uint64((1 << 28) - 1)  # one text of 256 MB or more would not fit a place
+        if len(data) >= 1 << 28:
+            raise ValueError("a text of 256 MB or more is not supported")
+        low = np.uint64((1 << 28) - 1)
         least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         span, size = 1, WIDTH - ANCHOR + 1
         while span * 2 <= size:
@@ -168,6 +174,24 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
     return order, np.append(at, len(order)), names
 
 
+def _whole(run):
+    """``run``, a function of tables, with the worker's memory given back after each group."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            release()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return two if run.__code__.co_argcount == 2 else one
+
+
 def _send(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_pydict({"bucket": [r[0] for r in rows], "g": [r[1] for r in rows], "data": [r[2] for r in rows]}, schema=_SENT_ARROW)
 
@@ -235,6 +259,7 @@ def _answer(table: pa.Table) -> pa.Table:
     number: dict[bytes, int] = {}
     owners: list[int] = []
     anchors: list[int] = []
+    known = [0]  # strings after each group
     sent: list[list[int]] = []
     for r in raw:
         n = int(np.frombuffer(r[:4], dtype="<u4")[0])
@@ -253,14 +278,18 @@ def _answer(table: pa.Table) -> pa.Table:
             mine.append(i)
             a = b
         sent.append(mine)
-    # Windows of an anchor with one string alone belong to that string's least document; the others' transforms are merged.
+        known.append(len(owners))
+    # Windows of an anchor with one string alone belong to that string's least document. The others are dealt into
+    # shards by the groups that brought them, and the shards' transforms are merged.
     _, inverse, count = np.unique(np.array(anchors, dtype=np.uint32), return_inverse=True, return_counts=True)
     shared = count[inverse] > 1
     owner, strings = np.array(owners, dtype=np.int64), list(number)
     windows = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)) - WIDTH + 1
     string = np.repeat(np.arange(len(windows)), windows)
     least = owner[string]
-    least[shared[string]] = least_owners([strings[i] for i in np.flatnonzero(shared)], owner[shared], WIDTH)[0]
+    before = np.concatenate([[0], np.cumsum(shared)])[known]  # strings to merge, after each group
+    edges = before[np.linspace(0, len(groups), min(SHARDS, len(groups)) + 1).astype(np.int64)]
+    least[shared[string]] = least_owners([strings[i] for i in np.flatnonzero(shared)], owner[shared], WIDTH, np.diff(edges).tolist())[0]
     fresh = np.ones(len(least), dtype=bool)
     fresh[1:] = (least[1:] != least[:-1]) | (string[1:] != string[:-1])
     at = np.flatnonzero(fresh)
@@ -337,11 +366,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = groups * BUCKETS_PER_GROUP
     grouped = rows.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(groups)).alias("g"), "doc_id", "text", "text_hash")
     by_group = grouped.groupBy("g")
-    told = by_group.applyInArrow(_announce(buckets), _SENT).groupBy("bucket").applyInArrow(_repeated, _SENT)
-    sent = by_group.cogroup(told.groupBy("g")).applyInArrow(_submit(buckets), _SENT)
-    answers = sent.groupBy("bucket").applyInArrow(_answer, _SENT)
+    told = by_group.applyInArrow(_whole(_announce(buckets)), _SENT).groupBy("bucket").applyInArrow(_whole(_repeated), _SENT)
+    sent = by_group.cogroup(told.groupBy("g")).applyInArrow(_whole(_submit(buckets)), _SENT)
+    answers = sent.groupBy("bucket").applyInArrow(_whole(_answer), _SENT)
     both = told.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)))
-    result = by_group.cogroup(both.groupBy("g")).applyInArrow(_remove(buckets), "doc_id long, text_hash long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>")
+    result = by_group.cogroup(both.groupBy("g")).applyInArrow(_whole(_remove(buckets)), "doc_id long, text_hash long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>")
     alone = rows.where("doc_id IS NULL").select("doc_id", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("kept"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"))
     return result.unionByName(alone)
 
