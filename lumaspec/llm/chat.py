@@ -38,8 +38,10 @@ def unescape(text: Column) -> Column:
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """conv_id, formatted (string), loss_spans (array of start, length)."""
-    rows = turns.select(F.col(conv_col), F.floor(F.col(turn_col) / block).alias("block"), F.struct(F.col(turn_col).alias("turn"), escape(F.coalesce(F.col(role_col), F.lit(""))).alias("role"), escape(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).alias("t"))
-    blocks = rows.groupBy(conv_col, "block").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = turns.select(F.col(conv_col), F.floor(F.col(turn_col) / block).alias("block"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
+    # Ties are ordered by the plain role and text; only then are they escaped.
+    escaped = F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    blocks = rows.groupBy(conv_col, "block").agg(escaped.alias("turns"))
     order = Window.partitionBy(conv_col).orderBy("block")
     run = "struct<role:string,texts:array<string>>"
     merged = F.aggregate(
@@ -123,12 +125,12 @@ WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), runs AS (
-    SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = role, false) AS goes_on FROM rows
+    SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) = role, false) AS goes_on FROM rows
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
        sum(CASE WHEN goes_on THEN 8 ELSE 8 + length(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) + 8 + 7 END
            + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')))::BIGINT AS formatted_chars
 FROM runs GROUP BY conv_id
