@@ -23,20 +23,22 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, read
+from .common import cut, read, tidy
 from .hamming import usable
 
-K, REVERSE, RUN, PROJECTIONS = 24, 24, 40, 5
-ROUNDS, STOP = 8, 0.01
+K, REVERSE, RUN, PROJECTIONS = 32, 32, 64, 10
+SPLITS = 32
+ROUNDS, STOP = 10, 0.02
 #: Best of each group that one local join passes on to a vector.
-PASSED = 8
-BEAM, EXPAND, STEPS = 192, 48, 10
+PASSED = 12
+BEAM, EXPAND = 192, 64
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -87,18 +89,19 @@ def _emit(out: list) -> Iterator[pa.RecordBatch]:
 
 
 def _projected(nodes: DataFrame, seed: int, dims: int) -> DataFrame:
-    """(id, nid, score): pairs within runs of ``RUN`` nodes adjacent along one random direction."""
-    direction = np.random.default_rng(seed).normal(size=dims)
+    """(id, nid, score): pairs within runs of ``RUN`` nodes adjacent in the order of their sides of ``SPLITS`` random planes, the first plane first."""
+    planes = np.random.default_rng(seed).normal(size=(dims, SPLITS))
 
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                place = _matrix(b.column("vec"), np.float16).astype(np.float64) @ direction
+                sides = _matrix(b.column("vec"), np.float16).astype(np.float64) @ planes > 0
+                place = sides @ (1 << np.arange(SPLITS - 1, -1, -1, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(place)], names=["id", "vec", "place"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        for b in [*batches, None]:
+        for b in chain(batches, [None]):
             if b is not None:
                 t = pa.Table.from_batches([b])
                 held = t if held is None else pa.concat_tables([held, t])
@@ -117,7 +120,7 @@ def _projected(nodes: DataFrame, seed: int, dims: int) -> DataFrame:
                     _scored(ids[x], vectors[x], np.ones(n, dtype=bool), np.full(n, -2.0, dtype=np.float32), out)
                 yield from _emit(out)
 
-    ordered = nodes.select("id", "vec").mapInArrow(along, "id long, vec binary, place double").repartitionByRange("place").sortWithinPartitions("place", "id")
+    ordered = nodes.select("id", "vec").mapInArrow(along, "id long, vec binary, place long").repartitionByRange("place").sortWithinPartitions("place", "id")
     return ordered.select("id", "vec").mapInArrow(runs, "id long, nid long, score float")
 
 
@@ -133,33 +136,51 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _emit(out)
 
 
+def _top(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "id"):
+            ids, nid, score, fresh = (np.asarray(t.column(c)) for c in ("id", "nid", "score", "fresh"))
+            order = np.lexsort((fresh, -score, nid, ids))  # of equal pairs the best first, then the old one
+            ids, nid, score, fresh = ids[order], nid[order], score[order], fresh[order]
+            once = np.ones(len(ids), dtype=bool)
+            once[1:] = (ids[1:] != ids[:-1]) | (nid[1:] != nid[:-1])
+            ids, nid, score, fresh = ids[once], nid[once], score[once], fresh[once]
+            order = np.lexsort((nid, -score, ids))
+            ids, nid, score, fresh = ids[order], nid[order], score[order], fresh[order]
+            begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            rank = np.arange(len(ids)) - np.repeat(begin, np.diff(np.append(begin, len(ids))))
+            keep = rank < k
+            full = np.minimum(np.diff(np.append(begin, len(ids))), k)
+            worst = np.where(full < k, np.float32(-2), score[begin + full - 1])
+            ids, nid, score, fresh = ids[keep], nid[keep], score[keep], fresh[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(nid), pa.array(score), pa.array(fresh), pa.array(np.repeat(worst, full).astype(np.float32))], names=["id", "nid", "score", "fresh", "worst"])
+
+    return run
+
+
 def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """(id, list): the k best neighbours, old ones before equal new ones."""
-    rank = Window.partitionBy("id").orderBy(F.col("score").desc(), "nid")
-    one = pairs.groupBy("id", "nid").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
-    kept = one.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k)
-    return kept.groupBy("id").agg(F.collect_list(F.struct("nid", "score", "fresh")).alias("list"))
+    """(id, nid, score, fresh, worst) of the k best neighbours, old ones before equal new ones; worst: the k-th score, -2 while there are fewer."""
+    return pairs.repartition("id").sortWithinPartitions("id").mapInArrow(_top(k), "id long, nid long, score float, fresh int, worst float")
 
 
 def neighbour_graph(nodes: DataFrame, dims: int, k: int = K) -> DataFrame:
-    """(id, list of nid, score, fresh) over ``nodes`` (id, vec: half-precision unit vector)."""
+    """(id, nid, score, fresh, worst) over ``nodes`` (id, vec: half-precision unit vector)."""
     n = nodes.count()
     first = _projected(nodes, 1, dims)
     for seed in range(2, PROJECTIONS + 1):
         first = first.unionByName(_projected(nodes, seed, dims))
     graph = cut(_best(first.withColumn("fresh", F.lit(1)), k))
     for turn in range(ROUNDS):
-        edges = graph.select("id", F.explode("list").alias("e")).select("id", "e.nid", "e.score", "e.fresh")
+        edges = graph.select("id", "nid", "score", "fresh")
         back = edges.select(F.col("nid").alias("node"), "id", "fresh", F.xxhash64("nid", "id", F.lit(turn)).alias("_h"))
         back = back.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(F.col("fresh").desc(), "_h"))).where(F.col("_r") <= REVERSE)
         around = edges.select(F.col("id").alias("node"), F.col("nid").alias("id"), "fresh").unionByName(back.select("node", "id", "fresh"))
-        around = around.groupBy("node", "id").agg(F.max("fresh").alias("fresh"))
-        worst = graph.select("id", F.when(F.size("list") < k, F.lit(-2.0)).otherwise(F.array_min(F.transform("list", lambda e: e["score"]))).cast("float").alias("worst"))
-        known = nodes.join(worst, "id")
+        known = nodes.join(graph.groupBy("id").agg(F.first("worst").alias("worst")), "id")
         met = around.join(known, "id").select("node", "id", (F.col("fresh") == 1).alias("fresh"), "worst", "vec")
         found = met.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_joined, "id long, nid long, score float")
         graph = cut(_best(edges.withColumn("fresh", F.lit(0)).unionByName(found.withColumn("fresh", F.lit(1))), k))
-        changed = graph.select(F.sum(F.aggregate("list", F.lit(0), lambda a, e: a + e["fresh"])).alias("c")).first()["c"]
+        changed = graph.agg(F.sum("fresh")).first()[0]
+        tidy()
         if (changed or 0) <= STOP * n * k:
             break
     return graph
@@ -182,7 +203,7 @@ def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, beam: int = B
     doors = nodes.select("id", F.xxhash64("id").alias("_h")).orderBy("_h", "id").limit(entries).agg(F.collect_list("id").alias("doors"))
     met = queries.join(F.broadcast(doors)).select("query", F.explode(F.array_union("doors", F.when(F.col("start").isNotNull(), F.array("start")).otherwise(F.array().cast("array<long>")))).alias("id"))
     state = None
-    for _ in range(STEPS):
+    while True:
         pairs = met.join(nodes.select("id", "vec"), "id").join(queries.select("query", "qvec"), "query")
         scored = pairs.select("query", "qvec", "id", "vec").mapInArrow(_score_batch, "query long, id long, score float").withColumn("done", F.lit(False))
         both = scored if state is None else state.unionByName(scored)
@@ -199,6 +220,8 @@ def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, beam: int = B
         state_rows = state.select("query", "id", "score", "done")
         met = cut(front.select("query", "id").join(links, "id").select("query", F.col("nid").alias("id")).distinct().join(state_rows.select("query", "id"), ["query", "id"], "left_anti"))
         state = state_rows
+        del pairs, scored, both, ranked, opened, front
+        tidy()
     rank = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     return state.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= beam).select("query", "id", "score")
 
@@ -227,7 +250,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     nodes = cut(classes.select("id", "v").mapInArrow(halves, "id long, vec binary"))
     graph = neighbour_graph(nodes, dims)
-    edges = graph.select("id", F.explode("list").alias("e")).select("id", "e.nid")
+    edges = graph.select("id", "nid")
     back = edges.select(F.col("nid").alias("id"), F.col("id").alias("nid")).withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "nid")))).where(F.col("_r") <= K)
     links = cut(edges.unionByName(back.select("id", "nid")).distinct())
     asked = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).alias("v")).where(usable(F.col("v")) & F.col("q").isNotNull())
