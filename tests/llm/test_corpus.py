@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,32 @@ def test_passages(spark, monkeypatch, group_bytes):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_a_bucket_merges_several_transforms(monkeypatch):
+    """One bucket's answer to several groups comes from several merged shards, and is that of brute force."""
+    rng = random.Random(6)
+    common = [prose(rng, 40) for _ in range(6)]
+    merged = []
+    merge = bwt.merge
+    monkeypatch.setattr(bwt, "merge", lambda t, longer, depth: (merged.append(len(t)), merge(t, longer, depth))[1])
+    groups = []
+    for g in range(12):
+        texts = [prose(rng, 20) + rng.choice(common)[rng.randrange(30) :] + prose(rng, 9) for _ in range(6)]
+        rows = {"g": [g] * 6, "doc_id": [g * 6 + i for i in range(6)], "text": [t.encode() for t in texts], "text_hash": [0] * 6}
+        groups.append(pa.table(rows))
+    told = pa.concat_tables(suffix_dedup._announce(1)(t) for t in groups)
+    told = suffix_dedup._repeated(told)
+    sent = pa.concat_tables(suffix_dedup._submit(1)(t, told.filter(pc.field("g") == g)) for g, t in enumerate(groups))
+    answers = suffix_dedup._answer(sent)
+    both = pa.concat_tables([told.append_column("kind", pa.array([0] * len(told))), answers.append_column("kind", pa.array([1] * len(answers)))])
+    got = {}
+    for g, t in enumerate(groups):
+        for r in suffix_dedup._remove(1)(t, both.filter(pc.field("g") == g)).to_pylist():
+            got[r["doc_id"]] = r["kept"]
+    texts = [x.decode() for t in groups for x in t.column("text").to_pylist()]
+    assert [got[i] for i in range(72)] == [k for k, _ in plain_removal(texts)]
+    assert merged == [suffix_dedup.SHARDS]
+
+
 def test_equal_and_missing_ids(spark):
     p = prose(random.Random(1), 40)
     df = spark.createDataFrame([(1, p), (1, p), (None, p), (2, p)], "doc_id long, text string")
@@ -147,7 +175,8 @@ def test_merged_transforms():
         for i in range(len(s) - 5):
             least[s[i : i + 6]] = min(least.get(s[i : i + 6], 9999), o)
     for size in (7, 1000):
-        got, windows = bwt.least_owners(strings, owners, 6, size)
+        shards = [len(strings[a : a + size]) for a in range(0, len(strings), size)]
+        got, windows = bwt.least_owners(strings, owners, 6, [0, *shards])
         assert got.tolist() == [least[s[i : i + 6]] for s in strings for i in range(len(s) - 5)]
         assert windows.tolist() == [len(s) - 5 for s in strings]
 
@@ -249,3 +278,32 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.STAGES[3][1](spark, at, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == kept[2]
     assert corpus_pipeline.ORACLE_SQL is None and hashlib is not None and F is not None
+
+
+def test_near_with_repeated_and_null_ids(spark):
+    """Rows of one id and different texts are linked each by its own text; a class never multiplies rows."""
+    rng = random.Random(8)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, "x"), (1, a), (None, a), (None, None), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()), key=repr)
+    n = {t: len(sets_of(t)) for _, t in rows}
+    assert got == sorted(((i, n[t], None if i is None else 1 if i < 4 else i) for i, t in rows), key=repr)
+
+
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """Blocks of a few classes give the components of brute force; links between components are found in them."""
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "STARS", 1)
+    rng = random.Random(9)
+    base = prose(rng, 120).split(" ")
+    docs = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(3 if i % 4 else 8):
+            words[rng.randrange(120)] = f"w{rng.randrange(30)}"
+        docs.append(" ".join(words))
+    _, want = plain_components(docs)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, docs)).collect()}
+    assert [got[i] for i in range(40)] == want and len(set(want)) > 1

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumaspec.llm import hamming, nn_descent, url_filter
 
@@ -57,7 +58,7 @@ def test_recall_on_random_vectors(spark):
     assert hit / 150 >= 0.9
 
 
-def test_hamming_against_brute_force(spark):
+def test_hamming_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     codes = [(i, int(c)) for i, c in enumerate(rng.integers(-(2**63), 2**63, size=150))]
     codes += [(1000 + i, codes[0][1]) for i in range(15)]
@@ -70,11 +71,28 @@ def test_hamming_against_brute_force(spark):
     for q, rows in got.items():
         want = sorted(((bin((known[q] ^ c) & (2**64 - 1)).count("1"), i) for i, c in codes if i != q))[:10]
         assert [(d, i) for _, i, d in sorted(rows)] == want
+    for masks, segments in ((0, 4), (20, 2), (10**6, None)):  # a scan at once, a scan after a round, other widths
+        monkeypatch.setattr(hamming, "MASKS", masks)
+        again = {}
+        for r in hamming.hamming_top_k(df, df.where("vec_id % 40 = 0"), 10, segments=segments).collect():
+            again.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["distance"]))
+        assert {q: sorted(v) for q, v in again.items()} == {q: sorted(v) for q, v in got.items()}
     few = df.where("vec_id < 3")
     assert hamming.hamming_top_k(few, few.where("vec_id = 0"), 10).count() == 2
     assert hamming.hamming_top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_hamming_codes_of_odd_rows(spark):
+    """Null and non-finite vectors take no part, repeated ids count once, clashing names and long vectors."""
+    rows = [(1, [1.0, -1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [-1.0, -1.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (2, [1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, code string, distance int")
+    codes = df.where(hamming.usable(F.col("embedding"))).select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in hamming.hamming_top_k(codes, codes, 2).collect())
+    assert got == [(1, 1, 2, 0), (1, 2, 3, 1), (2, 1, 1, 0), (2, 2, 3, 2), (3, 1, 1, 1), (3, 2, 2, 2)]
+    with pytest.raises(Exception, match="more than 64"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<double>").select(hamming.sign_code(F.col("v"))).collect()
+
+
 def test_urls(spark):
     urls = [None, "", "nohost", "http://", "HTTP://Sub.Example.COM/en/7?x", "http://example.com/en/70", "http://com/en/", "http://community/en/", "http://a.net/de/8", "http://b.example.net/de/8#f", "x://c.org?/es/", "x://c.org/es/#", "http://example.com:80/en/7", "http://İ.com/en/", "http://.com/en/", "http://com./en/", "http://example.com/en/7"] * 3
     rows = [(i, u, "h") for i, u in enumerate(urls)]
@@ -92,5 +110,7 @@ def test_urls(spark):
         best = max(fits) if fits else (0, 0, None, "allow")
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, best[2], best[3]), u
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
-    with pytest.raises(Exception):
-        url_filter.judge_urls(df, rules.select("host"))
+    for broken in (("block", "", "/"), ("block", None, "/"), (None, "com", "/")):
+        with pytest.raises(ValueError):
+            url_filter.judge_urls(df, spark.createDataFrame([*url_filter.RULES, broken], "verdict string, host string, path string"))
+    assert url_filter.judge_urls(df, rules.limit(0)).where("rule IS NOT NULL OR verdict <> 'allow'").count() == 0

@@ -40,6 +40,21 @@ def test_recursive_merges():
     assert [list(x) for x in duckdb_bpe.duckdb_merges(RANKS)(words)] == [plain().encode_single_piece(w) if False else plain()._core_bpe.encode_single_piece(w.encode()) for w in words]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abtheinrs -=é中")), min_size=1, max_size=60), min_size=1, max_size=4))
+def test_keyed_recursion_agrees_with_the_library(words):
+    old, duckdb_bpe.LONG = duckdb_bpe.LONG, 1
+    try:
+        assert [list(x) for x in duckdb_bpe.duckdb_merges(RANKS)(words)] == [plain()._core_bpe.encode_single_piece(w.encode()) for w in words]
+    finally:
+        duckdb_bpe.LONG = old
+
+
+def test_a_very_long_word():
+    word = "".join(chr(0x4E00 + (i * 7919 + i * i) % 20000) for i in range(12_000))
+    assert list(duckdb_bpe.duckdb_merges(RANKS)([word])[0]) == plain()._core_bpe.encode_single_piece(word.encode())
+
+
 def test_small_caches_start_anew():
     c = bytebpe.WordCoder(bytebpe.rank_merges(RANKS), max_words=3)
     for t in ("one two three four five", "six seven one two", "one"):
@@ -184,3 +199,9 @@ def test_chat_reads_back(spark):
     merged = chat.format_chats(df.where("conv_id = 0")).first()["formatted"]
     assert merged.count("<|turn|>") == sum(1 for a, b in zip([None, *want[0]], want[0], strict=False) if a is None or a[0] != b[0])
     assert F is not None
+
+
+def test_ties_of_control_strings_are_ordered_by_plain_text(spark):
+    rows = [(1, 0, "user", t) for t in ("<a", "<|", "<\\|", "\\", "<z")] + [(1, 0, "<|", "x"), (1, 0, "<a", "y")]
+    got = chat.read_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert [(t["role"], t["text"]) for t in got["turns"]] == sorted((r, t) for _, _, r, t in rows)
