@@ -25,11 +25,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near duplicates, once. Rows without an id are kept."""
-    found = near_duplicates(docs)
-    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    with_id = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return with_id.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group of near duplicates, once: of the least id, then of the least hash of its text. Rows without an id are kept, empty texts too (they are linked with nothing)."""
+    found = near_duplicates(docs).where("doc_id IS NOT NULL")
+    # Empty texts of one id are one document as well; they never share a component with others.
+    heads = found.groupBy("component_id", F.when(F.col("n_shingles") == 0, F.col("text_hash")).alias("_empty")).agg(F.min(F.struct("doc_id", "text_hash")).alias("_head"))
+    heads = cut(heads.select(F.col("_head.doc_id").alias("_kept_id"), F.col("_head.text_hash").alias("_kept_hash")).distinct())
+    hashed = F.xxhash64(F.col("text").cast("binary"))
+    kept = docs.where("doc_id IS NOT NULL").join(heads, (F.col("doc_id") == F.col("_kept_id")) & (hashed == F.col("_kept_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
