@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .queries import ORACLE_SQL, QUERIES, columns, joins_text, latent, normalising, signals, testing, validation  # noqa: F401
+from .queries import ORACLE_SQL, QUERIES, columns, hypotheses, joins_text, latent, models, normalising, reports, signals, validation  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

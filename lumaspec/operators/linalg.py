@@ -17,53 +17,107 @@ from pyspark.sql import functions as F
 LIMIT = 10_000
 
 
-def moments(matrix: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, mean of each feature, sum of outer products of centred rows), from one partial matrix of each task."""
-    p = matrix.agg(F.max(F.size("values"))).first()[0] or 0
+def packed_sums(parts: DataFrame, salts: int = 32) -> dict[int, np.ndarray]:
+    """``parts`` (i, data: doubles as bytes) added up by i on the cluster, in two levels, and collected: one row for each i."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, data in zip(b["i"], b["data"], strict=True):
+                x = np.frombuffer(data)
+                if i in sums:
+                    sums[i] += x
+                else:
+                    sums[i] = x.copy()
+        if sums:
+            yield pd.DataFrame({"i": list(sums), "data": [x.tobytes() for x in sums.values()]})
+
+    kind = "i long, data binary"
+    salted = parts.withColumn("_s", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    once = salted.repartition("i", "_s").select("i", "data").mapInPandas(add, kind)
+    return {r["i"]: np.frombuffer(r["data"]) for r in once.repartition("i").mapInPandas(add, kind).collect()}
+
+
+def moments(matrix: DataFrame, rows: int = 256) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean of each feature, sum of outer products of centred rows). Means first, then the products by blocks of ``rows`` features, all added up on the cluster."""
+    size = matrix.agg(F.max(F.size("values")).alias("p"), F.count("*").alias("n")).first()
+    p, n = size["p"] or 0, size["n"]
     if p > LIMIT:
-        raise ValueError(f"{p} features: use the sample-by-sample form")
+        raise ValueError(f"{p} features: use the sample-by-sample form (operators.wide)")
+    if not n or not p:
+        return 0, np.zeros(p), np.zeros((p, p))
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = np.zeros(p)
+        for b in batches:
+            if len(b):
+                s += np.vstack(b["values"].to_numpy()).sum(0)
+        yield pd.DataFrame({"i": [0], "data": [s.tobytes()]})
+
+    mean = packed_sums(matrix.select("values").mapInPandas(total, "i long, data binary"))[0] / n
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, ss, base = 0, np.zeros(p), np.zeros((p, p)), None
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = np.zeros((p, p))
         for b in batches:
             if len(b):
-                x = np.vstack(b["values"].to_numpy())
-                base = x[0].copy() if base is None else base  # near the mean, for stable sums
-                x = x - base
-                n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
-        if n:
-            yield pd.DataFrame({"n": [n], "m": [(base + s / n).tolist()], "c": [(ss - np.outer(s, s) / n).ravel().tolist()]})
-
-    rows = matrix.select("values").mapInPandas(part, "n long, m array<double>, c array<double>").collect()  # one of each task, p * p numbers
-    n, mean, c = 0, np.zeros(p), np.zeros((p, p))
-    for r in rows:
-        m, k = np.array(r["m"]), r["n"]
-        d = m - mean
-        c += np.array(r["c"]).reshape(p, p) + np.outer(d, d) * n * k / max(n + k, 1)
-        mean += d * k / (n + k)
-        n += k
-    return n, mean, c
-
-
-def gram(long: DataFrame, block: int = 4096) -> tuple[list, np.ndarray]:
-    """(sample ids in order, sum over features of outer products of samples) of a complete long form."""
-    ids = [r[0] for r in long.select("sample_id").distinct().orderBy("sample_id").collect()]
+                x = np.vstack(b["values"].to_numpy()) - mean
+                c += x.T @ x
+        for a in range(0, p, rows):
+            yield pd.DataFrame({"i": [a // rows], "data": [c[a : a + rows].tobytes()]})
+
+    sums = packed_sums(matrix.select("values").mapInPandas(products, "i long, data binary"))
+    return n, mean, np.concatenate([sums[i].reshape(-1, p) for i in range(len(sums))])
+
+
+def _dense(b: pd.DataFrame, place: dict, block: int) -> np.ndarray:
+    x = np.zeros((len(place), block))
+    x[[place[s] for s in b["sample_id"]], (b["j"] % block).to_numpy()] = b["value"].to_numpy()
+    return x
+
+
+def _row_blocks(k: np.ndarray, first: int, rows: int = 512) -> pd.DataFrame:
+    starts = range(0, len(k), rows)
+    return pd.DataFrame({"i": [first + a // rows for a in starts], "data": [k[a : a + rows].tobytes() for a in starts]})
+
+
+def gram(long: DataFrame, block: int = 512) -> tuple[list, np.ndarray]:
+    """(sample ids in order, sum over features of outer products of samples) of a complete long form, feature block by feature block."""
+    ids = [r[0] for r in long.select("sample_id").distinct().orderBy("sample_id").limit(LIMIT + 1).collect()]
     n = len(ids)
     if n > LIMIT:
-        raise ValueError(f"{n} samples: use the feature-by-feature form")
+        raise ValueError(f"over {LIMIT} samples: use the feature-by-feature form")
+    place = {s: i for i, s in enumerate(ids)}
+
+    def part(b: pd.DataFrame) -> pd.DataFrame:
+        x = _dense(b, place, block)
+        return _row_blocks(x @ x.T, 0)
+
+    blocks = long.select(F.floor(F.col("j") / block).alias("b"), "sample_id", "j", "value").groupBy("b").applyInPandas(part, "i long, data binary")
+    sums = packed_sums(blocks)
+    return ids, np.concatenate([sums[i].reshape(-1, n) for i in range(len(sums))]) if sums else np.zeros((n, n))
+
+
+def gram_of_folds(long: DataFrame, ids: list, fold: np.ndarray, kfold: int, power: float, block: int = 512) -> list[np.ndarray]:
+    """For each fold the cross products of all samples, features centred and scaled by the samples outside the fold."""
+    n = len(ids)
+    if n * n * 8 * kfold > 4_000_000_000:
+        raise ValueError(f"{kfold} matrices of {n} x {n} are too large for the driver")
     place = {s: i for i, s in enumerate(ids)}
+    per = -(-n // 512)  # row blocks of a fold
 
     def part(b: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((n, block))
-        x[[place[s] for s in b["sample_id"]], (b["j"] % block).to_numpy()] = b["value"].to_numpy()
-        return pd.DataFrame({"i": np.arange(n), "row": list(x @ x.T)})
-
-    blocks = long.select(F.floor(F.col("j") / block).alias("b"), "sample_id", "j", "value").groupBy("b").applyInPandas(part, "i long, row array<double>")
-    sums = blocks.select("i", F.posexplode("row").alias("k", "v")).groupBy("i", "k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros((n, n))
-    for r in sums:
-        out[r["i"], r["k"]] = r["v"]
-    return ids, out
+        x = _dense(b, place, block)
+        out = []
+        for f in range(kfold):
+            train = x[fold != f]
+            sd = train.std(0)
+            z = (x - train.mean(0)) / np.where(sd > 0, np.where(sd > 0, sd, 1) ** power, 1.0)
+            out.append(_row_blocks(z @ z.T, f * per))
+        return pd.concat(out)
+
+    blocks = long.select(F.floor(F.col("j") / block).alias("b"), "sample_id", "j", "value").groupBy("b").applyInPandas(part, "i long, data binary")
+    sums = packed_sums(blocks)
+    return [np.concatenate([sums[f * per + i].reshape(-1, n) for i in range(per)]) for f in range(kfold)]
 
 
 def fixed_signs(loadings: np.ndarray) -> np.ndarray:

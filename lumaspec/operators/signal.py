@@ -79,8 +79,8 @@ def find_peaks(y: np.ndarray, prominence: float = 0.0, width: float = 0.0) -> li
 
 
 def _whittaker(y: np.ndarray, w: np.ndarray, lam: float) -> np.ndarray:
-    """Minimises sum w (y - z)**2 + lam * sum of squared second differences: a pentadiagonal system by banded LDL'."""
-    n = len(y)
+    """Minimises sum w (y - z)**2 + lam * sum of squared second differences for each row: pentadiagonal systems by banded LDL', all rows at once."""
+    rows, n = y.shape
     if n < 3:
         return y.copy()
     d0 = np.full(n, 6.0)
@@ -89,29 +89,27 @@ def _whittaker(y: np.ndarray, w: np.ndarray, lam: float) -> np.ndarray:
     d1[[0, -1]] = -2.0
     if n == 3:
         d0, d1 = np.array([1.0, 4.0, 1.0]), np.array([-2.0, -2.0])
-    a, b, c = (w + lam * d0).tolist(), (lam * d1).tolist(), lam
-    d, e, f = [0.0] * n, [0.0] * n, [0.0] * n
-    z = (w * y).tolist()
+    a, b = np.ascontiguousarray((w + lam * d0).T), lam * d1  # by point, so that a step is one row operation
+    z = np.ascontiguousarray((w * y).T)
+    d, e, f = np.empty((n, rows)), np.zeros((n, rows)), np.zeros((n, rows))
     for i in range(n):
-        x = a[i]
-        if i > 0:
-            x -= e[i - 1] ** 2 * d[i - 1]
-        if i > 1:
-            x -= f[i - 2] ** 2 * d[i - 2]
-        d[i] = x
-        if i < n - 1:
-            e[i] = (b[i] - (e[i - 1] * f[i - 1] * d[i - 1] if i > 0 else 0.0)) / x
-        if i < n - 2:
-            f[i] = c / x
+        d[i] = a[i]
         if i > 0:
+            d[i] -= e[i - 1] ** 2 * d[i - 1]
             z[i] -= e[i - 1] * z[i - 1]
         if i > 1:
+            d[i] -= f[i - 2] ** 2 * d[i - 2]
             z[i] -= f[i - 2] * z[i - 2]
-    for i in range(n):
-        z[i] /= d[i]
+        if i < n - 1:
+            e[i] = (b[i] - (e[i - 1] * f[i - 1] * d[i - 1] if i > 0 else 0.0)) / d[i]
+        if i < n - 2:
+            f[i] = lam / d[i]
+    z /= d
     for i in range(n - 2, -1, -1):
-        z[i] -= e[i] * z[i + 1] + (f[i] * z[i + 2] if i < n - 2 else 0.0)
-    return np.array(z)
+        z[i] -= e[i] * z[i + 1]
+        if i < n - 2:
+            z[i] -= f[i] * z[i + 2]
+    return z.T
 
 
 def rubberband(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -125,65 +123,94 @@ def rubberband(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.interp(x, x[hull], y[hull])
 
 
-def baseline(y: np.ndarray, x: np.ndarray | None = None, method: str = "asls", lam: float = 1e7, p: float = 0.01, max_iter: int = 30, order: int = 3, tol: float = 1e-3) -> np.ndarray:
-    """Baseline of one spectrum. asls, arpls, airpls: reweighted Whittaker smoothing; modpoly, imodpoly: clipped polynomials; rubberband: lower hull; median: median."""
+REWEIGHTED = ("asls", "arpls", "airpls")
+
+
+def _reweighted(y: np.ndarray, method: str, lam: float, p: float, max_iter: int, tol: float) -> np.ndarray:
+    """Baselines of rows by reweighted Whittaker smoothing; a row that has settled leaves the batch."""
+    z, w = y.copy(), np.ones_like(y)
+    left = np.arange(len(y))
+    for i in range(1, max_iter + 1):
+        if not len(left):
+            break
+        z[left] = _whittaker(y[left], w[left], lam)
+        d = y[left] - z[left]
+        below = d < 0
+        n = np.maximum(below.sum(axis=1, keepdims=True), 1)
+        settled = np.zeros(len(left), dtype=bool)
+        if method == "asls":
+            new = np.where(d > 0, p, 1 - p)
+        elif method == "arpls":
+            m = np.where(below, d, 0).sum(axis=1, keepdims=True) / n
+            s = np.sqrt(np.where(below, (d - m) ** 2, 0).sum(axis=1, keepdims=True) / n)
+            new = 1 / (1 + np.exp(np.clip(2 * (d - (2 * s - m)) / np.maximum(s, 1e-300), -500, 500)))
+        else:
+            total = np.abs(np.where(below, d, 0)).sum(axis=1, keepdims=True)
+            settled = total[:, 0] < 0.001 * np.abs(y[left]).sum(axis=1)
+            new = np.where(d >= 0, 0.0, np.exp(np.clip(i * np.abs(d) / np.maximum(total, 1e-300), 0, 500)))
+        old = w[left]
+        settled |= np.linalg.norm(new - old, axis=1) <= tol * np.maximum(np.linalg.norm(old, axis=1), 1e-300)
+        w[left] = new
+        left = left[~settled]
+    return z
+
+
+def baseline(y: np.ndarray, x: np.ndarray | None = None, method: str = "asls", lam: float = 1e7, p: float = 0.01, max_iter: int | None = None, order: int = 3, tol: float = 1e-3) -> np.ndarray:
+    """Baseline of one spectrum, or of each row of a matrix. asls, arpls, airpls: reweighted Whittaker smoothing (at most 30 rounds); modpoly, imodpoly: clipped polynomials (at most 50); rubberband: lower hull; median: median."""
     y = np.nan_to_num(np.asarray(y, dtype=float))
+    if method in REWEIGHTED:
+        got = _reweighted(np.atleast_2d(y), method, lam, p, 30 if max_iter is None else max_iter, tol)
+        return got[0] if y.ndim == 1 else got
+    if y.ndim == 2:
+        return np.array([baseline(row, x, method, lam, p, max_iter, order, tol) for row in y]).reshape(y.shape)
     n = len(y)
     x = np.linspace(-1, 1, n) if x is None else np.asarray(x, dtype=float)
     if method == "rubberband":
         return rubberband(x, y)
     if method == "median":
         return np.full(n, np.median(y))
-    if method in ("modpoly", "imodpoly"):
-        t = (x - x.min()) / max(np.ptp(x), 1e-300) * 2 - 1
-        v = np.vander(t, order + 1)
-        work, old = y.copy(), None
-        for _ in range(max_iter):
-            z = v @ np.linalg.lstsq(v, work, rcond=None)[0]
-            sd = float(np.std(work - z)) if method == "imodpoly" else 0.0
-            if old is not None and np.linalg.norm(z - old) <= tol * max(np.linalg.norm(old), 1e-300):
-                break
-            old, work = z, np.minimum(work, z + sd)
-        return z
-    w = np.ones(n)
-    z = y
-    for i in range(1, max_iter + 1):
-        z = _whittaker(y, w, lam)
-        d = y - z
-        if method == "asls":
-            new = np.where(d > 0, p, 1 - p)
-        elif method == "arpls":
-            neg = d[d < 0]
-            m, s = (neg.mean(), neg.std()) if len(neg) else (0.0, 0.0)
-            new = 1 / (1 + np.exp(np.clip(2 * (d - (2 * s - m)) / max(s, 1e-300), -500, 500)))
-        elif method == "airpls":
-            total = np.abs(d[d < 0]).sum()
-            if total < 0.001 * np.abs(y).sum():
-                break
-            new = np.where(d >= 0, 0.0, np.exp(np.clip(i * np.abs(d) / max(total, 1e-300), 0, 500)))
-        else:
-            raise ValueError(f"unknown baseline method {method}")
-        if np.linalg.norm(new - w) <= tol * max(np.linalg.norm(w), 1e-300):
+    if method not in ("modpoly", "imodpoly"):
+        raise ValueError(f"unknown baseline method {method}")
+    t = (x - x.min()) / max(np.ptp(x), 1e-300) * 2 - 1
+    v = np.vander(t, order + 1)
+    work, old = y.copy(), None
+    for _ in range(50 if max_iter is None else max_iter):
+        z = v @ np.linalg.lstsq(v, work, rcond=None)[0]
+        sd = float(np.std(work - z)) if method == "imodpoly" else 0.0
+        if old is not None and np.linalg.norm(z - old) <= tol * max(np.linalg.norm(old), 1e-300):
             break
-        w = new
+        old, work = z, np.minimum(work, z + sd)
     return z
 
 
-def map_spectra(matrix: DataFrame, f, more: str = "") -> DataFrame:
-    """Array form with ``f(values) -> values`` applied to each row in Arrow batches."""
+def map_spectra(matrix: DataFrame, f, whole: bool = False) -> DataFrame:
+    """Array form with ``f(values) -> values`` applied to each row in Arrow batches; with ``whole`` to the matrix of all rows of one length in a batch."""
     kinds = {c.name: c.dataType.simpleString() for c in matrix.schema}
 
+    def rows(values: pd.Series) -> list:
+        out: list = [None] * len(values)
+        by_size: dict[int, list[int]] = {}
+        for i, v in enumerate(values):
+            if v is not None:
+                by_size.setdefault(len(v), []).append(i)
+        for at in by_size.values():
+            got = f(np.array([values.iloc[i] for i in at], dtype=float))
+            for i, v in zip(at, got, strict=True):
+                out[i] = v.tolist()
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["values"] = [None if v is None else f(np.asarray(v, dtype=float)).tolist() for v in b["values"]]
+            b["values"] = rows(b["values"]) if whole else [None if v is None else f(np.asarray(v, dtype=float)).tolist() for v in b["values"]]
             yield b
 
     return matrix.select("sample_id", "grp", "values").mapInPandas(run, f"sample_id {kinds['sample_id']}, grp {kinds['grp']}, values array<double>")
 
 
-def baseline_correct(matrix: DataFrame, method: str = "asls", return_baseline: bool = False, **options) -> DataFrame:
-    """Spectra less their baselines, or the baselines."""
-    return map_spectra(matrix, lambda y: baseline(y, method=method, **options) if return_baseline else np.nan_to_num(y) - baseline(y, method=method, **options))
+def baseline_correct(matrix: DataFrame, method: str = "asls", return_baseline: bool = False, axis: np.ndarray | None = None, **options) -> DataFrame:
+    """Spectra less their baselines, or the baselines; ``axis``: coordinates for the polynomials and the hull."""
+    fit = lambda y: baseline(y, axis, method, **options)
+    return map_spectra(matrix, fit if return_baseline else lambda y: np.nan_to_num(y) - fit(y), whole=True)
 
 
 def interpolate_to(matrix: DataFrame, old: np.ndarray, new: np.ndarray) -> DataFrame:
@@ -192,7 +219,16 @@ def interpolate_to(matrix: DataFrame, old: np.ndarray, new: np.ndarray) -> DataF
     return map_spectra(matrix, lambda y: np.interp(new, old[order], y[order]))
 
 
-REFERENCES = {"tsp": (-0.2, 0.2, 0.0), "acetate": (1.8, 2.0, 1.91), "glucose": (5.1, 5.35, 5.23), "alanine": (1.4, 1.55, 1.48), "formate": (8.3, 8.6, 8.44)}  # fixed values
+#: Range searched and target of each reference.
+REFERENCES = {
+    "tsp": (-0.2, 0.2, 0.0),
+    "acetate": (1.8, 2.2, 1.91),
+    "glucose": (5.0, 5.4, 5.23),
+    "alanine": (1.2, 1.6, 1.48),
+    "formate": (8.0, 8.4, 8.44),
+}
+#: Least prominence of the two peaks whose mean calibrates glucose and alanine.
+PROMINENCE = 0.01
 
 
 def peak_positions(matrix: DataFrame, axis: DataFrame, low: float, high: float, tallest: int = 1) -> DataFrame:
@@ -208,21 +244,32 @@ def peak_positions(matrix: DataFrame, axis: DataFrame, low: float, high: float,
 
 
 def calibrate(matrix: DataFrame, axis: np.ndarray, reference: str = "tsp", span: tuple[float, float] | None = None, target: float | None = None) -> DataFrame:
-    """Spectra shifted so that the reference peak stands at its target, interpolated on the same axis. Glucose and alanine take the mean of their two tallest peaks; a given range or target comes before the reference's own."""
-    low, high, goal = REFERENCES[reference] if reference in REFERENCES else (*span, target)
-    if span is not None:
+    """Spectra shifted so that the reference peak stands at its target, interpolated on the same axis, ends held.
+
+    A known reference has its own range and target. Any other name (``custom``)
+    takes ``span`` and ``target``; without a target the middle of the span is it.
+    Glucose and alanine take the mean of their two tallest peaks, one peak if
+    there is one, else the largest value. A range without points is an error.
+    """
+    axis = np.asarray(axis, dtype=float)
+    if reference in REFERENCES:
+        low, high, goal = REFERENCES[reference]
+    elif span is None or (reference == "custom" and target is None):
+        raise ValueError("a custom reference needs a range and a target")
+    else:
         low, high = span
-    goal = goal if target is None else target
+        goal = (low + high) / 2 if target is None else float(target)
     inside = np.flatnonzero((axis >= low) & (axis <= high))
-    order = np.argsort(axis)
+    if not len(inside):
+        raise ValueError(f"the axis has no point from {low} to {high}")
+    order = np.argsort(axis, kind="stable")
 
     def f(y: np.ndarray) -> np.ndarray:
-        if not len(inside):
-            return y
         part = y[inside]
-        if reference in ("glucose", "alanine"):
-            peaks = sorted((p for p, _, _ in find_peaks(part)), key=lambda p: (-part[p], p))[:2]
-            at = float(np.mean([axis[inside[p]] for p in peaks])) if peaks else float(axis[inside[int(np.argmax(part))]])
+        peaks = [p for p, _, _ in find_peaks(part, PROMINENCE)] if reference in ("glucose", "alanine") else []
+        if peaks:
+            tallest = sorted(peaks, key=lambda p: (part[p], p))[-2:]
+            at = float(np.mean(axis[inside[tallest]]))
         else:
             at = float(axis[inside[int(np.argmax(part))]])
         return np.interp(axis + (at - goal), axis[order], y[order])

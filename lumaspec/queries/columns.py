@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import colstats as c
 from ..plans.matrix import from_arrays, to_long
 from . import query
+from .sqlmath import t_p
 
 #: Long form of embeddings in SQL.
 LONG = "(SELECT vec_id AS sample_id, label AS grp, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
@@ -69,11 +70,13 @@ def stocsy_r(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("j", "n", *r6("r"), t.alias("t"))
 
 
-@query()
+@query(f"""SELECT j, round(r, 6) + 0.0 AS r, CASE WHEN j = 5 THEN 0.0 ELSE round({t_p('t', 'df')}, 8) END AS p_value FROM (SELECT *, n - 2 AS df, CASE WHEN j = 5 THEN 0 ELSE r * sqrt((n - 2) / (1 - r * r)) END AS t FROM
+(SELECT a.j, count(*) AS n, corr(a.value, b.value) AS r FROM {LONG} a JOIN {LONG} b ON a.sample_id = b.sample_id AND b.j = 5 GROUP BY a.j))""")
 def stocsy_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.tests import stocsy
+    """Correlation with its p-value; the anchor's own row has p = 0."""
+    from ..operators.hypotheses import stocsy
 
-    return stocsy(matrix(spark, sf_dir), 5)
+    return stocsy(matrix(spark, sf_dir), 5).select("j", *r6("r"), F.when(F.col("j") == 5, 0.0).otherwise(F.round("p_value", 8)).alias("p_value"))
 
 
 CORR_SQL = f"""

@@ -73,12 +73,6 @@ def opls_da(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.opls_da(two(spark, sf_dir), 3)
 
 
-@query()
-def pls_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = two(spark, sf_dir)
-    return m.pls(x, F.col("grp"), 2).predict(x)
-
-
 @query()
 def lda_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.lda(matrix(spark, sf_dir), 2)[0]

@@ -26,9 +26,19 @@ def savgol_interior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("j BETWEEN 5 AND 58").select("sample_id", F.col("j").cast("long").alias("j"), *r6("value"))
 
 
-@query()
+def _edges_sql() -> str:
+    c = g.savgol_coefficients()
+    row = lambda i: "[" + ", ".join(repr(float(k)) for k in c[i]) + "]"
+    v = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+    case = " ".join(f"WHEN {j} THEN list_dot_product({row(i)}, v[{a}:{a + 10}])" for j, i, a in [*((j, j, 1) for j in range(5)), *((j, j - 53, 54) for j in range(59, 64))])
+    return f"SELECT sample_id, j, round(CASE j {case} ELSE list_dot_product({row(5)}, v[j - 4:j + 6]) END, 6) + 0.0 AS value FROM (SELECT vec_id AS sample_id, {v} AS v, CAST(unnest(range(64)) AS BIGINT) AS j FROM embeddings)"
+
+
+@query(_edges_sql())
 def savgol_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix(spark, sf_dir).select("sample_id", g.savgol(F.col("values")).alias("values"))
+    """Whole spectra, ends by the polynomials of the first and last windows."""
+    rows = matrix(spark, sf_dir).select("sample_id", F.posexplode(g.savgol(F.col("values"))).alias("j", "value"))
+    return rows.select("sample_id", F.col("j").cast("long").alias("j"), *r6("value"))
 
 
 @query(f"SELECT sample_id, round(arg_max(coord, (value, -j)), 9) AS position FROM {LONG} l JOIN {AXIS_SQL} a USING (j) WHERE coord BETWEEN 4.0 AND 6.0 GROUP BY sample_id")
@@ -51,9 +61,54 @@ def aligned_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.align(matrix(spark, sf_dir), AXIS, [(1.0, 4.0), (5.0, 9.0)], 0.5)[0]
 
 
-@query()
+def _calibrated_sql(low: float, high: float, goal: float, at: str) -> str:
+    """``at``: the peak's coordinate over rows (coord, value, j) of a range."""
+    return f"""WITH l AS {LONG}, r AS (SELECT sample_id, {at} AS peak FROM l JOIN {AXIS_SQL} a USING (j) WHERE coord BETWEEN {low} AND {high} GROUP BY sample_id),
+q AS (SELECT l.sample_id, l.j, greatest(0.0, least(63.0, (9.5 - (coord + peak - {goal})) * 7.0)) AS p FROM l JOIN {AXIS_SQL} a USING (j) JOIN r USING (sample_id))
+SELECT q.sample_id, q.j, round(x.value + (p - x.j) * (y.value - x.value), 5) + 0.0 AS value FROM q JOIN l x ON x.sample_id = q.sample_id AND x.j = least(62, floor(p)) JOIN l y ON y.sample_id = q.sample_id AND y.j = x.j + 1"""
+
+
+def _calibrated(spark: SparkSession, sf_dir: str, *how) -> DataFrame:
+    rows = g.calibrate(matrix(spark, sf_dir), AXIS, *how).select("sample_id", F.posexplode("values").alias("j", "value"))
+    return rows.select("sample_id", F.col("j").cast("long").alias("j"), (F.round("value", 5) + F.lit(0.0)).alias("value"))
+
+
+SINGLET = "arg_max(coord, (value, -j))"
+#: In a range of three points the only peak is the middle one.
+MIDDLE = "CASE WHEN arg_min(value, abs(j - mid)) - greatest(arg_min(value, j), arg_max(value, j)) >= 0.01 THEN arg_min(coord, abs(j - mid)) ELSE arg_max(coord, (value, -j)) END"
+
+
+@query(_calibrated_sql(1.8, 2.2, 1.91, SINGLET))
 def calibrated_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.calibrate(matrix(spark, sf_dir), AXIS, "acetate", (1.5, 2.5))
+    return _calibrated(spark, sf_dir, "acetate")
+
+
+@query(_calibrated_sql(8.0, 8.4, 8.44, SINGLET))
+def calibrated_formate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibrated(spark, sf_dir, "formate")
+
+
+@query(_calibrated_sql(5.0, 5.4, 5.23, MIDDLE.replace("mid", "30")))
+def calibrated_glucose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibrated(spark, sf_dir, "glucose")
+
+
+@query(_calibrated_sql(1.2, 1.6, 1.48, MIDDLE.replace("mid", "57")))
+def calibrated_alanine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibrated(spark, sf_dir, "alanine")
+
+
+@query(_calibrated_sql(3.0, 4.0, 3.5, SINGLET))
+def calibrated_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range alone: its middle is the target."""
+    return _calibrated(spark, sf_dir, "own", (3.0, 4.0))
+
+
+@query(f"""SELECT round(avg(abs(position - 5.0)), 6) AS alignment_error FROM (SELECT arg_max(coord, (value, -j)) AS position FROM {LONG} l JOIN {AXIS_SQL} a USING (j) WHERE coord BETWEEN 4.0 AND 6.0 GROUP BY sample_id)""")
+def alignment_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.reports import alignment_error
+
+    return alignment_error(g.peak_positions(matrix(spark, sf_dir), axis(spark), 4.0, 6.0), 5.0).select(*r6("alignment_error"))
 
 
 @query()
@@ -61,9 +116,12 @@ def baseline_asls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.baseline_correct(matrix(spark, sf_dir), "asls", lam=1e4)
 
 
-@query()
+@query(f"""WITH l AS {LONG} SELECT x.sample_id, x.j, round(x.value - least(x.value, coalesce(min(a.value + (b.value - a.value) * (x.j - a.j) / (b.j - a.j)), x.value)), 5) + 0.0 AS value
+FROM l x LEFT JOIN l a ON a.sample_id = x.sample_id AND a.j < x.j LEFT JOIN l b ON b.sample_id = x.sample_id AND b.j > x.j GROUP BY x.sample_id, x.j, x.value""")
 def baseline_rubberband(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.baseline_correct(matrix(spark, sf_dir), "rubberband")
+    """The lower hull at a point is the lowest chord over it."""
+    rows = g.baseline_correct(matrix(spark, sf_dir), "rubberband").select("sample_id", F.posexplode("values").alias("j", "value"))
+    return rows.select("sample_id", F.col("j").cast("long").alias("j"), (F.round("value", 5) + F.lit(0.0)).alias("value"))
 
 
 @query()

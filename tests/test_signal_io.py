@@ -44,7 +44,7 @@ def test_whittaker_against_a_dense_solver():
     rng = np.random.default_rng(1)
     y, w = rng.normal(size=20), rng.uniform(0.1, 1, 20)
     d = np.diff(np.eye(20), 2, axis=0)
-    assert np.allclose(signal._whittaker(y, w, 50.0), np.linalg.solve(np.diag(w) + 50 * d.T @ d, w * y))
+    assert np.allclose(signal._whittaker(y[None], w[None], 50.0)[0], np.linalg.solve(np.diag(w) + 50 * d.T @ d, w * y))
 
 
 def test_peaks_and_flat_tops():

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumaspec.functions import dist
-from lumaspec.operators import colstats, latent, normalise, tests, validation
+from lumaspec.operators import colstats, hypotheses, latent, normalise, validation
 from lumaspec.plans.matrix import nearest_feature, numeric_columns, to_arrays, to_long
 
 
@@ -66,15 +66,15 @@ def test_knn_takes_the_two_nearest(spark):
 
 
 def test_constant_anchor_and_two_samples(spark):
-    got = {r["j"]: r for r in tests.stocsy(arrays(spark, [[1, 2, 5], [2, 4, 5]]), 0).collect()}
+    got = {r["j"]: r for r in hypotheses.stocsy(arrays(spark, [[1, 2, 5], [2, 4, 5]]), 0).collect()}
     assert got[1]["r"] == pytest.approx(1) and got[1]["p_value"] == 1 and got[2]["r"] is None
-    assert all(r["r"] is None for r in tests.stocsy(arrays(spark, [[1, 2, 5], [2, 4, 5], [2, 3, 5]]), 2).collect())
+    assert all(r["r"] is None for r in hypotheses.stocsy(arrays(spark, [[1, 2, 5], [2, 4, 5], [2, 3, 5]]), 2).collect())
 
 
 def test_stocsy_against_numpy(spark):
     x = np.random.default_rng(0).normal(size=(20, 6))
     x[:, 3] = 2 * x[:, 1] + 0.1 * x[:, 3]
-    got = {r["j"]: r for r in tests.stocsy(arrays(spark, x), 1).collect()}
+    got = {r["j"]: r for r in hypotheses.stocsy(arrays(spark, x), 1).collect()}
     for j in range(6):
         r = np.corrcoef(x[:, 1], x[:, j])[0, 1]
         assert got[j]["r"] == pytest.approx(r, abs=1e-12)
@@ -84,22 +84,22 @@ def test_stocsy_against_numpy(spark):
 
 def test_corrections_pass_nulls(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", None)], "feature string, p_value double")
-    got = {r["feature"]: r["p_adj"] for r in tests.adjust(df, "fdr_bh").collect()}
+    got = {r["feature"]: r["p_adj"] for r in hypotheses.adjust(df, "fdr_bh").collect()}
     assert got["d"] is None and got["a"] == pytest.approx(0.03) and got["b"] == pytest.approx(0.04) and got["c"] == pytest.approx(0.04)
-    assert {r["feature"]: r["p_adj"] for r in tests.adjust(df, "holm").collect()}["c"] == pytest.approx(0.06)
+    assert {r["feature"]: r["p_adj"] for r in hypotheses.adjust(df, "holm").collect()}["c"] == pytest.approx(0.06)
     with pytest.raises(ValueError):
-        tests.adjust(df, "other")
+        hypotheses.adjust(df, "other")
 
 
 def test_exact_mann_whitney(spark):
     rows = [("x", "a", float(v)) for v in (1, 2, 3)] + [("x", "b", float(v)) for v in (4, 5, 6)]
-    r = tests.mann_whitney(spark.createDataFrame(rows, "feature string, grp string, value double"), "a", "b").first()
+    r = hypotheses.mann_whitney(spark.createDataFrame(rows, "feature string, grp string, value double"), "a", "b").first()
     assert r["u"] == 0 and r["p_value"] == pytest.approx(0.1)
 
 
 def test_lone_group_gives_null(spark):
     rows = [("x", "a", 1.0), ("x", "b", 2.0), ("x", "b", 3.0)]
-    r = tests.welch(tests.two_groups(spark.createDataFrame(rows, "feature string, grp string, value double"), "a", "b")).first()
+    r = hypotheses.welch(hypotheses.two_groups(spark.createDataFrame(rows, "feature string, grp string, value double"), "a", "b")).first()
     assert r["t"] is None and r["df"] is None
 
 
