@@ -58,15 +58,37 @@ def correlation_matrix(matrix: DataFrame, features: list[int]) -> DataFrame:
     return stats.select("j1", "j2", safe_ratio(F.col("c"), F.col("sx") * F.col("sy")).alias("r"))
 
 
+#: Ranges into which the values of one key are cut, so that a key's order is not one task's work.
+RANGES = 64
+
+
+def in_ranges(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
+    """Rows with ``_range``: the number of the range of ``value`` they lie in, between approximate quantiles of the whole column. Equal values share a range."""
+    ends = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1_000).alias("_ends"))
+    place = F.size(F.filter(F.coalesce("_ends", F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")), lambda e: e < F.col(value)))
+    return df.join(F.broadcast(ends), how="cross").withColumn("_range", place).drop("_ends")  # ends: one row
+
+
+def running_before(df: DataFrame, keys: list[str], value: str, amounts: list[str], descending: bool = False) -> DataFrame:
+    """Rows of distinct ``value`` within their keys, with ``<amount>_before``: the sum over the rows of smaller (larger) values, as a sum within the row's range and the sums of the ranges before it."""
+    rows = in_ranges(df, value)
+    by = F.desc if descending else F.asc
+    inner = Window.partitionBy(*keys, "_range").orderBy(by(value)).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*keys).orderBy(by("_range")).rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows of a key
+    sums = rows.groupBy(*keys, "_range").agg(*[F.sum(a).alias(f"_{a}") for a in amounts])
+    sums = sums.select(*keys, "_range", *[F.coalesce(F.sum(f"_{a}").over(outer), F.lit(0)).alias(f"_{a}") for a in amounts])
+    rows = rows.select("*", *[F.coalesce(F.sum(a).over(inner), F.lit(0)).alias(f"_{a}_in") for a in amounts]).join(sums, [*keys, "_range"])
+    return rows.select(*df.columns, *[(F.col(f"_{a}_in") + F.col(f"_{a}")).alias(f"{a}_before") for a in amounts])
+
+
 def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values of each key with their count and average rank.
 
-    Values are counted first, so the sorted window sees distinct values only.
+    Values are counted first, so sorting sees distinct values only, and a key's values are sorted range by range.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("ties"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    before = F.coalesce(F.sum("ties").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("rank", before + (F.col("ties") + 1) / 2)
+    ranked = running_before(counts.where(F.col(value).isNotNull()), keys, value, ["ties"])
+    return ranked.withColumn("rank", F.col("ties_before") + (F.col("ties") + 1) / 2).drop("ties_before")
 
 
 def rank_transform(long: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import f_quantile, t_quantile
-from .linalg import fixed_signs, gram, moments
+from .linalg import class_moments, fixed_signs, gram, moments
 
 SCALES = ("uv", "pareto", "mean", "minmax")
 
@@ -218,47 +218,17 @@ def opls_predict(model: dict, x: np.ndarray, k: int) -> np.ndarray:
 def opls_da(matrix: DataFrame, kfold: int = 3, scaling: str = "pareto", most: int | None = None) -> DataFrame:
     """One row: components, r2y, q2, misclassified, n of a two-class model, components chosen by contiguous-fold cross-validation.
 
-    All min(samples - 1, features) components of each fold are judged, or at most ``most``.
-    Each fold is fitted in a worker on the samples of two classes (a study, not
-    a stream: the samples of a study fit a worker, which is checked).
+    All components of each fold are judged, or at most ``most``. Everything runs
+    on the samples' cross products (``wide``), whatever the number of features.
     """
+    from . import wide
+
     classes = sorted(r[0] for r in matrix.select("grp").distinct().collect())
-    if len(classes) != 2:
-        raise ValueError("two classes are needed")
-    n = matrix.count()
-    if n > 20_000:
-        raise ValueError(f"{n} samples: more than a fold's worker should hold")
-    from .validation import contiguous_folds
-
-    assigned = contiguous_folds(matrix.select("sample_id", "grp"), "sample_id", "grp", kfold).drop("grp")
-    rows = matrix.join(assigned, "sample_id").withColumn("y", (F.col("grp") == classes[1]).cast("double"))
-    each = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(kfold)))).select("run", "sample_id", "fold", "y", "values")  # the last run is the whole set
-
-    def fit(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("sample_id")
-        run = int(b["run"].iloc[0])
-        x, y = np.vstack(b["values"].to_numpy()), b["y"].to_numpy()
-        test = (b["fold"] == run).to_numpy() if run < kfold else np.ones(len(b), dtype=bool)
-        train = ~test if run < kfold else test
-        mean, sd = x[train].mean(0), x[train].std(0)
-        power = {"uv": 1.0, "pareto": 0.5, "mean": 0.0}[scaling]
-        div = np.where(sd > 0, np.where(sd > 0, sd, 1) ** power, 1.0)
-        my = y[train].mean()
-        m = opls_arrays((x[train] - mean) / div, y[train] - my, min(train.sum() - 1, x.shape[1], *([] if most is None else [most])))
-        z, v = (x[test] - mean) / div, y[test] - my
-        out = []
-        for k in range(1, len(m["c"]) + 1):
-            if k <= len(m["wo"]):  # one more component removed, as in opls_predict
-                z = z - np.outer(z @ m["wo"][k - 1], m["po"][k - 1])
-            e = v - z @ m["w"] * m["c"][k - 1]
-            out.append((run, k, float(e @ e), int(((v - e > 0) != (v > 0)).sum()), float(((y[test] - y.mean()) ** 2).sum())))
-        return pd.DataFrame(out, columns=["run", "k", "press", "wrong", "ss"])
-
-    got = each.groupBy("run").applyInPandas(fit, "run int, k int, press double, wrong long, ss double")
-    cv = got.where(F.col("run") < kfold).groupBy("k").agg(F.sum("press").alias("press"), F.sum("wrong").alias("wrong"), F.sum("ss").alias("ss"), F.count("*").alias("c"))
-    best = cv.where(F.col("c") == kfold).orderBy("wrong", "k").limit(1)
-    whole = got.where(F.col("run") == kfold).select("k", (1 - F.col("press") / F.col("ss")).alias("r2y"))
-    return best.join(whole, "k").select(F.col("k").alias("components"), "r2y", (1 - F.col("press") / F.col("ss")).alias("q2"), F.col("wrong").alias("misclassified"), F.lit(n).alias("n"))
+    cv = wide.opls_cv(matrix, kfold, scaling, most)
+    best = cv.sort_values(["misclassified", "components"]).iloc[0]
+    model = wide.opls(matrix, F.col("grp") == F.lit(classes[-1]), int(best["components"]), scaling)
+    row = (int(best["components"]), model.r2y, float(best["q2"]), int(best["misclassified"]), matrix.count())
+    return matrix.sparkSession.createDataFrame([row], "components int, r2y double, q2 double, misclassified long, n long")
 
 
 def permutation_test(matrix: DataFrame, permutations: int = 100, components: int = 2, kfold: int = 3, seed: int = 42) -> DataFrame:
@@ -328,9 +298,7 @@ def permutation_test(matrix: DataFrame, permutations: int = 100, components: int
 
 def lda(matrix: DataFrame, components: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """(scores, explained ratios): directions that part the groups most, from group means and scatter within, ridged where it is singular."""
-    stats = {}
-    for r in matrix.select("grp").distinct().collect():  # one pass of moments for each class
-        stats[r["grp"]] = moments(matrix.where(F.col("grp").eqNullSafe(r["grp"])))
+    stats = class_moments(matrix, [r[0] for r in matrix.select("grp").distinct().collect()])
     n = sum(s[0] for s in stats.values())
     mean = sum(s[0] * s[1] for s in stats.values()) / n
     within = sum(s[2] for s in stats.values()) / max(n - len(stats), 1)

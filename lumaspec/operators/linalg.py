@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 10_000
+#: Numbers that a worker holds of one block of features.
+BLOCK_NUMBERS = 400_000
 
 
 def packed_sums(parts: DataFrame, salts: int = 32) -> dict[int, np.ndarray]:
@@ -97,27 +99,83 @@ def gram(long: DataFrame, block: int = 512) -> tuple[list, np.ndarray]:
     return ids, np.concatenate([sums[i].reshape(-1, n) for i in range(len(sums))]) if sums else np.zeros((n, n))
 
 
-def gram_of_folds(long: DataFrame, ids: list, fold: np.ndarray, kfold: int, power: float, block: int = 512) -> list[np.ndarray]:
-    """For each fold the cross products of all samples, features centred and scaled by the samples outside the fold."""
+def feature_blocks(matrix: DataFrame, n: int) -> DataFrame:
+    """b, start, sample_id, part: each sample's values in runs of features, as wide as ``n`` samples of them fit a worker (``BLOCK_NUMBERS``)."""
+    width = max(64, BLOCK_NUMBERS // max(n, 1))
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size("values") / width).cast("int") - 1), lambda b: F.struct(b.alias("b"), (b * width).alias("start"), F.slice("values", b * width + 1, F.lit(width)).alias("part")))
+    return matrix.where(F.size("values") > 0).select("sample_id", F.explode(runs).alias("r")).select("r.b", "r.start", "sample_id", "r.part")
+
+
+def block_array(b: pd.DataFrame, place: dict) -> np.ndarray:
+    """Samples x features of one block, samples in the order of ``place``."""
+    x = np.empty((len(place), len(b["part"].iloc[0])))
+    x[[place[s] for s in b["sample_id"]]] = np.vstack(b["part"].to_numpy())
+    return x
+
+
+def scale_block(x: np.ndarray, power: float, by: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Features centred and divided by a power of their deviation over the samples ``by`` (constant ones by 1)."""
+    sd = x[by].std(0)
+    return (x - x[by].mean(0)) / np.where(sd > 0, np.where(sd > 0, sd, 1) ** power, 1.0)
+
+
+def sample_ids(matrix: DataFrame) -> list:
+    ids = [r[0] for r in matrix.select("sample_id").orderBy("sample_id").limit(LIMIT + 1).collect()]
+    if len(ids) > LIMIT:
+        raise ValueError(f"over {LIMIT} samples: use the feature-by-feature form")
+    if len(set(ids)) < len(ids):
+        raise ValueError("sample ids repeat")
+    return ids
+
+
+def gram_of(matrix: DataFrame, ids: list, power: float, folds: np.ndarray | None = None, kfold: int = 1) -> list[np.ndarray]:
+    """Cross products of all samples over scaled features; with ``folds`` one matrix for each fold, scaled by the samples outside it. A block's scaling needs that block alone."""
     n = len(ids)
     if n * n * 8 * kfold > 4_000_000_000:
         raise ValueError(f"{kfold} matrices of {n} x {n} are too large for the driver")
-    place = {s: i for i, s in enumerate(ids)}
-    per = -(-n // 512)  # row blocks of a fold
+    place, per = {s: i for i, s in enumerate(ids)}, -(-n // 512)  # row blocks of a fold
 
     def part(b: pd.DataFrame) -> pd.DataFrame:
-        x = _dense(b, place, block)
-        out = []
+        x, out = block_array(b, place), []
         for f in range(kfold):
-            train = x[fold != f]
-            sd = train.std(0)
-            z = (x - train.mean(0)) / np.where(sd > 0, np.where(sd > 0, sd, 1) ** power, 1.0)
+            z = scale_block(x, power, slice(None) if folds is None else folds != f)
             out.append(_row_blocks(z @ z.T, f * per))
         return pd.concat(out)
 
-    blocks = long.select(F.floor(F.col("j") / block).alias("b"), "sample_id", "j", "value").groupBy("b").applyInPandas(part, "i long, data binary")
-    sums = packed_sums(blocks)
-    return [np.concatenate([sums[f * per + i].reshape(-1, n) for i in range(per)]) for f in range(kfold)]
+    sums = packed_sums(feature_blocks(matrix, n).groupBy("b").applyInPandas(part, "i long, data binary"))
+    return [np.concatenate([sums[f * per + i].reshape(-1, n) for i in range(per)]) if sums else np.zeros((n, n)) for f in range(kfold)]
+
+
+def class_moments(matrix: DataFrame, classes: list) -> dict:
+    """For each class (n, mean, sum of outer products of centred rows), from one pass for the means and one for the products."""
+    p = matrix.agg(F.max(F.size("values"))).first()[0] or 0
+    if p > LIMIT:
+        raise ValueError(f"{p} features: use the sample-by-sample form (operators.wide)")
+    number = {c: i for i, c in enumerate(classes)}
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = np.zeros((len(classes), p + 1))
+        for b in batches:
+            for g, rows in b.groupby("grp", dropna=False):
+                s[number[g if g == g else None], :p] += np.vstack(rows["values"].to_numpy()).sum(0)
+                s[number[g if g == g else None], p] += len(rows)
+        yield pd.DataFrame({"i": range(len(classes)), "data": [x.tobytes() for x in s]})
+
+    rows = matrix.select("grp", "values")
+    sums = packed_sums(rows.mapInPandas(total, "i long, data binary"))
+    means = {i: s[:p] / max(s[p], 1) for i, s in sums.items()}
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = np.zeros((len(classes), p, p))
+        for b in batches:
+            for g, part in b.groupby("grp", dropna=False):
+                i = number[g if g == g else None]
+                x = np.vstack(part["values"].to_numpy()) - means[i]
+                c[i] += x.T @ x
+        yield pd.DataFrame({"i": range(len(classes)), "data": [x.tobytes() for x in c]})
+
+    squares = packed_sums(rows.mapInPandas(products, "i long, data binary"))
+    return {c: (int(sums[i][p]), means[i], squares[i].reshape(p, p)) for c, i in number.items()}
 
 
 def fixed_signs(loadings: np.ndarray) -> np.ndarray:

@@ -16,28 +16,31 @@ from .linalg import moments
 MODELS = ("rf", "svm", "xgb", "elasticnet", "mlp")
 
 
-def estimator(model: str, seed: int = 42, features: int = 0, classes: int = 2):
+def estimator(model: str, seed: int = 42, features: int = 0, classes: int = 2, options: dict | None = None):
     cols = {"featuresCol": "features", "labelCol": "target"}
+    more = options or {}
     if model == "rf":
-        return RandomForestClassifier(numTrees=100, seed=seed, **cols)
+        return RandomForestClassifier(**{"numTrees": 100} | more, seed=seed, **cols)
     if model == "svm":  # linear: Spark has no radial kernel
-        return OneVsRest(classifier=LinearSVC(**cols), **cols)
+        return OneVsRest(classifier=LinearSVC(**more, **cols), **cols)
     if model == "xgb":  # boosted trees, two classes
-        return GBTClassifier(seed=seed, maxIter=30, **cols) if classes == 2 else OneVsRest(classifier=GBTClassifier(seed=seed, maxIter=30, **cols), **cols)
+        trees = GBTClassifier(**{"maxIter": 30} | more, seed=seed, **cols)
+        return trees if classes == 2 else OneVsRest(classifier=trees, **cols)
     if model == "elasticnet":
-        return LogisticRegression(elasticNetParam=0.5, regParam=0.01, **cols)
+        return LogisticRegression(**{"elasticNetParam": 0.5, "regParam": 0.01} | more, **cols)
     if model == "mlp":
-        return MultilayerPerceptronClassifier(layers=[features, 64, 32, classes], seed=seed, **cols)
+        return MultilayerPerceptronClassifier(**{"layers": [features, 64, 32, classes]} | more, seed=seed, **cols)
     raise ValueError(f"model must be one of {MODELS}")
 
 
 class Classifier:
     """Standardised features and one of ``MODELS``; fit, predict, cross-validated scores, importances."""
 
-    def __init__(self, model: str = "rf", seed: int = 42) -> None:
+    def __init__(self, model: str = "rf", seed: int = 42, **options) -> None:
+        """``options`` are parameters of Spark's estimator, such as ``numTrees`` or ``regParam``."""
         if model not in MODELS:
             raise ValueError(f"model must be one of {MODELS}")
-        self.model, self.seed, self.fitted = model, seed, None
+        self.model, self.seed, self.options, self.fitted = model, seed, options, None
 
     @staticmethod
     def _rows(matrix: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ class Classifier:
         rows = self._rows(matrix)
         first = matrix.select(F.size("values").alias("p")).first()
         classes = rows.select("label").distinct().count()
-        stages = [StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), estimator(self.model, self.seed, first["p"], classes)]
+        stages = [StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), estimator(self.model, self.seed, first["p"], classes, self.options)]
         stages[0].setHandleInvalid("error")
         self.fitted = Pipeline(stages=stages).fit(rows)
         return self
@@ -58,18 +61,90 @@ class Classifier:
         out = self.fitted.transform(self._rows(matrix))
         return out.select("sample_id", "label", F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int")).alias("predicted"))
 
-    def cross_validate(self, matrix: DataFrame, k: int = 3) -> DataFrame:
-        """fold, accuracy, balanced_accuracy, macro_f1 on stratified folds."""
-        from .validation import class_metrics, folds
+    def predict_proba(self, matrix: DataFrame) -> DataFrame:
+        """sample_id, label and one column for each class: the model's probabilities, or its scores through a soft maximum."""
+        from pyspark.ml.functions import vector_to_array
 
-        dealt = folds(matrix, "sample_id", "stratified_kfold", k, label="grp", seed=self.seed)
+        names = self.fitted.stages[0].labels
+        out = self.fitted.transform(self._rows(matrix))
+        if "probability" in out.columns:
+            shares = vector_to_array("probability")
+        else:
+            raw = F.transform(vector_to_array("rawPrediction"), lambda x: F.exp(F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
+            shares = F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+        return out.withColumn("_p", shares).select("sample_id", "label", *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+    def _again(self, **changed) -> "Classifier":
+        return Classifier(self.model, self.seed, **(self.options | changed))
+
+    def out_of_fold(self, matrix: DataFrame, k: int = 3, strategy: str = "stratified_kfold", **how) -> DataFrame:
+        """sample_id, label, fold, predicted and a column for each class: every sample judged by a model that has not seen it."""
+        from .validation import folds
+
+        labelled = {"label": "grp"} if strategy in ("stratified_kfold", "repeated_kfold") else {}
+        dealt = folds(matrix, "sample_id", strategy, k, seed=self.seed, **labelled, **how)
+        places = sorted((r["repeat"], r["fold"]) for r in dealt.select("repeat", "fold").distinct().collect())
         out = None
-        for f in range(k):
-            of = lambda role: matrix.join(dealt.where((F.col("fold") == f) & (F.col("role") == role)).select("sample_id"), "sample_id", "left_semi")  # noqa: B023, E731
-            m = class_metrics(Classifier(self.model, self.seed).fit(of("train")).predict(of("test")), "label", "predicted").withColumn("fold", F.lit(f))
+        for repeat, f in places:
+            of = lambda role: matrix.join(dealt.where((F.col("repeat") == repeat) & (F.col("fold") == f) & (F.col("role") == role)).select("sample_id"), "sample_id", "left_semi")  # noqa: B023, E731
+            model = self._again().fit(of("train"))
+            test = of("test")
+            one = model.predict_proba(test).join(model.predict(test).select("sample_id", "predicted"), "sample_id").withColumn("fold", F.lit(f)).withColumn("repeat", F.lit(repeat))
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        return out
+
+    def cross_validate(self, matrix: DataFrame, k: int = 3, strategy: str = "stratified_kfold", **how) -> DataFrame:
+        """fold, accuracy, balanced_accuracy, macro_f1 of each fold."""
+        from .validation import class_metrics
+
+        judged = self.out_of_fold(matrix, k, strategy, **how).select("repeat", "fold", "label", "predicted").persist()
+        out = None
+        for r in sorted(judged.select("repeat", "fold").distinct().collect()):
+            m = class_metrics(judged.where((F.col("repeat") == r["repeat"]) & (F.col("fold") == r["fold"])), "label", "predicted").withColumn("fold", F.lit(r["fold"])).withColumn("repeat", F.lit(r["repeat"]))
             out = m if out is None else out.unionByName(m)
         return out
 
+    def compare_strategies(self, matrix: DataFrame, strategies: list[str], k: int = 3) -> DataFrame:
+        """strategy, mean, std, min, max of the accuracy over the folds of each way of splitting."""
+        from .validation import fold_summary
+
+        out = None
+        for s in strategies:
+            one = fold_summary(self.cross_validate(matrix, k, s), "accuracy").withColumn("strategy", F.lit(s))
+            out = one if out is None else out.unionByName(one)
+        return out.select("strategy", "mean", "std", "min", "max")
+
+    def learning_curve(self, matrix: DataFrame, shares: list[float], test: float = 0.2) -> DataFrame:
+        """share, samples, train and test accuracy of models fitted on growing parts of the training samples."""
+        from .validation import learning_sizes, stratified_split
+
+        split = stratified_split(matrix, "sample_id", "grp", test, self.seed)
+        train, held = (split.where(F.col("role") == r).drop("role") for r in ("train", "test"))
+        parts = learning_sizes(train, "sample_id", "grp", shares, self.seed)
+        acc = lambda m, d: m.predict(d).agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0]
+        rows = []
+        for s in shares:
+            part = train.join(parts.where(F.col("share") == float(s)).select("sample_id"), "sample_id", "left_semi")
+            model = self._again().fit(part)
+            rows.append((float(s), part.count(), acc(model, part), acc(model, held)))
+        return matrix.sparkSession.createDataFrame(rows, "share double, samples long, train double, test double")
+
+    def nested_cv(self, matrix: DataFrame, grid: list[dict], outer: int = 3, inner: int = 2) -> DataFrame:
+        """fold, options (JSON), inner and outer accuracy: the options that win the inner folds of the training samples are judged on the outer fold."""
+        import json
+
+        from .validation import folds
+
+        dealt = folds(matrix, "sample_id", "stratified_kfold", outer, label="grp", seed=self.seed)
+        rows = []
+        for f in range(outer):
+            of = lambda role: matrix.join(dealt.where((F.col("fold") == f) & (F.col("role") == role)).select("sample_id"), "sample_id", "left_semi")  # noqa: B023, E731
+            scores = [self._again(**o).cross_validate(of("train"), inner).agg(F.avg("accuracy")).first()[0] for o in grid]
+            best = int(np.argmax(scores))
+            judged = self._again(**grid[best]).fit(of("train")).predict(of("test")).agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0]
+            rows.append((f, json.dumps(grid[best], sort_keys=True), float(scores[best]), float(judged)))
+        return matrix.sparkSession.createDataFrame(rows, "fold int, options string, inner_accuracy double, outer_accuracy double")
+
     def importance(self) -> np.ndarray:
         """Impurity of trees, or mean |coefficient|."""
         m = self.fitted.stages[-1]

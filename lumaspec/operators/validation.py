@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 
 def _dealt(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
@@ -32,20 +33,34 @@ def folds(df: DataFrame, key: str, strategy: str = "kfold", k: int = 5, label: s
     """(key, repeat, fold, role) of each row and fold.
 
     Orders come from a hash of the key and the seed, so the assignment does not
-    depend on partitions. ``time_series`` and ``kfold`` number the rows of the
-    whole table, which is meant for sample tables, not for observations.
+    depend on partitions. ``kfold`` and ``time_series`` number the rows of the
+    whole table, range by range of their order (a text order is one range).
     """
     if strategy not in SPLITTERS:
         raise ValueError(f"strategy must be one of {SPLITTERS}")
-    every = Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
     spark = df.sparkSession
 
+    def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+        """Rows with ``_r``, their number from 0 in the order of a hash or of ``order``, counted range by range."""
+        from .colstats import RANGES, in_ranges
+
+        if order:
+            first = rows.withColumn("_o", order[0])
+            ranged = in_ranges(first, "_o") if isinstance(first.schema["_o"].dataType, NumericType | DateType | TimestampType | TimestampNTZType) else first.withColumn("_range", F.lit(0))
+        else:
+            first = rows.withColumn("_o", F.xxhash64(F.col(key), F.lit(seed)))
+            ranged = first.withColumn("_range", F.floor((F.col("_o") / 2.0**63 + 1) * (RANGES / 2)).cast("int"))
+        sizes = ranged.groupBy("_range").agg(F.count("*").alias("_c"))
+        before = sizes.select("_range", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # at most RANGES rows
+        inner = F.row_number().over(Window.partitionBy("_range").orderBy("_o", *order[1:], key)) - 1
+        return ranged.withColumn("_i", inner).join(F.broadcast(before), "_range").withColumn("_r", F.col("_i") + F.col("_before")).drop("_o", "_i", "_range", "_before")
+
     def spread(rows: DataFrame, fold: Column, n: int, repeat: Column) -> DataFrame:
         each = rows.withColumn("_f", fold).withColumn("repeat", repeat).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         return each.select(key, "repeat", "fold", F.when(F.col("_f") == F.col("fold"), "test").otherwise("train").alias("role"))
 
     if strategy == "kfold":
-        return spread(df, (F.row_number().over(every) - 1) % k, k, F.lit(0))
+        return spread(numbered(df), F.col("_r") % k, k, F.lit(0))
     if strategy == "stratified_kfold":
         return spread(_dealt(df, key, label, seed), (F.col("_r") - 1) % k, k, F.lit(0))
     if strategy == "repeated_kfold":
@@ -76,8 +91,7 @@ def folds(df: DataFrame, key: str, strategy: str = "kfold", k: int = 5, label: s
             place.append((g, f))
         named = spark.createDataFrame(place, f"`{group}` {df.schema[group].dataType.simpleString()}, _g int")
         return spread(df.join(named, group), F.col("_g"), k, F.lit(0))
-    w = Window.orderBy(order or key)
-    rows = df.withColumn("_r", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    rows = numbered(df, F.col(order or key)).withColumn("_n", F.lit(df.count()))
     size = F.floor(F.col("_n") / (k + 1))
     start = F.col("_n") - size * (k - F.col("fold"))
     each = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("_r") < start + size)
@@ -103,10 +117,13 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def roc(df: DataFrame, label: str, score: str) -> DataFrame:
     """score, tpr, fpr from the largest score down; equal scores are one point. Distinct scores are counted first."""
-    g = df.groupBy(score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(0))
-    return g.select(score, (F.sum("p").over(w) / F.sum("p").over(every)).alias("tpr"), (F.sum("n").over(w) / F.sum("n").over(every)).alias("fpr"))
+    from .colstats import running_before
+
+    g = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
+    rows = running_before(g.withColumn("_k", F.lit(0)), ["_k"], score, ["p", "n"], descending=True)
+    every = g.agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # one row
+    rows = rows.join(F.broadcast(every), how="cross")
+    return rows.select(score, ((F.col("p_before") + F.col("p")) / F.col("_p")).alias("tpr"), ((F.col("n_before") + F.col("n")) / F.col("_n")).alias("fpr"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -118,6 +135,21 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return s.select(F.when((F.col("p") > 0) & (F.col("n") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))).alias("auc"))
 
 
+def one_vs_rest_auc(df: DataFrame, label: str, classes: list[str]) -> DataFrame:
+    """class, auc: of each class's score (a column of its name) against all others, and ``micro``: of all pairs of row and class together."""
+    from .colstats import running_before
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("class"), F.coalesce((F.col(label) == c).cast("int"), F.lit(0)).alias("y"), F.col(c).cast("double").alias("score")) for c in classes])
+    rows = df.select(F.explode(pairs).alias("p")).select("p.*").where("score IS NOT NULL")
+    # Equal scores are counted once for each class before anything is ranked.
+    counts = rows.groupBy("class", "score").agg(F.sum("y").alias("p"), F.count("*").alias("c"))
+    micro = counts.groupBy("score").agg(F.sum("p").alias("p"), F.sum("c").alias("c")).select(F.lit("micro").alias("class"), "score", "p", "c")
+    both = counts.unionByName(micro)
+    ranked = running_before(both, ["class"], "score", ["c"])
+    s = ranked.groupBy("class").agg(F.sum(F.col("p") * (F.col("c_before") + (F.col("c") + 1) / 2)).alias("r"), F.sum("p").cast("double").alias("p"), F.sum(F.col("c") - F.col("p")).cast("double").alias("n"))
+    return s.select("class", F.when((F.col("p") > 0) & (F.col("n") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))).alias("auc"))
+
+
 def class_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One row: accuracy, balanced accuracy and macro F1."""
     t = df.select(F.col(actual).alias("a"), F.col(predicted).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
@@ -199,3 +231,9 @@ def group_direction(long: DataFrame, a, b) -> DataFrame:
     rows = long.where(F.col("grp").isin(a, b)).withColumn("_y", (F.col("grp") == b).cast("double"))
     s = rows.groupBy("j").agg(F.median(F.when(F.col("grp") == a, F.col("value"))).alias("ma"), F.median(F.when(F.col("grp") == b, F.col("value"))).alias("mb"), F.covar_pop("value", "_y").alias("c"), F.stddev_pop("value").alias("s"), F.stddev_pop("_y").alias("t"))
     return s.select("j", F.when((F.col("ma") > 0) & (F.col("mb") > 0), F.log2(F.col("mb") / F.col("ma"))).alias("log2fc"), F.when((F.col("s") > 0) & (F.col("t") > 0), F.col("c") / (F.col("s") * F.col("t"))).alias("r"))
+
+
+def learning_sizes(df: DataFrame, key: str, label: str, shares: list[float], seed: int = 42) -> DataFrame:
+    """(key, share): nested stratified parts of the rows, each holding ceil(share * size) rows of every class."""
+    rows = _dealt(df, key, label, seed).withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    return rows.where(F.col("_r") <= F.ceil(F.col("_n") * F.col("share"))).select(key, "share")

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dist import f_quantile
 from ..plans.matrix import to_long
-from .linalg import LIMIT, gram, gram_of_folds
+from .latent import opls_arrays
+from .linalg import LIMIT, block_array, feature_blocks, gram_of, sample_ids, scale_block
 from .reports import signed_vip
 
 POWERS = {"uv": 1.0, "pareto": 0.5, "mean": 0.0}
@@ -32,13 +33,20 @@ def scaled(matrix: DataFrame, scaling: str = "pareto") -> DataFrame:
     return long.join(s, "j").select("sample_id", "j", ((F.col("value") - F.col("_m")) / by).alias("value"))
 
 
-def project(long: DataFrame, ids: list, vectors: dict[str, np.ndarray]) -> DataFrame:
-    """j and, for each vector over the samples, the sum of value * entry: one aggregation, the vectors (at most ``LIMIT`` rows) broadcast."""
-    spark, names = long.sparkSession, list(vectors)
-    kind = long.schema["sample_id"].dataType.simpleString()
-    rows = [(i, *(float(vectors[n][k]) for n in names)) for k, i in enumerate(ids)]
-    table = spark.createDataFrame(rows, f"sample_id {kind}, " + ", ".join(f"`{n}` double" for n in names))
-    return long.join(F.broadcast(table), "sample_id").groupBy("j").agg(*[F.sum(F.col("value") * F.col(n)).alias(n) for n in names])
+def project(matrix: DataFrame, ids: list, vectors: dict[str, np.ndarray], scaling: str) -> DataFrame:
+    """j, norm (root of the sum of squares) and, for each vector over the samples, the sum of scaled value * entry: one pass over blocks of features, the vectors (at most ``LIMIT`` rows) with each task."""
+    names, place, power = list(vectors), {s: i for i, s in enumerate(ids)}, POWERS[scaling]
+    weights = np.array([vectors[n] for n in names]).T
+
+    def part(b: pd.DataFrame) -> pd.DataFrame:
+        z = scale_block(block_array(b, place), power)
+        out = pd.DataFrame(z.T @ weights, columns=names)
+        out.insert(0, "norm", np.sqrt((z * z).sum(0)))
+        out.insert(0, "j", np.arange(z.shape[1]) + int(b["start"].iloc[0]))
+        return out
+
+    schema = "j long, norm double, " + ", ".join(f"`{n}` double" for n in names)
+    return feature_blocks(matrix, len(ids)).groupBy("b").applyInPandas(part, schema)
 
 
 def _score_table(matrix: DataFrame, ids: list, columns: dict[str, np.ndarray]) -> DataFrame:
@@ -65,15 +73,15 @@ class WidePca:
 
 def pca(matrix: DataFrame, components: int = 2, scaling: str = "pareto", level: float = 0.95) -> WidePca:
     """Scores (PC1, ...), loadings by feature, explained shares, and Hotelling's T2 with whether it is inside the limit. The largest loading of a component is positive."""
-    x = scaled(matrix, scaling)
-    ids, k = gram(x)
+    ids = sample_ids(matrix)
+    k = gram_of(matrix, ids, POWERS[scaling])[0]
     n = len(ids)
     val, vec = np.linalg.eigh(k)
     order = np.argsort(-val)[: min(components, n - 1)]
     val, every = np.maximum(val[order], 1e-300), max(np.trace(k), 1e-300)
     t = vec[:, order] * np.sqrt(val)
     names = [f"PC{i + 1}" for i in range(len(order))]
-    loadings = project(x, ids, {c: t[:, i] / val[i] for i, c in enumerate(names)})
+    loadings = project(matrix, ids, {c: t[:, i] / val[i] for i, c in enumerate(names)}, scaling)
     top = loadings.agg(*[F.max_by(F.col(c), F.struct(F.round(F.abs(c), 12), -F.col("j"))).alias(c) for c in names]).first()
     sign = np.array([1.0 if top[c] >= 0 else -1.0 for c in names])
     t = t * sign
@@ -97,8 +105,8 @@ class WidePls:
 
 def pls(matrix: DataFrame, y: Column, components: int = 2, scaling: str = "uv") -> WidePls:
     """One-response PLS: scores t1, ..., features (j, w1, ..., p1, ..., vip, coef of the scaled features), shares of x and y explained, fitted response."""
-    x = scaled(matrix, scaling)
-    ids, k = gram(x)
+    ids = sample_ids(matrix)
+    k = gram_of(matrix, ids, POWERS[scaling])[0]
     v = response(matrix, ids, y)
     mean = float(matrix.agg(F.avg(y.cast("double"))).first()[0])
     t, w, p, q, tt = [], [], [], [], []
@@ -122,7 +130,7 @@ def pls(matrix: DataFrame, y: Column, components: int = 2, scaling: str = "uv")
     weight, load = np.array(w).T, np.array(p).T
     inner = np.linalg.solve(load.T @ k @ weight, q)  # (P'W)^-1 q
     parts = {f"w{i + 1}": w[i] for i in range(len(t))} | {f"p{i + 1}": p[i] for i in range(len(t))} | {"coef": weight @ inner}
-    features = project(x, ids, parts)
+    features = project(matrix, ids, parts, scaling).drop("norm")
     share = tt * q**2
     explained = sum((F.col(f"w{i + 1}") * F.col(f"w{i + 1}") * float(s) for i, s in enumerate(share)), F.lit(0.0))
     size = features.agg(F.count("*")).first()[0]
@@ -132,42 +140,23 @@ def pls(matrix: DataFrame, y: Column, components: int = 2, scaling: str = "uv")
     return WidePls(_score_table(matrix, ids, {f"t{i + 1}": s for i, s in enumerate(t)}), features, r2x, float(share.sum() / max(v @ v, 1e-300)), fitted)
 
 
-def opls_samples(k: np.ndarray, train: np.ndarray, y: np.ndarray, components: int) -> dict:
-    """OPLS on cross products of all samples with the training samples (rows: all, columns: training).
+def embedded(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(samples x rank coordinates with the cross products ``k``, the matrix that turns a vector of these coordinates into a vector over the samples)."""
+    val, vec = np.linalg.eigh(k)
+    keep = val > 1e-12 * max(val.max(initial=0.0), 1e-300)
+    root = np.sqrt(val[keep])
+    return vec[:, keep] * root, vec[:, keep] / root
 
-    Returns the predictive scores of all samples after each removed component
-    (``t``), orthogonal scores (``to``), y weights (``c``), and vectors over the
-    training samples whose products with their features are the predictive
-    weight (``w``) and the orthogonal loadings (``po``).
-    """
-    k = k.copy()
-    v = y / max(np.sqrt(max(y @ k[train] @ y, 0.0)), 1e-300)
-    t, out = k @ v, {"t": [], "to": [], "c": [], "w": v, "po": []}
-    for _ in range(components):
-        a = t[train]
-        tt = a @ a
-        if tt <= 1e-300:
-            break
-        g = a / tt - (v @ k[train] @ a / tt) * v
-        norm = np.sqrt(max(g @ k[train] @ g, 0.0))
-        if norm <= 1e-10 * max(np.sqrt(max(a @ k[train] @ a, 0.0)) / tt, 1e-300):
-            break
-        o = k @ g / norm
-        oa = o[train]
-        oo = oa @ oa
-        if oo <= 1e-300:
-            break
-        kp = k @ oa / oo
-        k = k - np.outer(o, kp[train]) - np.outer(kp, oa) + (oa @ kp[train] / oo) * np.outer(o, oa)
-        t = k @ v
-        out["t"].append(t)
-        out["to"].append(o)
-        out["po"].append(oa / oo)
-        out["c"].append(t[train] @ y / max(t[train] @ t[train], 1e-300))
-    if not out["c"]:
-        out["t"].append(t)
-        out["c"].append(t[train] @ y / max(t[train] @ t[train], 1e-300))
-    return out
+
+def _opls(k: np.ndarray, y: np.ndarray, components: int) -> tuple[dict, list[np.ndarray], dict[str, np.ndarray]]:
+    """(model, orthogonal scores, vectors over the samples of the predictive weight and the orthogonal loadings)."""
+    x, back = embedded(k)
+    m = opls_arrays(x, y, components)
+    scores, work = [], x.copy()
+    for o, load in zip(m["wo"], m["po"], strict=True):
+        scores.append(work @ o)
+        work = work - np.outer(scores[-1], load)
+    return m, scores, {"w": back @ m["w"]} | {f"po{i + 1}": back @ load for i, load in enumerate(m["po"])}
 
 
 @dataclass
@@ -180,36 +169,34 @@ class WideOpls:
 
 def opls(matrix: DataFrame, y: Column, components: int = 1, scaling: str = "pareto") -> WideOpls:
     """Orthogonal PLS of one response: scores (t_pred, t_ortho1, ...), features (j, w, p, po1, ..., cov, corr), shares of x and y explained by the predictive and orthogonal parts."""
-    x = scaled(matrix, scaling)
-    ids, k = gram(x)
+    ids = sample_ids(matrix)
+    k = gram_of(matrix, ids, POWERS[scaling])[0]
     v = response(matrix, ids, y)
-    every = np.arange(len(ids))
-    m = opls_samples(k, every, v, components)
-    t, to = m["t"][-1], m["to"]
+    m, to, vectors = _opls(k, v, components)
+    t = m["t"]
     tt = max(t @ t, 1e-300)
-    parts = {"w": m["w"], "p": t / tt} | {f"po{i + 1}": s for i, s in enumerate(m["po"])}
-    norm = x.groupBy("j").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
-    features = project(x, ids, parts).join(norm, "j")
+    parts = {"p": t / tt} | vectors
+    features = project(matrix, ids, parts, scaling)
     # The predictive loading is taken from the corrected features: t is at right angles to the orthogonal scores.
-    features = features.withColumn("cov", F.col("p")).withColumn("corr", F.when(F.col("_norm") > 0, F.col("p") * float(np.sqrt(tt)) / F.col("_norm"))).drop("_norm")
+    features = features.withColumn("cov", F.col("p")).withColumn("corr", F.when(F.col("norm") > 0, F.col("p") * float(np.sqrt(tt)) / F.col("norm"))).drop("norm")
     scores = {"t_pred": t} | {f"t_ortho{i + 1}": s for i, s in enumerate(to)}
-    back = sum((s @ s) * (g @ k @ g) for s, g in zip([t, *to], [t / tt, *m["po"]], strict=True))
+    back = sum((s @ s) * (g @ k @ g) for s, g in zip([t, *to], [t / tt, *(vectors[f"po{i + 1}"] for i in range(len(to)))], strict=True))
     yrec = t * m["c"][-1]
     return WideOpls(_score_table(matrix, ids, scores), features, float(back / max(np.trace(k), 1e-300)), float(1 - ((v - yrec) ** 2).sum() / max(v @ v, 1e-300)))
 
 
 def corrected(matrix: DataFrame, y: Column, components: int = 1, scaling: str = "pareto") -> DataFrame:
     """sample_id, j, value: scaled features less their parts along the orthogonal components."""
-    x = scaled(matrix, scaling)
-    ids, k = gram(x)
-    m = opls_samples(k, np.arange(len(ids)), response(matrix, ids, y), components)
-    names = [f"_o{i}" for i in range(len(m["po"]))]
+    ids = sample_ids(matrix)
+    k = gram_of(matrix, ids, POWERS[scaling])[0]
+    _, to, vectors = _opls(k, response(matrix, ids, y), components)
+    names = [f"_o{i}" for i in range(len(to))]
     if not names:
-        return x
-    loads = project(x, ids, dict(zip(names, m["po"], strict=True)))
-    scores = _score_table(matrix, ids, {f"{n}s": t for n, t in zip(names, m["to"], strict=True)}).drop("grp")
+        return scaled(matrix, scaling)
+    loads = project(matrix, ids, {n: vectors[f"po{i + 1}"] for i, n in enumerate(names)}, scaling).drop("norm")
+    scores = _score_table(matrix, ids, {f"{n}s": t for n, t in zip(names, to, strict=True)}).drop("grp")
     part = sum((F.col(n) * F.col(f"{n}s") for n in names), F.lit(0.0))
-    return x.join(loads, "j").join(F.broadcast(scores), "sample_id").select("sample_id", "j", (F.col("value") - part).alias("value"))
+    return scaled(matrix, scaling).join(loads, "j").join(F.broadcast(scores), "sample_id").select("sample_id", "j", (F.col("value") - part).alias("value"))
 
 
 def opls_cv(matrix: DataFrame, kfold: int = 7, scaling: str = "pareto", most: int | None = None) -> pd.DataFrame:
@@ -219,14 +206,18 @@ def opls_cv(matrix: DataFrame, kfold: int = 7, scaling: str = "pareto", most: in
     """
     classes, ids, code = _two_classes(matrix)
     fold = _contiguous(code, kfold)
-    grams = gram_of_folds(to_long(matrix).select("sample_id", "j", "value"), ids, fold, kfold, POWERS[scaling])
+    grams = gram_of(matrix, ids, POWERS[scaling], fold, kfold)
     press, wrong = {}, {}
     for f in range(kfold):
         train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
         my = code[train].mean()
-        m = opls_samples(grams[f][:, train], train, code[train] - my, len(train) - 1 if most is None else min(most, len(train) - 1))
-        for c, (t, b) in enumerate(zip(m["t"], m["c"], strict=True), 1):
-            got, want = t[test] * b, code[test] - my
+        x = embedded(grams[f])[0]
+        m = opls_arrays(x[train], code[train] - my, min(len(train) - 1, x.shape[1], *([] if most is None else [most])))
+        z, want = x[test], code[test] - my
+        for c, b in enumerate(m["c"], 1):
+            if c <= len(m["wo"]):
+                z = z - np.outer(z @ m["wo"][c - 1], m["po"][c - 1])
+            got = z @ m["w"] * b
             press.setdefault(c, []).append(((want - got) ** 2).sum())
             wrong.setdefault(c, []).append(int(((got > 0) != (want > 0)).sum()))
     ss = sum(((code[fold == f] - code.mean()) ** 2).sum() for f in range(kfold))
@@ -308,8 +299,8 @@ def lazy_opls_da(matrix: DataFrame, components: int | None = None, kfold: int =
 
 def pls_quality(matrix: DataFrame, y: Column, components: int = 2, scaling: str = "uv") -> pd.DataFrame:
     """One row: r2, rmse and leave-one-out q2 of a PLS regression. The features are scaled once over all samples, so every leave-one-out fit works on the same cross products, centred anew."""
-    x = scaled(matrix, scaling)
-    ids, k = gram(x)
+    ids = sample_ids(matrix)
+    k = gram_of(matrix, ids, POWERS[scaling])[0]
     known = {r[0]: float(r[1]) for r in matrix.select("sample_id", y.cast("double")).collect()}
     v = np.array([known[i] for i in ids])
     n = len(ids)

@@ -10,7 +10,7 @@ from ..operators import hypotheses as t
 from ..plans.matrix import tidy_to_long
 from . import query
 from .columns import r6, table
-from .sqlmath import bh, chi2_p, f_p, normal_p, stars, t_p
+from .sqlmath import bh, chi2_p, f_p, normal_p, range_p, stars, t_p
 
 NORMAL_Z, F_TAIL = normal_p("z"), f_p("f", "df1", "df2")
 NUMBERS = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
@@ -87,9 +87,21 @@ def tukey_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("group1", "group2", (F.round("meandiff", 4) + F.lit(0.0)).alias("meandiff"), *r6("q"))
 
 
-@query()
+TUKEY_Q = f"""(WITH g AS (SELECT grp, count(*) AS n, avg(value) AS m FROM {ORDER_SQL} o GROUP BY grp), a AS {ANOVA_SQL}
+SELECT x.grp AS group1, y.grp AS group2, abs(y.m - x.m) / sqrt(ssw / (a.n - k) / 2 * (1.0 / x.n + 1.0 / y.n)) AS q, CAST(k AS DOUBLE) AS k, CAST(a.n - k AS DOUBLE) AS df FROM g x JOIN g y ON x.grp < y.grp, a)"""
+
+
+@query(f"SELECT group1, group2, round(p_value, 5) + 0.0 AS p_adj, p_value < 0.05 AS reject FROM {range_p(TUKEY_Q, 'group1, group2')} p")
+def tukey_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = t.tukey(order_prices(spark, sf_dir))
+    return got.select("group1", "group2", (F.round("p_adj", 5) + F.lit(0.0)).alias("p_adj"), "reject")
+
+
+@query(f"SELECT group1, group2, round(p_adj, 5) + 0.0 AS p_adj, reject FROM (SELECT group1, group2, p_value < 0.05 AS reject, p_adj FROM {bh(range_p(TUKEY_Q, 'group1, group2'), 'group1, group2')} b)")
 def tukey_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.tukey(order_prices(spark, sf_dir), correct_again=True)
+    """Adjusted once more."""
+    got = t.tukey(order_prices(spark, sf_dir), correct_again=True)
+    return got.select("group1", "group2", (F.round("p_adj", 5) + F.lit(0.0)).alias("p_adj"), "reject")
 
 
 RANKS = """(SELECT grp, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY value) AS c FROM

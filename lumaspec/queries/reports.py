@@ -10,7 +10,7 @@ from ..operators import reports as r
 from . import query
 from .columns import LONG, long, matrix, r6, table
 from .hypotheses import NUMBERS, WELCH_P, lines
-from .sqlmath import bh
+from .sqlmath import bh, normal_quantile
 from .validation import CALLS, calls
 
 #: Importance and coefficient that stand in for a model's: spread of a feature, and its covariance with the label.
@@ -170,3 +170,26 @@ def max_abs_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = long(spark, sf_dir)
     means = x.groupBy("j").agg(F.avg("value").alias("m"))
     return r.max_abs_error(x, x.join(means, "j").withColumn("value", F.col("m")), ["sample_id", "j"]).select(*r6("max_abs_error"))
+
+
+@query(f"""SELECT c_mktsegment AS key, rank, round(value, 2) AS value, round({normal_quantile('p')}, 6) + 0.0 AS quantile FROM
+(SELECT c_mktsegment, c_acctbal AS value, row_number() OVER w AS rank, (row_number() OVER w - 0.5) / count(*) OVER (PARTITION BY c_mktsegment) AS p FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal))""")
+def qq_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import plotdata
+
+    got = plotdata.qq_points(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_acctbal").cast("double").alias("value")), "key", "value")
+    return got.select("key", F.col("rank").cast("long").alias("rank"), F.round("value", 2).alias("value"), *r6("quantile"))
+
+
+SCORES = "(SELECT l_returnflag AS label, l_quantity / 50 AS \"A\", l_discount * 10 AS \"N\", l_tax * 12 AS \"R\" FROM lineitem)"
+
+
+@query(f"""WITH s AS (SELECT class, label = class AS y, score FROM (UNPIVOT {SCORES} ON "A", "N", "R" INTO NAME class VALUE score)),
+u AS (SELECT * FROM s UNION ALL SELECT 'micro', y, score FROM s),
+r AS (SELECT class, y, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2.0 AS r FROM u)
+SELECT class, round((sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 6) AS auc FROM r GROUP BY class""")
+def roc_one_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.validation import one_vs_rest_auc
+
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), (F.col("l_quantity") / 50).alias("A"), (F.col("l_discount") * 10).alias("N"), (F.col("l_tax") * 12).alias("R"))
+    return one_vs_rest_auc(rows, "label", ["A", "N", "R"]).select("class", *r6("auc"))
