@@ -15,18 +15,19 @@ original vectors in double precision.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components,
 or whose length is not the usual one, take no part; fewer candidates than k
-give fewer rows; ties go to the smaller id; repeated ids count once for each
-different vector; an empty table gives an empty table; other columns are not
-read.
+give fewer rows; ties go to the smaller id; rows of a repeated id are nodes each
+by its own vector, a query of such an id asks with each of them, and an id is
+found once, at its best score; an empty table gives an empty table; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,19 +52,28 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), -1)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of whole groups of a partition that is sorted by ``key``."""
-    held: pa.Table | None = None
+def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[pa.Table]:
+    """Tables of whole groups of a partition that is sorted by ``key``; with ``most``, groups of more rows come in parts of at least that many."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        number = np.asarray(held.column(key))
-        other = np.flatnonzero(number != number[-1]) if len(number) else number
-        if len(other):
-            yield held.slice(0, int(other[-1]) + 1)
-            held = held.slice(int(other[-1]) + 1)
-    if held is not None and held.num_rows:
-        yield held
+        if not batch.num_rows:
+            continue
+        number = np.asarray(batch.column(key))
+        other = np.flatnonzero(number != number[-1])
+        if len(other):  # what stands before the last group of this batch is whole
+            end = int(other[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, end)])
+            held = [batch.slice(end)]
+        elif held and np.asarray(held[-1].column(key))[-1] != number[0]:
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+        if most and sum(map(len, held)) >= most:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _scored(ids: np.ndarray, vectors: np.ndarray, fresh: np.ndarray, worst: np.ndarray, out: list) -> None:
@@ -88,40 +98,35 @@ def _emit(out: list) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float32))], names=["id", "nid", "score"])
 
 
-def _projected(nodes: DataFrame, seed: int, dims: int) -> DataFrame:
-    """(id, nid, score): pairs within runs of ``RUN`` nodes adjacent in the order of their sides of ``SPLITS`` random planes, the first plane first."""
-    planes = np.random.default_rng(seed).normal(size=(dims, SPLITS))
+def _projected(nodes: DataFrame, dims: int) -> DataFrame:
+    """(id, nid, score): pairs within runs of ``RUN`` nodes adjacent in the order of their sides of ``SPLITS`` random planes, the first plane first; ``PROJECTIONS`` such orders, dealt out by one range partitioning."""
+    rng = np.random.default_rng(1)
+    planes = [rng.normal(size=(dims, SPLITS)) for _ in range(PROJECTIONS)]
+    weight = 1 << np.arange(SPLITS - 1, -1, -1, dtype=np.int64)
 
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                sides = _matrix(b.column("vec"), np.float16).astype(np.float64) @ planes > 0
-                place = sides @ (1 << np.arange(SPLITS - 1, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(place)], names=["id", "vec", "place"])
+                vectors = _matrix(b.column("vec"), np.float16).astype(np.float64)
+                for turn, p in enumerate(planes):
+                    place = (vectors @ p > 0) @ weight
+                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(np.full(len(place), turn, dtype=np.int32)), pa.array(place)], names=["id", "vec", "turn", "place"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in chain(batches, [None]):
-            if b is not None:
-                t = pa.Table.from_batches([b])
-                held = t if held is None else pa.concat_tables([held, t])
-            if held is None:
-                continue
-            whole = held.num_rows if b is None else held.num_rows // RUN * RUN
-            part, held = held.slice(0, whole), held.slice(whole)
-            if whole:
-                ids = np.asarray(part.column("id"))
-                vectors = _matrix(part.column("vec").combine_chunks(), np.float16).astype(np.float32)
-                out: list = []
-                for a in range(0, whole, RUN):
-                    a = max(0, min(a, whole - RUN))  # the last run reaches back to be full
-                    x = slice(a, min(a + RUN, whole))
+        for t in _groups(batches, "turn", RUN * 200):
+            turn, ids = np.asarray(t.column("turn")), np.asarray(t.column("id"))
+            vectors = _matrix(t.column("vec").combine_chunks(), np.float16).astype(np.float32)
+            out: list = []
+            edges = np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1], [True]])).tolist()
+            for first, end in zip(edges[:-1], edges[1:], strict=True):
+                for at in range(first, end, RUN):
+                    x = slice(max(first, min(at, end - RUN)), min(at + RUN, end))  # the last run reaches back to be full
                     n = len(ids[x])
                     _scored(ids[x], vectors[x], np.ones(n, dtype=bool), np.full(n, -2.0, dtype=np.float32), out)
-                yield from _emit(out)
+            yield from _emit(out)
 
-    ordered = nodes.select("id", "vec").mapInArrow(along, "id long, vec binary, place long").repartitionByRange("place").sortWithinPartitions("place", "id")
-    return ordered.select("id", "vec").mapInArrow(runs, "id long, nid long, score float")
+    ordered = nodes.select("id", "vec").mapInArrow(along, "id long, vec binary, turn int, place long").repartitionByRange("turn", "place").sortWithinPartitions("turn", "place", "id")
+    return ordered.select("id", "vec", "turn").mapInArrow(runs, "id long, nid long, score float")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +171,7 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 def neighbour_graph(nodes: DataFrame, dims: int, k: int = K) -> DataFrame:
     """(id, nid, score, fresh, worst) over ``nodes`` (id, vec: half-precision unit vector)."""
     n = nodes.count()
-    first = _projected(nodes, 1, dims)
-    for seed in range(2, PROJECTIONS + 1):
-        first = first.unionByName(_projected(nodes, seed, dims))
-    graph = cut(_best(first.withColumn("fresh", F.lit(1)), k))
+    graph = cut(_best(_projected(nodes, dims).withColumn("fresh", F.lit(1)), k))
     for turn in range(ROUNDS):
         edges = graph.select("id", "nid", "score", "fresh")
         back = edges.select(F.col("nid").alias("node"), "id", "fresh", F.xxhash64("nid", "id", F.lit(turn)).alias("_h"))
@@ -191,36 +193,73 @@ def _cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _score_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            x, y = (_matrix(b.column(c), np.float16).astype(np.float32) for c in ("qvec", "vec"))
-            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("id"), pa.array(np.einsum("ij,ij->i", x, y))], names=["query", "id", "score"])
+_STATE = "query long, id long, score float, done boolean, open boolean"
+_STATE_NAMES = ["query", "id", "score", "done", "open"]
+
+
+def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query, id) that a query has not met yet, once; rows with ``seen`` are those it has met."""
+    for t in _groups(batches, "query"):
+        query, ids, seen = (np.asarray(t.column(c)) for c in ("query", "id", "seen"))
+        order = np.lexsort((~seen, ids, query))
+        query, ids, seen = query[order], ids[order], seen[order]
+        first = np.ones(len(ids), dtype=bool)
+        first[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+        new = first & ~seen
+        yield pa.RecordBatch.from_arrays([pa.array(query[new]), pa.array(ids[new])], names=["query", "id"])
+
+
+def _advanced(beam: int, expand: int):
+    """Scores what a query has met anew and opens the best ``expand`` unexpanded nodes of its beam."""
+
+    def one(t: pa.Table) -> pa.RecordBatch:
+        old, vec = t.column("score"), t.column("vec")
+        new = pc.is_valid(vec).to_numpy() & ~np.asarray(t.column("asks"))
+        asks = np.flatnonzero(np.asarray(t.column("asks")))
+        ids = np.asarray(t.column("id"))
+        score = np.nan_to_num(old.to_numpy().astype(np.float32))
+        if new.any() and len(asks):
+            q = np.frombuffer(vec[int(asks[0])].as_py(), dtype=np.float16).astype(np.float32)
+            score[new] = _matrix(vec.filter(pa.array(new)).combine_chunks(), np.float16).astype(np.float32) @ q
+        keep = np.ones(len(ids), dtype=bool)
+        keep[asks] = False
+        ids, score, done = ids[keep], score[keep], np.asarray(t.column("done"))[keep].copy()
+        order = np.lexsort((ids, -score))
+        ids, score, done = ids[order], score[order], done[order]
+        opened = np.zeros(len(ids), dtype=bool)
+        opened[np.flatnonzero(~done[:beam])[:expand]] = True
+        query = np.full(len(ids), t.column("query")[0].as_py())
+        return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids), pa.array(score), pa.array(done | opened), pa.array(opened)], names=_STATE_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "query"):
+            query = np.asarray(t.column("query"))
+            edges = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1], [True]])).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield one(t.slice(a, b - a))
+
+    return run
 
 
 def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, beam: int = BEAM, entries: int = 32) -> DataFrame:
-    """(query, id, score): the beam of each query (query, qvec, start: a node's id or null)."""
+    """(query, id, score): the beam of each query (query, qvec, start: a node's id or null). A query's visited nodes are at most ``beam`` expansions' neighbours and the doors."""
     doors = nodes.select("id", F.xxhash64("id").alias("_h")).orderBy("_h", "id").limit(entries).agg(F.collect_list("id").alias("doors"))
     met = queries.join(F.broadcast(doors)).select("query", F.explode(F.array_union("doors", F.when(F.col("start").isNotNull(), F.array("start")).otherwise(F.array().cast("array<long>")))).alias("id"))
+    asks = queries.select("query", F.lit(-1).cast("long").alias("id"), F.lit(None).cast("float").alias("score"), F.lit(True).alias("done"), F.col("qvec").alias("vec"), F.lit(True).alias("asks"))
     state = None
     while True:
-        pairs = met.join(nodes.select("id", "vec"), "id").join(queries.select("query", "qvec"), "query")
-        scored = pairs.select("query", "qvec", "id", "vec").mapInArrow(_score_batch, "query long, id long, score float").withColumn("done", F.lit(False))
-        both = scored if state is None else state.unionByName(scored)
-        rank = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
-        ranked = both.withColumn("_r", F.row_number().over(rank))
-        # Nodes outside the beam stay as visited, so that they are not scored again.
-        turn = Window.partitionBy("query").orderBy("done", "_r")
-        opened = ranked.withColumn("_t", F.row_number().over(turn))
-        opened = opened.withColumn("open", ~F.col("done") & (F.col("_r") <= beam) & (F.col("_t") <= EXPAND))
-        state = cut(opened.select("query", "id", "score", (F.col("done") | F.col("open")).alias("done"), "open", "_r"))
+        new = met.join(nodes.select("id", "vec"), "id").select("query", "id", F.lit(None).cast("float").alias("score"), F.lit(False).alias("done"), "vec", F.lit(False).alias("asks"))
+        rows = asks.unionByName(new)
+        if state is not None:
+            rows = rows.unionByName(state.select("query", "id", "score", "done", F.lit(None).cast("binary").alias("vec"), F.lit(False).alias("asks")))
+        state = cut(rows.repartition("query").sortWithinPartitions("query").mapInArrow(_advanced(beam, EXPAND), _STATE))
         front = state.where("open")
         if front.isEmpty():
             break
-        state_rows = state.select("query", "id", "score", "done")
-        met = cut(front.select("query", "id").join(links, "id").select("query", F.col("nid").alias("id")).distinct().join(state_rows.select("query", "id"), ["query", "id"], "left_anti"))
-        state = state_rows
-        del pairs, scored, both, ranked, opened, front
+        ahead = front.select("query", "id").join(links, "id").select("query", F.col("nid").alias("id"), F.lit(False).alias("seen"))
+        both = ahead.unionByName(state.select("query", "id", F.lit(True).alias("seen")))
+        met = both.repartition("query").sortWithinPartitions("query").mapInArrow(_unseen, "query long, id long")
+        del new, rows, front, ahead, both
         tidy()
     rank = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     return state.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= beam).select("query", "id", "score")
@@ -237,9 +276,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         return vectors.sparkSession.createDataFrame([], schema)
     dims = common["d"]
     clean = cut(clean.where(F.size("v") == dims).withColumn("h", F.xxhash64("v")))
+    vectors_of = clean.select("id", "h").distinct().groupBy("id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 1
+    need = (k + 1) * vectors_of  # members that k others than the query's own id can take
     salted = Window.partitionBy("h", "v", "s").orderBy("id")
-    few = clean.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(256))).withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k + 1)
-    classes = cut(few.groupBy("h", "v").agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids")).withColumn("id", F.col("ids")[0]))
+    few = clean.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(256))).withColumn("_r", F.dense_rank().over(salted)).where(F.col("_r") <= need)
+    # A node's number is read from the checkpoint alone: ids may repeat with other vectors.
+    classes = cut(few.groupBy("h", "v").agg(F.slice(F.sort_array(F.collect_set("id")), 1, need).alias("ids")).withColumn("id", F.monotonically_increasing_id()))
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,24 +290,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                 scale = np.abs(v).max(axis=1, keepdims=True)
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in _unit(v / scale).astype(np.float16)], pa.binary())], names=["id", "vec"])
 
-    nodes = cut(classes.select("id", "v").mapInArrow(halves, "id long, vec binary"))
+    nodes = cut(classes.select("id", "v").mapInArrow(halves, "id long, vec binary").repartition("id"))  # joins on id find it dealt out already
     graph = neighbour_graph(nodes, dims)
     edges = graph.select("id", "nid")
     back = edges.select(F.col("nid").alias("id"), F.col("id").alias("nid")).withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "nid")))).where(F.col("_r") <= K)
-    links = cut(edges.unionByName(back.select("id", "nid")).distinct())
+    links = cut(edges.unionByName(back.select("id", "nid")).distinct().repartition("id"))
     asked = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).alias("v")).where(usable(F.col("v")) & F.col("q").isNotNull())
     asked = asked.where(~zero(F.col("v")) & (F.size("v") == dims)).withColumn("h", F.xxhash64("v"))
     # Equal query vectors are searched once; a vector of the index starts at its own node.
     distinct = asked.select("h", "v").distinct().join(classes.select("h", "v", F.col("id").alias("start")), ["h", "v"], "left")
-    distinct = cut(distinct.withColumn("query", F.coalesce("start", F.xxhash64("v"))))
+    distinct = cut(distinct.withColumn("query", F.coalesce("start", -1 - F.pmod(F.xxhash64("v"), F.lit(1 << 62)))))
     qvecs = distinct.select(F.col("query").alias("id"), "v").mapInArrow(halves, "id long, vec binary").select(F.col("id").alias("query"), F.col("vec").alias("qvec"))
     beams = search(nodes, links, cut(qvecs.join(distinct.select("query", "start"), "query")))
     close = beams.join(classes.select("id", F.col("v").alias("w"), "ids"), "id").join(distinct.select("query", "v"), "query")
     close = close.select("query", "ids", _cosine(F.col("v"), F.col("w")).alias("score"))
     mine = asked.join(distinct.select("h", "v", "query"), ["h", "v"]).select("q", "query")
-    # A query needs the members of its best k + 1 nodes at most.
-    cutoff = close.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("ids")[0]))).where(F.col("_r") <= k + 1)
-    rows = mine.join(cutoff, "query").select("q", F.explode("ids").alias("id"), "score").where("q <> id").distinct()
+    # A query needs the members of its best ``need`` nodes at most.
+    cutoff = close.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("ids")[0]))).where(F.col("_r") <= need)
+    rows = mine.join(cutoff, "query").select("q", F.explode("ids").alias("id"), "score").where("q <> id").groupBy("q", "id").agg(F.max("score").alias("score"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id")))
     return ranked.where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
