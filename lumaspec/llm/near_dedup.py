@@ -303,7 +303,10 @@ def _blocks(left: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept and text_hash (xxhash64 of the text's bytes) for each row of ``docs``; links are pairs of Jaccard similarity ``percent`` / 100 or more."""
+    """id, n_shingles, component_id, kept, text_hash (xxhash64 of the text's bytes) and component for each row of ``docs``; links are pairs of Jaccard similarity ``percent`` / 100 or more.
+
+    ``component`` is a number of the component that tells rows of one id apart (null for rows that are linked with nothing by definition).
+    """
     most = xor_limit(percent / 100)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     prints = cut(fingerprints(rows))
@@ -362,17 +365,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         joined = components(links)
         labels = cut(info.select("cls").join(joined, F.col("cls") == F.col("id"), "left").select("cls", F.coalesce("comp", "cls").alias("comp")))
     least = cut(labels.join(info.select("cls", "id"), "cls").groupBy("comp").agg(F.min("id").alias("least")))
-    ends = labels.join(least, "comp").select("cls", "least")
-    heads = classes.select("h1", "h2", "id", "cls").join(ends, "cls", "left").select("h1", "h2", F.coalesce("least", "id").alias("component_id"))
+    ends = labels.join(least, "comp").select("cls", "least", "comp")
+    heads = classes.select("h1", "h2", "id", "cls").join(ends, "cls", "left").select("h1", "h2", F.coalesce("least", "id").alias("component_id"), F.coalesce("comp", "cls").alias("component"))
     every = prints.select("id", "n", "h1", "h2", "th")
-    whole = every.where("n > 0 AND id IS NOT NULL").join(heads, ["h1", "h2"]).select("id", "n", "component_id", "th")
-    alone = every.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"), "th")
+    whole = every.where("n > 0 AND id IS NOT NULL").join(heads, ["h1", "h2"]).select("id", "n", "component_id", "th", "component")
+    alone = every.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"), "th", F.lit(None).cast("long").alias("component"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
-    return whole.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept, F.col("th").alias("text_hash"))
+    return whole.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept, F.col("th").alias("text_hash"), "component")
 
 
 def op10_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
 OP10_SQL = r"""
