@@ -113,13 +113,14 @@ class SpanHasher:
 
     A span's hash depends on its values alone, not on its place: prefix sums
     of value * BASE**position, brought back to position 0 by the inverse of
-    BASE modulo 2**64. All hashers of a process share tables of powers for up to
-    ``KEPT`` positions; longer arrays get tables for the call alone.
+    BASE modulo 2**64. All hashers of a process share tables of powers, which
+    grow with the arrays up to ``KEPT`` positions; longer ones get tables for the
+    call alone.
     """
 
     BASE = 0x9E3779B97F4A7C15 | 1
     INVERSE = pow(BASE, -1, 1 << 64)
-    KEPT = 1 << 20
+    KEPT = 1 << 22
     _tables: tuple[np.ndarray, np.ndarray] | None = None
 
     def __call__(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -128,8 +129,9 @@ class SpanHasher:
         if n >= self.KEPT:
             up, down = powers(n + 1, self.BASE), powers(n + 1, self.INVERSE)
         else:
-            if SpanHasher._tables is None:
-                SpanHasher._tables = powers(self.KEPT, self.BASE), powers(self.KEPT, self.INVERSE)
+            if SpanHasher._tables is None or len(SpanHasher._tables[0]) <= n:
+                size = max(1 << 16, 1 << n.bit_length())
+                SpanHasher._tables = powers(size, self.BASE), powers(size, self.INVERSE)
             up, down = SpanHasher._tables
         sums = np.zeros(n + 1, dtype=U64)
         with np.errstate(over="ignore"):
