@@ -6,6 +6,8 @@ statistics of samples are array expressions within a row and need no shuffle.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,22 +121,54 @@ def snv_pqn(long: DataFrame, centre: bool = False) -> DataFrame:
     return centre_features(rows) if centre else rows
 
 
+#: Numbers of one block of samples in the search for neighbours.
+NEIGHBOUR_NUMBERS = 500_000
+
+
 def knn_impute(long: DataFrame, k: int = 2) -> DataFrame:
     """Missing values (NULL) replaced by the mean of the k nearest samples that have the feature.
 
-    Distance over features present in both, scaled up to all features. Pairs are
-    made for samples that miss something only: their number times all samples.
+    Distance over features present in both, scaled up to all features; ties go
+    to the smaller sample. Samples that miss something are compared with all
+    samples, block by block, and each block offers its k nearest for each hole.
     A value without a donor takes the feature's mean.
     """
     present = long.where(F.col("value").isNotNull())
     holes = long.where(F.col("value").isNull()).select("sample_id", "grp", "j")
-    needy = holes.select("sample_id").distinct()
-    p = long.agg(F.countDistinct("j").alias("p"))
-    a = present.join(needy, "sample_id", "left_semi").select("sample_id", "j", F.col("value").alias("x"))
-    b = present.select(F.col("sample_id").alias("donor"), "j", F.col("value").alias("y"))
-    d = a.join(b, "j").where("sample_id <> donor").groupBy("sample_id", "donor").agg(F.sum((F.col("x") - F.col("y")) ** 2).alias("s"), F.count("*").alias("n"))
-    d = d.join(F.broadcast(p), how="cross").select("sample_id", "donor", F.sqrt(F.col("p") / F.col("n") * F.col("s")).alias("d"))
-    offers = holes.join(d, "sample_id").join(b.withColumnRenamed("y", "value"), ["donor", "j"])
+    size = long.agg(F.countDistinct("j").alias("p"), F.countDistinct("sample_id").alias("n")).first()
+    p, blocks = size["p"] or 1, max(1, -(-(size["n"] or 1) * (size["p"] or 1) // NEIGHBOUR_NUMBERS))
+    rows = long.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("j", "value"))).alias("r"))
+    rows = rows.select("sample_id", F.transform("r", lambda x: x["j"]).alias("js"), F.transform("r", lambda x: x["value"]).alias("values"), F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asks = rows.where(F.exists("values", lambda v: v.isNull())).select("sample_id", "js", "values", F.col("own").alias("part"), every.alias("block"))
+    gives = rows.select("sample_id", "js", "values", F.col("own").alias("block"), every.alias("part"))
+
+    def numbers(t: pd.DataFrame, features: np.ndarray) -> np.ndarray:
+        out = np.full((len(t), len(features)), np.nan)
+        for i, (js, v) in enumerate(zip(t["js"], t["values"], strict=True)):
+            out[i, np.searchsorted(features, js)] = np.array(v, dtype=float)
+        return out
+
+    def offer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(left) and len(right):
+            right = right.sort_values("sample_id")
+            features = np.unique(np.concatenate([*left["js"], *right["js"]]))
+            x, y, donor = numbers(left, features), numbers(right, features), right["sample_id"].to_numpy()
+            for i, sample in enumerate(left["sample_id"]):
+                shared = ~np.isnan(x[i]) & ~np.isnan(y)
+                n = shared.sum(axis=1)
+                d = np.where(n > 0, np.sqrt(p / np.maximum(n, 1) * np.where(shared, (x[i] - y) ** 2, 0).sum(axis=1)), np.inf)
+                d[donor == sample] = np.inf
+                order = np.argsort(d, kind="stable")
+                order = order[np.isfinite(d[order])]
+                for h in np.flatnonzero(np.isnan(x[i])):
+                    best = order[~np.isnan(y[order, h])][:k]
+                    out += [(sample, int(features[h]), float(d[b]), donor[b], float(y[b, h])) for b in best]
+        return pd.DataFrame(out, columns=["sample_id", "j", "d", "donor", "value"])
+
+    kind = long.schema["sample_id"].dataType.simpleString()
+    offers = asks.groupBy("part", "block").cogroup(gives.groupBy("part", "block")).applyInPandas(offer, f"sample_id {kind}, j long, d double, donor {kind}, value double")
     near = offers.withColumn("_r", F.row_number().over(Window.partitionBy("sample_id", "j").orderBy("d", "donor"))).where(F.col("_r") <= k)
     filled = near.groupBy("sample_id", "j").agg(F.avg("value").alias("fill"))
     mean = present.groupBy("j").agg(F.avg("value").alias("mean"))

@@ -44,37 +44,54 @@ def savgol_array(y: np.ndarray, window: int = 11, order: int = 2) -> np.ndarray:
     return np.concatenate([h[:half] @ y[:window], np.convolve(y, h[half][::-1], "valid"), h[half + 1 :] @ y[-window:]])
 
 
+def _maxima(y: np.ndarray) -> np.ndarray:
+    """Places of local maxima; a flat top counts at its middle."""
+    if len(y) < 3:
+        return np.zeros(0, dtype=int)
+    start = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))  # of runs of equal values
+    end = np.append(start[1:], len(y)) - 1
+    v = y[start]
+    top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
+    return (start[top] + end[top]) // 2
+
+
+def _drops(heights: np.ndarray, valleys: np.ndarray) -> np.ndarray:
+    """For each point the least valley on the way to the next higher point before it (or to the end); ``valleys[i]`` lies between points i and i + 1."""
+    out, stack = np.empty(len(heights)), []
+    for i, h in enumerate(heights.tolist()):
+        low = valleys[i - 1] if i else h
+        while stack and stack[-1][0] <= h:
+            low = min(low, stack.pop()[1])
+        out[i] = low
+        stack.append((h, low))
+    return out
+
+
 def find_peaks(y: np.ndarray, prominence: float = 0.0, width: float = 0.0) -> list[tuple[int, float, float]]:
-    """(place, prominence, width at half prominence) of local maxima; a flat top counts at its middle."""
+    """(place, prominence, width at half prominence) of local maxima; a flat top counts at its middle. Prominences come from one pass over the maxima with a stack of higher ones."""
+    y = np.asarray(y, dtype=float)
+    n, places = len(y), _maxima(y)
+    if not len(places):
+        return []
+    points = np.concatenate([[0], places, [n - 1]])
+    valleys = np.minimum.reduceat(y, points[:-1])
+    valleys = np.minimum(valleys, y[points[1:]])
+    left = _drops(y[points], valleys)[1:-1]
+    right = _drops(y[points][::-1], valleys[::-1])[::-1][1:-1]
+    prom = y[places] - np.maximum(left, right)
     out = []
-    n, i = len(y), 1
-    while i < n - 1:
-        if y[i] > y[i - 1]:
-            k = i
-            while k < n - 1 and y[k + 1] == y[i]:
-                k += 1
-            if k < n - 1 and y[k + 1] < y[i]:
-                p = (i + k) // 2
-                left = np.flatnonzero(y[:p] > y[p])
-                right = np.flatnonzero(y[p + 1 :] > y[p])
-                a = left[-1] + 1 if len(left) else 0
-                b = p + 1 + right[0] if len(right) else n
-                base = max(y[a : p + 1].min(), y[p:b].min())
-                prom = y[p] - base
-                if prom >= prominence:
-                    level = y[p] - prom / 2
-                    lo = p
-                    while lo > a and y[lo] > level:
-                        lo -= 1
-                    hi = p
-                    while hi < b - 1 and y[hi] > level:
-                        hi += 1
-                    x0 = lo + (level - y[lo]) / (y[lo + 1] - y[lo]) if y[lo] < level and y[lo + 1] != y[lo] else float(lo)
-                    x1 = hi - (level - y[hi]) / (y[hi - 1] - y[hi]) if y[hi] < level and y[hi - 1] != y[hi] else float(hi)
-                    if x1 - x0 >= width:
-                        out.append((p, float(prom), float(x1 - x0)))
-            i = k
-        i += 1
+    for p, h in zip(places[prom >= prominence].tolist(), prom[prom >= prominence].tolist(), strict=True):
+        level = y[p] - h / 2
+        lo = p
+        while lo > 0 and y[lo] > level:
+            lo -= 1
+        hi = p
+        while hi < n - 1 and y[hi] > level:
+            hi += 1
+        x0 = lo + (level - y[lo]) / (y[lo + 1] - y[lo]) if y[lo] < level and y[lo + 1] != y[lo] else float(lo)
+        x1 = hi - (level - y[hi]) / (y[hi - 1] - y[hi]) if y[hi] < level and y[hi - 1] != y[hi] else float(hi)
+        if x1 - x0 >= width:
+            out.append((p, float(h), float(x1 - x0)))
     return out
 
 

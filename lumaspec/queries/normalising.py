@@ -144,21 +144,15 @@ def heatmap_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(n.row_scale(long(spark, sf_dir)))
 
 
-HOLES = f"(SELECT sample_id, grp, j, CASE WHEN (sample_id * 7 + j * 13) % 97 <> 0 THEN value END AS value FROM {LONG} e WHERE j < 8)"
+HOLES = f"(SELECT sample_id, grp, j, CASE WHEN (sample_id * 7 + j * 13) % 97 <> 0 THEN value END AS value FROM {LONG} e)"
 
 
-@query(f"""WITH l AS {HOLES}, d AS (SELECT a.sample_id, b.sample_id AS donor, sqrt(8.0 / count(*) * sum((a.value - b.value) ** 2)) AS d FROM l a JOIN l b ON a.j = b.j AND a.sample_id <> b.sample_id AND a.value IS NOT NULL AND b.value IS NOT NULL
+@query(f"""WITH l AS {HOLES}, d AS (SELECT a.sample_id, b.sample_id AS donor, sqrt(64.0 / count(*) * sum((a.value - b.value) ** 2)) AS d FROM l a JOIN l b ON a.j = b.j AND a.sample_id <> b.sample_id AND a.value IS NOT NULL AND b.value IS NOT NULL
 WHERE a.sample_id IN (SELECT sample_id FROM l WHERE value IS NULL) GROUP BY ALL),
 o AS (SELECT h.sample_id, h.j, b.value, row_number() OVER (PARTITION BY h.sample_id, h.j ORDER BY d.d, d.donor) AS r FROM l h JOIN d USING (sample_id) JOIN l b ON b.sample_id = d.donor AND b.j = h.j AND b.value IS NOT NULL WHERE h.value IS NULL),
 f AS (SELECT sample_id, j, avg(value) AS fill FROM o WHERE r <= 2 GROUP BY ALL)
 SELECT l.sample_id, l.j, round(coalesce(l.value, f.fill), 6) + 0.0 AS value FROM l LEFT JOIN f ON f.sample_id = l.sample_id AND f.j = l.j""")
 def knn_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = long(spark, sf_dir).where("j < 8").withColumn("value", F.when((F.col("sample_id") * 7 + F.col("j") * 13) % 97 != 0, F.col("value")))
-    return out(n.knn_impute(x))
-
-
-@query()
-def knn_impute_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features, filled and counted in the distances; ``knn_impute`` is held to the first eight by its SQL."""
     x = long(spark, sf_dir).withColumn("value", F.when((F.col("sample_id") * 7 + F.col("j") * 13) % 97 != 0, F.col("value")))
     return out(n.knn_impute(x))
+

@@ -138,3 +138,20 @@ def test_streamed_moments(spark, tmp_path):
 
     got = {r["j"]: r for r in current_moments(spark, state).collect()}
     assert got[0]["n"] == 3 and got[0]["mean"] == pytest.approx(3) and got[1]["m2"] == pytest.approx(np.var([2, 6, 1]) * 3)
+
+
+def test_prominences_against_a_plain_scan():
+    rng = np.random.default_rng(7)
+    for y in [rng.integers(0, 6, 60).astype(float) for _ in range(60)] + [rng.normal(size=200), np.arange(9.0), np.zeros(5), np.array([1.0])]:
+        want = []
+        for i in range(1, len(y) - 1):
+            k = i
+            while k < len(y) - 1 and y[k + 1] == y[i]:
+                k += 1
+            if y[i - 1] < y[i] and k < len(y) - 1 and y[k + 1] < y[i]:
+                p = (i + k) // 2
+                a = max([q + 1 for q in range(p) if y[q] > y[p]], default=0)
+                b = min([q for q in range(p, len(y)) if y[q] > y[p]], default=len(y))
+                want.append((p, y[p] - max(y[a : p + 1].min(), y[p:b].min())))
+        got = [(p, h) for p, h, _ in signal.find_peaks(y)]
+        assert [p for p, _ in got] == [p for p, _ in want] and np.allclose([h for _, h in got], [h for _, h in want])

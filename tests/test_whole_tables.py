@@ -21,7 +21,7 @@ def test_imputation_covers_all_features(spark, tmp_path):
         d = np.sqrt(np.nanmean((y - y[i]) ** 2, axis=1) * 64)
         near = [k for k in np.lexsort((np.arange(40), d)) if k != i and not holes[k, j]][:2]
         want[i, j] = x[near, j].mean()
-    rows = QUERIES["knn_impute_whole"](spark, at).collect()
+    rows = QUERIES["knn_impute"](spark, at).collect()
     assert len(rows) == x.size
     got = np.full(x.shape, np.nan)
     for r in rows:
@@ -122,5 +122,5 @@ def test_autoencoder_trains_on_all_rows(spark):
 
 def test_rolled_arrays_are_whole(spark, tmp_path):
     at, x = embeddings(spark, tmp_path, np.random.default_rng(9).normal(size=(4, 64)), np.zeros(4))
-    got = {r["vec_id"]: r["rolled"] for r in QUERIES["array_roll_whole"](spark, at).collect()}
+    got = {r["vec_id"]: r["rolled"] for r in QUERIES["array_roll"](spark, at).collect()}
     assert np.array([got[i] for i in range(4)]) == pytest.approx(np.roll(x, 5, axis=1), abs=1e-6)
