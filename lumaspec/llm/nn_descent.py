@@ -38,8 +38,8 @@ K, REVERSE, RUN, PROJECTIONS = 32, 32, 64, 10
 SPLITS = 32
 ROUNDS, STOP = 10, 0.02
 #: Best of each group that one local join passes on to a vector.
-PASSED = 12
-BEAM, EXPAND = 192, 64
+PASSED = 8
+BEAM, EXPAND = 160, 64
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -193,76 +193,92 @@ def _cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-_STATE = "query long, id long, score float, done boolean, open boolean"
-_STATE_NAMES = ["query", "id", "score", "done", "open"]
+#: A query's state is one row: ids, scores and marks of the nodes it has met, packed, and the nodes it opens next.
+_STATE = "query long, ids binary, scores binary, done binary, open array<long>"
 
 
-def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(query, id) that a query has not met yet, once; rows with ``seen`` are those it has met."""
+def _by_query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each query."""
     for t in _groups(batches, "query"):
-        query, ids, seen = (np.asarray(t.column(c)) for c in ("query", "id", "seen"))
-        order = np.lexsort((~seen, ids, query))
-        query, ids, seen = query[order], ids[order], seen[order]
-        first = np.ones(len(ids), dtype=bool)
-        first[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
-        new = first & ~seen
-        yield pa.RecordBatch.from_arrays([pa.array(query[new]), pa.array(ids[new])], names=["query", "id"])
+        query = np.asarray(t.column("query"))
+        edges = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1], [True]])).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield t.slice(a, b - a)
+
+
+def _packed(t: pa.Table, column: str, dtype) -> np.ndarray:
+    """What one row of a query's rows holds in a packed column; nothing if none does."""
+    found = [v for v in t.column(column).to_pylist() if v is not None]
+    return np.frombuffer(found[0], dtype=dtype) if found else np.zeros(0, dtype=dtype)
+
+
+def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query, id) that a query has not met yet, once."""
+    for t in _by_query(batches):
+        ids = np.unique(np.asarray(t.column("id").drop_null()))
+        new = np.setdiff1d(ids, _packed(t, "ids", np.int64), assume_unique=True)
+        if len(new):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), t.column("query")[0].as_py()), pa.int64()), pa.array(new)], names=["query", "id"])
 
 
 def _advanced(beam: int, expand: int):
     """Scores what a query has met anew and opens the best ``expand`` unexpanded nodes of its beam."""
 
-    def one(t: pa.Table) -> pa.RecordBatch:
-        old, vec = t.column("score"), t.column("vec")
-        new = pc.is_valid(vec).to_numpy() & ~np.asarray(t.column("asks"))
-        asks = np.flatnonzero(np.asarray(t.column("asks")))
-        ids = np.asarray(t.column("id"))
-        score = np.nan_to_num(old.to_numpy().astype(np.float32))
-        if new.any() and len(asks):
-            q = np.frombuffer(vec[int(asks[0])].as_py(), dtype=np.float16).astype(np.float32)
-            score[new] = _matrix(vec.filter(pa.array(new)).combine_chunks(), np.float16).astype(np.float32) @ q
-        keep = np.ones(len(ids), dtype=bool)
-        keep[asks] = False
-        ids, score, done = ids[keep], score[keep], np.asarray(t.column("done"))[keep].copy()
-        order = np.lexsort((ids, -score))
-        ids, score, done = ids[order], score[order], done[order]
-        opened = np.zeros(len(ids), dtype=bool)
-        opened[np.flatnonzero(~done[:beam])[:expand]] = True
-        query = np.full(len(ids), t.column("query")[0].as_py())
-        return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids), pa.array(score), pa.array(done | opened), pa.array(opened)], names=_STATE_NAMES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_query(batches):
+            ids, score, done = _packed(t, "ids", np.int64), _packed(t, "scores", np.float32), _packed(t, "done", bool)
+            fresh = t.filter(pc.is_valid(t.column("vec")))
+            if fresh.num_rows:
+                q = _packed(t, "qvec", np.float16).astype(np.float32)
+                ids = np.concatenate([ids, np.asarray(fresh.column("id"))])
+                score = np.concatenate([score, _matrix(fresh.column("vec").combine_chunks(), np.float16).astype(np.float32) @ q])
+                done = np.concatenate([done, np.zeros(fresh.num_rows, dtype=bool)])
+            order = np.lexsort((ids, -score))
+            ids, score, done = ids[order], score[order], done[order]
+            opened = np.flatnonzero(~done[:beam])[:expand]
+            done[opened] = True
+            columns = [pa.array([t.column("query")[0].as_py()], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, score, done)), pa.array([ids[opened].tolist()], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query", "ids", "scores", "done", "open"])
 
+    return run
+
+
+def _beams(beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "query"):
-            query = np.asarray(t.column("query"))
-            edges = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1], [True]])).tolist()
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                yield one(t.slice(a, b - a))
+        for b in batches:
+            for q, ids, scores in zip(b.column("query").to_pylist(), b.column("ids").to_pylist(), b.column("scores").to_pylist(), strict=True):
+                x = np.frombuffer(ids, dtype=np.int64)[:beam]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), q), pa.int64()), pa.array(x), pa.array(np.frombuffer(scores, dtype=np.float32)[:beam])], names=["query", "id", "score"])
 
     return run
 
 
 def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, beam: int = BEAM, entries: int = 32) -> DataFrame:
-    """(query, id, score): the beam of each query (query, qvec, start: a node's id or null). A query's visited nodes are at most ``beam`` expansions' neighbours and the doors."""
+    """(query, id, score): the beam of each query (query, qvec, start: a node's id or null).
+
+    The search ends when each query's whole beam is expanded. What a query has
+    met, at most the neighbours of the nodes it has expanded and the doors,
+    travels as one packed row.
+    """
     doors = nodes.select("id", F.xxhash64("id").alias("_h")).orderBy("_h", "id").limit(entries).agg(F.collect_list("id").alias("doors"))
     met = queries.join(F.broadcast(doors)).select("query", F.explode(F.array_union("doors", F.when(F.col("start").isNotNull(), F.array("start")).otherwise(F.array().cast("array<long>")))).alias("id"))
-    asks = queries.select("query", F.lit(-1).cast("long").alias("id"), F.lit(None).cast("float").alias("score"), F.lit(True).alias("done"), F.col("qvec").alias("vec"), F.lit(True).alias("asks"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    asks = queries.select("query", none("long", "id"), none("binary", "vec"), "qvec", *[none("binary", c) for c in ("ids", "scores", "done")])
     state = None
     while True:
-        new = met.join(nodes.select("id", "vec"), "id").select("query", "id", F.lit(None).cast("float").alias("score"), F.lit(False).alias("done"), "vec", F.lit(False).alias("asks"))
+        new = met.join(nodes.select("id", "vec"), "id").select("query", "id", "vec", none("binary", "qvec"), *[none("binary", c) for c in ("ids", "scores", "done")])
         rows = asks.unionByName(new)
         if state is not None:
-            rows = rows.unionByName(state.select("query", "id", "score", "done", F.lit(None).cast("binary").alias("vec"), F.lit(False).alias("asks")))
+            rows = rows.unionByName(state.select("query", none("long", "id"), none("binary", "vec"), none("binary", "qvec"), "ids", "scores", "done"))
         state = cut(rows.repartition("query").sortWithinPartitions("query").mapInArrow(_advanced(beam, EXPAND), _STATE))
-        front = state.where("open")
+        front = state.select("query", F.explode("open").alias("id"))
         if front.isEmpty():
-            break
-        ahead = front.select("query", "id").join(links, "id").select("query", F.col("nid").alias("id"), F.lit(False).alias("seen"))
-        both = ahead.unionByName(state.select("query", "id", F.lit(True).alias("seen")))
+            return state.select("query", "ids", "scores").mapInArrow(_beams(beam), "query long, id long, score float")
+        ahead = front.join(links, "id").select("query", F.col("nid").alias("id"), none("binary", "ids"))
+        both = ahead.unionByName(state.where(F.size("open") > 0).select("query", none("long", "id"), "ids"))
         met = both.repartition("query").sortWithinPartitions("query").mapInArrow(_unseen, "query long, id long")
         del new, rows, front, ahead, both
         tidy()
-    rank = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
-    return state.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= beam).select("query", "id", "score")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
