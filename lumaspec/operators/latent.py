@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import f_quantile, t_quantile
-from .linalg import class_moments, fixed_signs, gram, moments
+from .linalg import class_moments, fixed_signs, gram, moments, packed_sums
 
 SCALES = ("uv", "pareto", "mean", "minmax")
 
@@ -68,6 +68,25 @@ class Pca:
         return self.scores(matrix).select("sample_id", t2.alias("t2")).withColumn("inside", F.col("t2") <= limit)
 
 
+def reconstruction_r2(model: Pca, matrix: DataFrame, subset: Column | None = None) -> float:
+    """Mean over features of the share of the scaled features' variance that the components give back, on the rows of ``subset``."""
+    rows = matrix if subset is None else matrix.where(subset)
+    mean, div, load = model.mean, model.divisor, model.loadings
+
+    def part(batches):
+        sums = np.zeros((4, len(mean)))
+        for b in batches:
+            if len(b):
+                z = (np.vstack(b["values"].to_numpy()) - mean) / div
+                e = z - z @ load @ load.T
+                sums += np.stack([np.full(len(mean), float(len(z))), z.sum(0), (z * z).sum(0), (e * e).sum(0)])
+        yield pd.DataFrame({"i": [0], "data": [sums.tobytes()]})
+
+    n, s, ss, e = packed_sums(rows.select("values").mapInPandas(part, "i long, data binary"))[0].reshape(4, -1)
+    total = ss - s * s / np.maximum(n, 1)
+    return float(np.mean(np.where(total > 0, 1 - e / np.where(total > 0, total, 1), 0.0)))
+
+
 def pca(matrix: DataFrame, components: int = 2, scaling: str = "pareto") -> Pca:
     """Principal components of scaled features, from the covariance of features. NULL or NaN values are an error."""
     if not matrix.where(F.exists("values", lambda v: v.isNull() | F.isnan(v))).isEmpty():
@@ -163,6 +182,15 @@ class PlsModel:
         r = self.parts["rotations"]
         return _project(matrix, self.mean, r / self.divisor[:, None], [f"t{i + 1}" for i in range(r.shape[1])])
 
+    def coefficients(self, spark) -> DataFrame:
+        """j, coef: change of the response by one unit of the feature as given; ``offset`` is the response at zero."""
+        b = self.parts["coef"][:, -1] / self.divisor * self.y_divisor
+        return spark.createDataFrame([(j, float(v)) for j, v in enumerate(b)], "j long, coef double")
+
+    @property
+    def offset(self) -> float:
+        return float(self.y_mean - self.mean @ (self.parts["coef"][:, -1] / self.divisor * self.y_divisor))
+
     def predict(self, matrix: DataFrame) -> DataFrame:
         b = self.parts["coef"][:, -1:] / self.divisor[:, None] * self.y_divisor
         return _project(matrix, self.mean, b, ["raw"]).withColumn("predicted", F.col("raw") + F.lit(self.y_mean)).drop("raw")
@@ -298,15 +326,16 @@ def permutation_test(matrix: DataFrame, permutations: int = 100, components: int
 
 def lda(matrix: DataFrame, components: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """(scores, explained ratios): directions that part the groups most, from group means and scatter within, ridged where it is singular."""
-    stats = class_moments(matrix, [r[0] for r in matrix.select("grp").distinct().collect()])
-    n = sum(s[0] for s in stats.values())
-    mean = sum(s[0] * s[1] for s in stats.values()) / n
-    within = sum(s[2] for s in stats.values()) / max(n - len(stats), 1)
-    between = sum(s[0] * np.outer(s[1] - mean, s[1] - mean) for s in stats.values()) / max(len(stats) - 1, 1)
+    classes = [r[0] for r in matrix.select("grp").distinct().collect()]
+    sizes, means, within = class_moments(matrix, classes)
+    n = sizes.sum()
+    mean = sizes @ means / n
+    within = within / max(n - len(classes), 1)
+    between = (means - mean).T @ ((means - mean) * sizes[:, None]) / max(len(classes) - 1, 1)
     val, vec = np.linalg.eigh(within)
     white = vec / np.sqrt(np.maximum(val, 1e-10 * max(val.max(), 1e-300)))
     b, v = np.linalg.eigh(white.T @ between @ white)
-    order = np.argsort(-b)[: components or len(stats) - 1]
+    order = np.argsort(-b)[: components or len(classes) - 1]
     w = white @ v[:, order]
     w = w * fixed_signs(w)
     return _project(matrix, mean, w, [f"LD{i + 1}" for i in range(len(order))]), b[order] / max(b[b > 0].sum(), 1e-300)
@@ -458,8 +487,7 @@ def hca_samples(matrix: DataFrame, clusters: int = 3, most: int = 100_000) -> tu
     return ids, rows, flat
 
 
-def jackknife(loadings: pd.DataFrame, kfold: int, alpha: float = 0.05) -> pd.DataFrame:
-    """j, mean, half: mean and confidence half-width of each feature's loading over folds (columns j, fold, value), ordered by mean."""
-    g = loadings.groupby("j")["value"]
-    out = pd.DataFrame({"mean": g.mean(), "half": g.std(ddof=0) * t_quantile(1 - alpha / 2, kfold - 1)}).reset_index()
-    return out.sort_values(["mean", "j"]).reset_index(drop=True)
+def jackknife(loadings: DataFrame, kfold: int, alpha: float = 0.05) -> DataFrame:
+    """j, mean, half: mean and confidence half-width of each feature's loading over folds (j, fold, value), ordered by mean."""
+    t = float(t_quantile(1 - alpha / 2, kfold - 1))
+    return loadings.groupBy("j").agg(F.avg("value").alias("mean"), (F.stddev_pop("value") * t).alias("half")).orderBy("mean", "j")

@@ -146,8 +146,8 @@ def gram_of(matrix: DataFrame, ids: list, power: float, folds: np.ndarray | None
     return [np.concatenate([sums[f * per + i].reshape(-1, n) for i in range(per)]) if sums else np.zeros((n, n)) for f in range(kfold)]
 
 
-def class_moments(matrix: DataFrame, classes: list) -> dict:
-    """For each class (n, mean, sum of outer products of centred rows), from one pass for the means and one for the products."""
+def class_moments(matrix: DataFrame, classes: list, rows_of: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size of each class, its mean, sum over all rows of outer products about their class's mean), from one pass for the means and one for the products."""
     p = matrix.agg(F.max(F.size("values"))).first()[0] or 0
     if p > LIMIT:
         raise ValueError(f"{p} features: use the sample-by-sample form (operators.wide)")
@@ -163,19 +163,20 @@ def class_moments(matrix: DataFrame, classes: list) -> dict:
 
     rows = matrix.select("grp", "values")
     sums = packed_sums(rows.mapInPandas(total, "i long, data binary"))
-    means = {i: s[:p] / max(s[p], 1) for i, s in sums.items()}
+    sizes = np.array([sums[i][p] for i in range(len(classes))])
+    means = np.array([sums[i][:p] for i in range(len(classes))]) / np.maximum(sizes, 1)[:, None]
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = np.zeros((len(classes), p, p))
+        c = np.zeros((p, p))
         for b in batches:
             for g, part in b.groupby("grp", dropna=False):
-                i = number[g if g == g else None]
-                x = np.vstack(part["values"].to_numpy()) - means[i]
-                c[i] += x.T @ x
-        yield pd.DataFrame({"i": range(len(classes)), "data": [x.tobytes() for x in c]})
+                x = np.vstack(part["values"].to_numpy()) - means[number[g if g == g else None]]
+                c += x.T @ x
+        for a in range(0, p, rows_of):
+            yield pd.DataFrame({"i": [a // rows_of], "data": [c[a : a + rows_of].tobytes()]})
 
-    squares = packed_sums(rows.mapInPandas(products, "i long, data binary"))
-    return {c: (int(sums[i][p]), means[i], squares[i].reshape(p, p)) for c, i in number.items()}
+    within = packed_sums(rows.mapInPandas(products, "i long, data binary"))
+    return sizes, means, np.concatenate([within[i].reshape(-1, p) for i in range(len(within))])
 
 
 def fixed_signs(loadings: np.ndarray) -> np.ndarray:

@@ -225,6 +225,18 @@ def opls_cv(matrix: DataFrame, kfold: int = 7, scaling: str = "pareto", most: in
     return pd.DataFrame(rows, columns=["components", "q2", "misclassified"])
 
 
+def cv_loadings(matrix: DataFrame, components: int = 1, kfold: int = 7, scaling: str = "pareto") -> DataFrame:
+    """j, fold, value: predictive loadings of the models of each fold's training samples, for ``latent.jackknife``. Signs follow the class that stands second, so folds agree."""
+    classes, ids, code = _two_classes(matrix)
+    fold, kind = _contiguous(code, kfold), matrix.schema["sample_id"].dataType.simpleString()
+    of = matrix.sparkSession.createDataFrame([(i, int(f)) for i, f in zip(ids, fold, strict=True)], f"sample_id {kind}, _fold int")  # at most LIMIT rows
+    dealt, y, out = matrix.join(F.broadcast(of), "sample_id"), F.col("grp") == F.lit(classes[1]), None
+    for f in range(kfold):
+        one = opls(dealt.where(F.col("_fold") != f).drop("_fold"), y, components, scaling).features.select("j", F.lit(f).alias("fold"), F.col("p").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _two_classes(matrix: DataFrame) -> tuple[list, list, np.ndarray]:
     rows = sorted(((r["sample_id"], r["grp"]) for r in matrix.select("sample_id", "grp").collect()), key=lambda r: r[0])  # at most LIMIT rows
     if len(rows) > LIMIT:

@@ -151,3 +151,31 @@ def pca_two_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = model.scores(x)
     t2 = sum((F.col(n) * F.col(n) / float(v) for n, v in zip(model.names, model.variances, strict=True)), F.lit(0.0))
     return got.select("sample_id.l_orderkey", "sample_id.l_linenumber", (F.round("PC1", 4) + F.lit(0.0)).alias("pc1"), (F.round(t2, 4) + F.lit(0.0)).alias("t2"))
+
+
+@query(f"""WITH {PCA}, r AS (SELECT a, b, a * pa + b * pb AS t, pa, pb FROM z, f WHERE l_linenumber = 1)
+SELECT round(((1 - sum((a - t * pa) ** 2) / (sum(a * a) - sum(a) ** 2 / count(*))) + (1 - sum((b - t * pb) ** 2) / (sum(b * b) - sum(b) ** 2 / count(*)))) / 2, 6) AS q2_test FROM r""")
+def pca_q2_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of first lines the component of all lines gives back."""
+    x = two_numbers(spark, sf_dir)
+    value = m.reconstruction_r2(m.pca(x, 1), x, F.col("sample_id.l_linenumber") == 1)
+    return spark.createDataFrame([(value,)], "q2_test double").select(*r6("q2_test"))
+
+
+@query(f"""WITH {PLS}, w AS (SELECT w1.j, w1.w AS w1, w2.w AS w2, p1.p AS p1 FROM w1 JOIN w2 USING (j) JOIN p1 USING (j)), k AS (SELECT sum(p1 * w2) AS pw FROM w)
+SELECT j, round(w1 * (s1.q - pw * s2.q) + w2 * s2.q, 6) + 0.0 AS coef FROM w, k, s1, s2""")
+def pls_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In units of the features as given."""
+    return m.pls(two(spark, sf_dir), y(), 2, "mean").coefficients(spark).select("j", *r6("coef"))
+
+
+T9 = 2.2621571627409915  #: 0.975 quantile of t on 9 degrees (published tables: 2.262)
+
+
+@query(f"SELECT j, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value) * {T9}, 6) AS half FROM (SELECT j, grp, avg(value) AS value FROM (SELECT label AS grp, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings) GROUP BY j, grp) GROUP BY j")
+def jackknife_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class means stand in for the loadings of ten folds."""
+    from .columns import long
+
+    folds = long(spark, sf_dir).groupBy("j", F.col("grp").alias("fold")).agg(F.avg("value").alias("value"))
+    return m.jackknife(folds, 10).select("j", *r6("mean", "half"))

@@ -42,10 +42,9 @@ def test_cross_products_in_blocks(spark, study, monkeypatch):
         sd = t.std(0)
         w = (x - t.mean(0)) / np.where(sd > 0, sd, 1) ** 0.5
         assert np.allclose(g, w @ w.T)
-    both = linalg.class_moments(df, [0, 1])
-    for c in (0, 1):
-        z = x[classes == c] - x[classes == c].mean(0)
-        assert both[c][0] == len(z) and np.allclose(both[c][2], z.T @ z)
+    sizes, means, within = linalg.class_moments(df, [0, 1], rows_of=7)
+    left = np.concatenate([x[classes == c] - x[classes == c].mean(0) for c in (0, 1)])
+    assert sizes.tolist() == [9, 8] and np.allclose(means[1], x[classes == 1].mean(0)) and np.allclose(within, left.T @ left)
     with pytest.raises(ValueError):
         linalg.sample_ids(df.unionByName(df))
 
@@ -160,3 +159,35 @@ def test_box_whiskers_and_pairs(spark):
     got = {r["grp"]: r for r in reports.box_whiskers(df, "grp", "v").collect()}
     assert (got["a"]["low"], got["a"]["high"], got["a"]["outliers"]) == (1.0, 4.0, 1) and got["b/c"]["n"] == 1
     assert [tuple(r) for r in reports.named_pairs(df, "grp", "o").collect()] == [("a", "b/c", "a_vs_b_c")]
+
+
+def test_loadings_of_folds(spark, study):
+    x, classes = study
+    got = wide.cv_loadings(matrix(spark, x, classes), 1, 3)
+    rows = {(r["fold"], r["j"]): r["value"] for r in got.collect()}
+    fold = np.concatenate([np.arange(9) // 3, np.arange(8) // 3])
+    for f in range(3):
+        z, y = scaled(x[fold != f], 0.5), classes[fold != f] - classes[fold != f].mean()
+        t = latent.opls_arrays(z, y, 1)["t"]
+        assert np.allclose([rows[f, j] for j in range(40)], z.T @ t / (t @ t))
+    table = latent.jackknife(got, 3).collect()
+    assert [r["mean"] for r in table] == sorted(r["mean"] for r in table) and len(table) == 40
+
+
+def test_offset_and_coefficients(spark, study):
+    x, classes = study
+    df = matrix(spark, x, classes)
+    model = latent.pls(df, F.col("grp"), 2, "pareto")
+    b = np.array([r["coef"] for r in model.coefficients(spark).orderBy("j").collect()])
+    assert all(np.isclose(x[r["sample_id"]] @ b + model.offset, r["predicted"]) for r in model.predict(df).collect())
+
+
+def test_discriminants_part_the_classes(spark, study):
+    x, classes = study
+    scores, shares = latent.lda(matrix(spark, x[:, :5], classes))
+    t = {r["sample_id"]: r["LD1"] for r in scores.collect()}
+    z = x[:, :5]
+    within = sum((z[classes == c] - z[classes == c].mean(0)).T @ (z[classes == c] - z[classes == c].mean(0)) for c in (0, 1)) / 15
+    w = np.linalg.solve(within, z[classes == 1].mean(0) - z[classes == 0].mean(0))
+    got = np.array([t[i] for i in range(17)])
+    assert np.isclose(abs(np.corrcoef(got, z @ w)[0, 1]), 1) and np.isclose(sum(shares), 1)
