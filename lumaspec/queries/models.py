@@ -111,12 +111,22 @@ def opls_da_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.opls_da(two(spark, sf_dir), 2, 3).summary
 
 
-@query()
+def _pairs_sql() -> str:
+    """One orthogonal component for each pair of three classes."""
+    parts = []
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        cte = OPLS.replace(TWO, TWO.replace("grp IN (0, 1)", f"grp IN ({a}, {b})").replace("CAST(grp AS DOUBLE)", f"CASE WHEN grp = {b} THEN 1.0 ELSE 0.0 END"))
+        parts.append(f"(WITH {cte} SELECT '{a}' AS group1, '{b}' AS group2, j, round(p, 6) + 0.0 AS cov, round(corr, 6) + 0.0 AS corr FROM p)")
+    return " UNION ALL ".join(parts)
+
+
+@query(_pairs_sql())
 def lazy_opls_da(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of each pair of three classes."""
+    """S-plot vectors of each pair of three classes."""
     from .columns import matrix
 
-    return wide.lazy_opls_da(matrix(spark, sf_dir).where(F.col("grp").isin(0, 1, 2)), 1, 3)[1]
+    features = wide.lazy_opls_da(matrix(spark, sf_dir).where(F.col("grp").isin(0, 1, 2)), 1, 3, "mean")[1]
+    return features.select("group1", "group2", "j", *r6("cov", "corr"))
 
 
 NUMBERS = ("l_quantity", "l_extendedprice")

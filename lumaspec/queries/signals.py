@@ -56,9 +56,16 @@ def xcorr_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shifts.select("sample_id", F.col("shift").cast("long").alias("shift"))
 
 
-@query()
+@query(f"""WITH l AS {LONG}, win AS (SELECT w, j, row_number() OVER (PARTITION BY w ORDER BY j) - 1 AS i, count(*) OVER (PARTITION BY w) AS n FROM {AXIS_SQL} a JOIN (VALUES (0, 1.0, 4.0), (1, 5.0, 9.0)) v(w, low, high) ON coord BETWEEN low AND high),
+c AS (SELECT w, i, n, ref - avg(ref) OVER (PARTITION BY w) AS t FROM win JOIN (SELECT j, median(value) AS ref FROM l GROUP BY j) USING (j)),
+q AS (SELECT sample_id, w, i, value, value - avg(value) OVER (PARTITION BY sample_id, w) AS v FROM l JOIN win USING (j)),
+x AS (SELECT sample_id, c.w, s, sum(t * v) AS score FROM c, range(-4, 5) r(s) JOIN q ON q.w = c.w AND q.i = c.i + s GROUP BY ALL),
+b AS (SELECT sample_id, w, arg_max(s, (round(score, 12), -s)) AS s FROM x GROUP BY ALL)
+SELECT l.sample_id, l.j, round(coalesce(q.value, l.value), 6) + 0.0 AS value FROM l LEFT JOIN win ON win.j = l.j LEFT JOIN b ON b.sample_id = l.sample_id AND b.w = win.w
+LEFT JOIN q ON q.sample_id = l.sample_id AND q.w = win.w AND q.i = (win.i + b.s + win.n) % win.n""")
 def aligned_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.align(matrix(spark, sf_dir), AXIS, [(1.0, 4.0), (5.0, 9.0)], 0.5)[0]
+    rows = g.align(matrix(spark, sf_dir), AXIS, [(1.0, 4.0), (5.0, 9.0)], 0.5)[0].select("sample_id", F.posexplode("values").alias("j", "value"))
+    return rows.select("sample_id", F.col("j").cast("long").alias("j"), *r6("value"))
 
 
 def _calibrated_sql(low: float, high: float, goal: float, at: str) -> str:
