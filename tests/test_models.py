@@ -64,3 +64,35 @@ def test_ranks_and_numbers_range_by_range(spark, monkeypatch):
     at = {(r["fold"], r["role"]): (r["a"], r["b"]) for r in series}
     assert all(at[f, "train"] == (0, at[f, "test"][0] - 1) and at[f, "test"][1] - at[f, "test"][0] == 19 for f in range(4)) and at[3, "test"][1] == 100
     assert colstats.average_ranks(ids.limit(0), [], "key").count() == 0
+
+
+def test_bootstrap_interval_surrounds_the_accuracy(spark):
+    rng = np.random.default_rng(5)
+    hit = rng.random(2000) < 0.8
+    df = spark.createDataFrame([(i, "a", "a" if h else "b") for i, h in enumerate(hit.tolist())], "key long, actual string, predicted string").repartition(3)
+    r = validation.bootstrap_interval(df, "key", "actual", "predicted", 100).first()
+    assert r["low"] < hit.mean() < r["high"] and abs(r["mean"] - hit.mean()) < 0.01
+    # Out-of-bag parts hold exp(-1) of the rows: the spread of their accuracies is that of so many draws without replacement.
+    want = np.sqrt(0.8 * 0.2 / 2000 * (np.e - 1))
+    assert 0.7 * want < (r["high"] - r["low"]) / (2 * 1.96) < 1.4 * want
+
+
+def test_autoencoder_learns_a_plane(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(256, 2)) @ rng.normal(size=(2, 8))
+    df = spark.createDataFrame([(i, 0, r.tolist()) for i, r in enumerate(x)], "sample_id long, grp int, values array<double>")
+    early, late = (ml.Autoencoder((16,), 2, epochs=e, rate=5e-3).fit(df).encode(df) for e in (1, 40))
+    error = lambda d: d.agg(F.avg("error")).first()[0]
+    assert error(late) < 0.3 * error(early) and len(late.first()["values"]) == 2
+
+
+def test_independent_components_are_found(spark):
+    from lumaspec.operators import latent
+
+    rng = np.random.default_rng(7)
+    s = np.stack([rng.uniform(-1, 1, 1500), np.sign(rng.normal(size=1500)) * rng.exponential(size=1500)], axis=1)
+    x = s @ np.array([[1.0, 0.4], [0.3, 1.0]])
+    df = spark.createDataFrame([(i, 0, r.tolist()) for i, r in enumerate(x)], "sample_id long, grp int, values array<double>")
+    got = np.array([[r["IC1"], r["IC2"]] for r in latent.ica(df, 2).orderBy("sample_id").collect()])
+    c = np.abs(np.corrcoef(np.hstack([got, s]).T)[:2, 2:])
+    assert sorted(c.max(axis=1))[0] > 0.97 and sorted(c.min(axis=1))[-1] < 0.2
