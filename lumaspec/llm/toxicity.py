@@ -42,7 +42,7 @@ LEAST_G = 12.0
 BITS = 18
 EPOCHS = 40
 #: Bytes of texts scored at a time (one text is never cut); a batch costs as many steps as its longest text has tokens.
-SCORED_BYTES = 3_000_000
+SCORED_BYTES = 1_000_000
 #: Kinds of features of a token: the word, its first 3, 4 and 5 letters, its last 3.
 KINDS = 5
 
