@@ -36,7 +36,7 @@ from .hamming import usable
 
 K, REVERSE, RUN, PROJECTIONS = 32, 32, 64, 10
 SPLITS = 32
-ROUNDS, STOP = 10, 0.02
+ROUNDS, STOP = 10, 0.06
 #: Best of each group that one local join passes on to a vector.
 PASSED = 8
 BEAM, EXPAND = 160, 64
