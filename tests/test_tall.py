@@ -159,3 +159,17 @@ def test_f10_scores_of_opls(spark, table):
     got = {r["sample_id"]: (r["t_pred"], r["t_ortho1"]) for r in QUERIES["opls_scores"](spark, table[0]).collect()}
     assert len(got) == 60
     assert all(got[i] == pytest.approx((m["t"][k], z[k] @ m["wo"][0]), abs=2e-6) for k, i in enumerate(ids))
+
+
+def pls_of(table):
+    """ids, centred features, centred response, scores (n x 2) and parts of a PLS model of two components."""
+    ids, z, y = two(table)
+    k = latent.pls_kernel(z.T @ z, z.T @ y, float(y @ y), 2)
+    return ids, z, y, z @ k["rotations"], k
+
+
+def test_f12_shares_of_pls(spark, table):
+    _, z, y, t, k = pls_of(table)
+    r = QUERIES["pls_explained"](spark, table[0]).first()
+    left = z - t @ k["loadings"].T
+    assert (r["r2x"], r["r2y"]) == pytest.approx((1 - (left**2).sum() / (z**2).sum(), 1 - ((y - t @ k["y_loadings"]) ** 2).sum() / (y @ y)), abs=2e-6)
