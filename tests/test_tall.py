@@ -173,3 +173,9 @@ def test_f12_shares_of_pls(spark, table):
     r = QUERIES["pls_explained"](spark, table[0]).first()
     left = z - t @ k["loadings"].T
     assert (r["r2x"], r["r2y"]) == pytest.approx((1 - (left**2).sum() / (z**2).sum(), 1 - ((y - t @ k["y_loadings"]) ** 2).sum() / (y @ y)), abs=2e-6)
+
+
+def test_f14_fitted_response(spark, table):
+    ids, _, _, t, k = pls_of(table)
+    got = {r["sample_id"]: r["predicted"] for r in QUERIES["pls_fitted"](spark, table[0]).collect()}
+    assert len(got) == 60 and all(got[i] == pytest.approx(0.5 + t[n] @ k["y_loadings"], abs=2e-6) for n, i in enumerate(ids))
