@@ -179,3 +179,11 @@ def test_f14_fitted_response(spark, table):
     ids, _, _, t, k = pls_of(table)
     got = {r["sample_id"]: r["predicted"] for r in QUERIES["pls_fitted"](spark, table[0]).collect()}
     assert len(got) == 60 and all(got[i] == pytest.approx(0.5 + t[n] @ k["y_loadings"], abs=2e-6) for n, i in enumerate(ids))
+
+
+def test_f15_loadings_of_pls(spark, table):
+    k = pls_of(table)[-1]
+    rows = QUERIES["pls_loadings"](spark, table[0]).orderBy("j").collect()
+    assert len(rows) == 6
+    for r in rows:
+        assert [r["w1"], r["w2"], r["p1"], r["p2"]] == pytest.approx([*k["weights"][r["j"]], *k["loadings"][r["j"]]], abs=2e-6)
