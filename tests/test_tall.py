@@ -187,3 +187,9 @@ def test_f15_loadings_of_pls(spark, table):
     assert len(rows) == 6
     for r in rows:
         assert [r["w1"], r["w2"], r["p1"], r["p2"]] == pytest.approx([*k["weights"][r["j"]], *k["loadings"][r["j"]]], abs=2e-6)
+
+
+def test_f16_scores_of_pls(spark, table):
+    ids, _, _, t, _ = pls_of(table)
+    got = {r["sample_id"]: [r["t1"], r["t2"]] for r in QUERIES["pls_scores"](spark, table[0]).collect()}
+    assert len(got) == 60 and all(got[i] == pytest.approx(list(t[n]), abs=2e-6) for n, i in enumerate(ids))
