@@ -193,3 +193,11 @@ def test_f16_scores_of_pls(spark, table):
     ids, _, _, t, _ = pls_of(table)
     got = {r["sample_id"]: [r["t1"], r["t2"]] for r in QUERIES["pls_scores"](spark, table[0]).collect()}
     assert len(got) == 60 and all(got[i] == pytest.approx(list(t[n]), abs=2e-6) for n, i in enumerate(ids))
+
+
+def test_f17_importances(spark, table):
+    k = pls_of(table)[-1]
+    share = k["tt"] * k["y_loadings"] ** 2
+    want = np.sqrt(6 * (k["weights"] ** 2 @ share) / share.sum())
+    rows = QUERIES["vip_two_components"](spark, table[0]).orderBy("j").collect()
+    assert [r["vip"] for r in rows] == pytest.approx(list(want), abs=2e-6)
