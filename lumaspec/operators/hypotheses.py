@@ -6,7 +6,7 @@ counted ranks) for each feature and group; what follows runs on that small table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -35,6 +35,13 @@ def welch(moments: DataFrame) -> DataFrame:
     return moments.withColumn("t", F.when(ok, (F.col("ma") - F.col("mb")) / F.sqrt(sa + sb))).withColumn("df", parts)
 
 
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m without m terms: beyond 100, the expansion log m + Euler's constant + 1/2m - 1/12m^2 + 1/120m^4, exact to the last digits."""
+    x = m.cast("double")
+    short = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(100)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    return F.when(m <= 100, short).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x))
+
+
 def adjust(df: DataFrame, method: str = "fdr_bh", p: str = "p_value", key: str = "feature", out: str = "p_adj") -> DataFrame:
     """Adjusted p-values; rows with NULL p stay NULL and do not count.
 
@@ -52,7 +59,7 @@ def adjust(df: DataFrame, method: str = "fdr_bh", p: str = "p_value", key: str =
     elif method == "holm":
         value = F.max(F.col(p) * (F.col("_m") - F.col("_r") + 1)).over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     else:
-        scale = F.lit(1.0) if method == "fdr_bh" else F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+        scale = F.lit(1.0) if method == "fdr_bh" else harmonic(F.col("_m"))
         rows = rows.withColumn("_s", scale)
         value = F.min(F.col(p) * F.col("_m") * F.col("_s") / F.col("_r")).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     done = rows.withColumn(out, F.least(F.lit(1.0), value)).select(*df.columns, out)
