@@ -56,6 +56,11 @@ def csv_text(x: Column) -> Column:
     return F.when(F.substring(x, 1, 1).isin("=", "+", "-", "@", "\t"), F.concat(F.lit("'"), x)).otherwise(x)
 
 
+def round_signed(x: Column, digits: int) -> Column:
+    """Rounded half away from zero; a small negative number becomes a negative zero, as in SQL engines that round in doubles."""
+    return F.when(x < 0, -F.round(-x, digits)).when(x == 0, x).otherwise(F.round(x, digits))
+
+
 def roll(values: Column, shift: Column) -> Column:
     """Array rotated to the right by ``shift`` (any sign)."""
     n = F.size(values)

@@ -113,7 +113,7 @@ def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, list_transform(list_concat(embedding[60:64], embedding[1:59]), lambda x: round(x::DOUBLE, 6)) AS rolled FROM embeddings")
 def array_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = s.roll(F.col("embedding"), F.lit(5))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(rolled, lambda x: F.round(x.cast("double"), 6)).alias("rolled"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(rolled, lambda x: s.round_signed(x.cast("double"), 6)).alias("rolled"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL ELSE round(log2(p_size), 6) END AS log2_size, round(-log10(p_size / 100.0), 6) + 0.0 AS nlp,

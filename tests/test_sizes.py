@@ -53,3 +53,13 @@ def test_f11_correlations_by_blocks(spark, samples):
         c = np.corrcoef(x)
     want = {tuple(sorted((f"s{ids[i]:02}", f"s{ids[k]:02}"))): c[i, k] for i in range(23) for k in range(i, 23) if 7 not in (i, k)}
     assert len(rows) == len(want) and {(r["a"], r["b"]): r["r"] for r in rows} == pytest.approx(want)
+
+
+def test_f18_small_negative_values_round_to_negative_zero(spark, tmp_path):
+    """As DuckDB rounds: the sign of a zero is kept in the rolled array."""
+    v = [-3e-7, 3e-7, 0.0, -0.0, -0.0390625, 0.0390625, -1.5, 2.25] * 8
+    spark.createDataFrame([(1, v)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["array_roll"](spark, str(tmp_path)).first()["rolled"]
+    sql = ORACLE_SQL["array_roll"].replace("FROM embeddings", f"FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = duckdb.sql(sql).fetchall()[0][1]
+    assert list(map(repr, got)) == list(map(repr, want)) and "-0.0" in map(repr, got)
