@@ -201,3 +201,16 @@ def test_f17_importances(spark, table):
     want = np.sqrt(6 * (k["weights"] ** 2 @ share) / share.sum())
     rows = QUERIES["vip_two_components"](spark, table[0]).orderBy("j").collect()
     assert [r["vip"] for r in rows] == pytest.approx(list(want), abs=2e-6)
+
+
+def test_f13_permutations(spark, table, monkeypatch):
+    """The feature form draws the permutations of the sample form and scores them alike."""
+    from lumaspec.queries.latent import two as rows
+
+    x = rows(spark, table[0])
+    mine, query = latent.permutation_test(x, 12).first(), QUERIES["permutation_p"](spark, table[0]).first()
+    for module in (linalg, wide, tall):
+        monkeypatch.setattr(module, "LIMIT", 10_000)
+    monkeypatch.setattr(tall, "suits", lambda m: False)
+    assert tuple(mine) == pytest.approx(tuple(latent.permutation_test(x, 12).first()), abs=1e-9)
+    assert query["score"] == pytest.approx(mine["score"], abs=1e-9)
