@@ -81,12 +81,12 @@ def running_before(df: DataFrame, keys: list[str], value: str, amounts: list[str
     return rows.select(*df.columns, *[(F.col(f"_{a}_in") + F.col(f"_{a}")).alias(f"{a}_before") for a in amounts])
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values of each key with their count and average rank.
+def average_ranks(df: DataFrame, keys: list[str], value: str, count: str | None = None) -> DataFrame:
+    """Distinct values of each key with their count and average rank; a row stands for ``count`` rows if a column is named.
 
     Values are counted first, so sorting sees distinct values only, and a key's values are sorted range by range.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("ties"))
+    counts = df.groupBy(*keys, value).agg((F.sum(count) if count else F.count("*")).alias("ties"))
     ranked = running_before(counts.where(F.col(value).isNotNull()), keys, value, ["ties"])
     return ranked.withColumn("rank", F.col("ties_before") + (F.col("ties") + 1) / 2).drop("ties_before")
 

@@ -5,6 +5,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,30 @@ def test_f18_small_negative_values_round_to_negative_zero(spark, tmp_path):
     sql = ORACLE_SQL["array_roll"].replace("FROM embeddings", f"FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     want = duckdb.sql(sql).fetchall()[0][1]
     assert list(map(repr, got)) == list(map(repr, want)) and "-0.0" in map(repr, got)
+
+
+def test_f19_ranks_of_values_that_change_in_their_last_digits(spark):
+    """Aggregates come out with other last digits when they are computed again; no row may fall out of the ranks by that."""
+
+    @F.pandas_udf("double")
+    def unsettled(x: pd.Series) -> pd.Series:
+        return x * (1 + np.random.default_rng().uniform(-1e-13, 1e-13, len(x)))
+
+    rng = np.random.default_rng(6)
+    x, y = rng.permutation(40) + 1.0, rng.permutation(40) + 1.0
+    again = unsettled.asNondeterministic()
+    df = spark.createDataFrame([(0, float(a), float(b)) for a, b in zip(x, y, strict=True)], "k int, x double, y double").select("k", again("x").alias("x"), again("y").alias("y"))
+    rows = reports.spearman(df, ["k"], "x", "y").collect()
+    assert [r["n"] for r in rows] == [40]
+    assert rows[0]["r"] == pytest.approx(np.corrcoef(x, y)[0, 1])
+
+
+def test_f19_ranks_of_counted_pairs(spark):
+    """Ties and repeated pairs count as rows do."""
+    rng = np.random.default_rng(7)
+    x, y, k = rng.integers(0, 6, 300), rng.integers(0, 4, 300), rng.integers(0, 2, 300)
+    df = spark.createDataFrame([(int(c), float(a), float(b)) for a, b, c in zip(x, y, k, strict=True)] + [(0, None, 1.0), (1, 1.0, None)], "k int, x double, y double")
+    got = {r["k"]: (r["n"], r["r"]) for r in reports.spearman(df, ["k"], "x", "y").collect()}
+    for c in (0, 1):
+        ranks = [(v[:, None] > v[None, :]).sum(1) + ((v[:, None] == v[None, :]).sum(1) + 1) / 2 for v in (x[k == c], y[k == c])]
+        assert got[c] == (int((k == c).sum()), pytest.approx(np.corrcoef(*ranks)[0, 1]))
