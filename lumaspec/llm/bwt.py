@@ -46,8 +46,8 @@ def suffixes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.argsort((rank << np.uint64(32)) | np.arange(n, dtype=np.uint64))
 
 
-def two_before(data: np.ndarray, order: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code of the two symbols before each suffix, 0 where its string has fewer; row of the suffix two symbols longer)."""
+def two_before(data: np.ndarray, order: np.ndarray, ends: np.ndarray, base: int, depth: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(code of the two symbols before each suffix, 0 where its string has fewer; row of the suffix two symbols longer, inverted (~) where fewer than ``depth`` symbols stand before)."""
     first = np.concatenate([[0], ends[:-1] + 1])
     code = np.zeros(len(data), dtype=np.uint16)
     code[2:] = data[:-2].astype(np.uint16) * np.uint16(base) + data[1:-1]
@@ -55,7 +55,9 @@ def two_before(data: np.ndarray, order: np.ndarray, ends: np.ndarray, base: int)
     code[first + 1] = 0
     row = np.empty(len(data), dtype=np.int32)
     row[order] = np.arange(len(data), dtype=np.int32)
-    return code[order], row[np.maximum(order - 2, 0)]
+    longer = row[np.maximum(order - 2, 0)]
+    short = np.arange(len(data)) - np.repeat(first, ends - first + 1) < depth
+    return code[order], np.where(short[order], ~longer, longer)
 
 
 def merge(transforms: list[np.ndarray], longer: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,15 +66,16 @@ def merge(transforms: list[np.ndarray], longer: list[np.ndarray], depth: int) ->
     The interleave starts as the shards one after the other, one block. Each
     refinement takes the next symbols of all rows in order and deals their
     longer suffixes out by them. A block of one row is resolved: what it
-    leads to is alone as well, so it leaves the interleave.
+    leads to is alone as well, so it leaves the interleave. Rows that ``longer``
+    inverts would come to the start of their string on the way: none starts there.
     """
     if depth % 2:
         raise ValueError("depth must be even")
     symbols = np.concatenate(transforms)
     base = np.cumsum([0, *map(len, longer[:-1])])
-    step = np.concatenate([x + np.int32(b) for x, b in zip(longer, base, strict=True)])
-    rows = np.arange(len(symbols), dtype=np.int32)
-    block = np.zeros(len(symbols), dtype=np.int32)
+    step = np.concatenate([np.where(x < 0, ~x, x) + np.int32(b) for x, b in zip(longer, base, strict=True)])
+    rows = np.flatnonzero(np.concatenate(longer) >= 0).astype(np.int32)
+    block = np.zeros(len(rows), dtype=np.int32)
     for _ in range(depth // 2):
         symbol = symbols[rows]
         moved = np.flatnonzero(symbol)
@@ -122,7 +125,7 @@ def least_owners(strings: list[bytes], owners: np.ndarray, depth: int, shards: l
         at_byte += len(data) - len(ends)
         order = suffixes(data, ends)
         orders.append(order + total)
-        code_before, row = two_before(data, order, ends, base)
+        code_before, row = two_before(data, order, ends, base, depth)
         transforms.append(code_before)
         longer.append(row)
         total += len(data)

@@ -2,7 +2,9 @@
 
 Every window of ``WIDTH`` bytes is assigned to its anchor, the substring of
 ``ANCHOR`` bytes with the least hash in it. Equal windows have equal anchors, so
-anchors deal the work out exactly:
+anchors deal the work out exactly. An anchor is so long that it rarely repeats
+where no window does, however large the table: strings of such an anchor would
+be merged for nothing, and their number grows with the square of the table's:
 
 1. Documents are dealt into groups of a few MB. Each group sends the hashes of
    its anchors to buckets; a bucket tells each group which of them stand in
@@ -37,11 +39,12 @@ from pyspark.sql import functions as F
 from .bwt import least_owners
 from .common import SpanHasher, mix64, read, release
 
-WIDTH, ANCHOR = 50, 16
-#: Bytes of text in a group, and in a bucket's share of the input, on average.
+#: ANCHOR is a multiple of 8.
+WIDTH, ANCHOR = 50, 24
+#: Bytes of text in a group, on average.
 GROUP_BYTES = 4_000_000
-#: Buckets for each group: the transforms merged at a time stay small.
-BUCKETS_PER_GROUP = 4
+#: Groups whose text a bucket of hashes, and one of strings, has as its share of the input. Messages between groups and buckets are fewer with more.
+GROUPS_PER_KEY_BUCKET, GROUPS_PER_BUCKET = 4, 1
 #: Shards whose transforms a bucket merges: each holds the strings of a share of the groups.
 SHARDS = 8
 #: Bits of an anchor's hash that travel; a bucket's number tells the rest. Anchors taken for equal only cost work.
@@ -84,10 +87,12 @@ class Windows:
         if n <= 0:
             return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)
         words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,)).astype(np.uint64)  # 8 bytes from each place
-        grams = words[:-8] * np.uint64(0x9E3779B97F4A7C15)
-        grams ^= grams >> np.uint64(29)
-        grams += words[8:]
-        grams *= np.uint64(0xBF58476D1CE4E5B9)
+        m = len(data) - ANCHOR + 1
+        grams = words[:m] * np.uint64(0x9E3779B97F4A7C15)
+        for at in range(8, ANCHOR, 8):
+            grams ^= grams >> np.uint64(29)
+            grams += words[at : at + m]
+            grams *= np.uint64(0xBF58476D1CE4E5B9)
         grams ^= grams >> np.uint64(32)
         grams *= np.uint64(0x94D049BB133111EB)
         if len(data) >= 1 << 28:
@@ -135,7 +140,8 @@ class Windows:
         a, b = self.starts[runs], self.stops[runs] + WIDTH - 1
         if not len(runs):
             return runs, runs, runs
-        key = _HASHER(self.data, a, b, _TABLE)
+        edges = np.append(np.flatnonzero(np.diff(a // BLOCK_BYTES, prepend=-1)), len(a))  # runs that start in one block of bytes: small tables of powers
+        key = np.concatenate([_HASHER(self.data[a[i] : b[k - 1]], a[i:k] - a[i], b[i:k] - a[i], _TABLE) for i, k in zip(edges[:-1], edges[1:], strict=True)])
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         return runs, runs[first], inverse
 
@@ -231,13 +237,16 @@ def _known(told: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(rows)) if rows else np.zeros(0, dtype=np.uint64)
 
 
-def _submit(buckets: int):
+def _submit(keys: int, buckets: int | None = None):
+    """``keys``: how many buckets of hashes there are; ``buckets``: of strings, as many if not given."""
+    buckets = buckets or keys
+
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows or not told.num_rows:
             return _send([])
         w = Windows(docs)
         g = docs.column("g")[0].as_py()
-        _, first, _ = w.strings(_known(told), buckets)
+        _, first, _ = w.strings(_known(told), keys)
         order, at, names = _by_bucket(w.anchors[first], buckets)
         out = []
         for k, a, b in zip(names, at[:-1], at[1:], strict=True):
@@ -309,7 +318,9 @@ def _answer(table: pa.Table) -> pa.Table:
 _RESULT = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def _remove(buckets: int):
+def _remove(keys: int, buckets: int | None = None):
+    buckets = buckets or keys
+
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _RESULT.empty_table()
@@ -318,7 +329,7 @@ def _remove(buckets: int):
         kinds = np.asarray(told.column("kind")) if told.num_rows else np.zeros(0, dtype=np.int32)
         answers = {b: r for b, r, k in zip(told.column("bucket").to_pylist(), told.column("data").to_pylist(), kinds, strict=True) if k == 1}
         if answers:
-            runs, first, inverse = w.strings(_known(told.filter(pa.array(kinds == 0))), buckets)
+            runs, first, inverse = w.strings(_known(told.filter(pa.array(kinds == 0))), keys)
             order, at, names = _by_bucket(w.anchors[first], buckets)
             counts, lengths, values = [], [], []
             for k in names.tolist():
@@ -341,7 +352,7 @@ def _remove(buckets: int):
             start = w.starts[runs[run]] + offset[take] - offset[edge[mine[run]]]
             np.add.at(change, start, 1)
             np.add.at(change, start + length[take] - 1 + WIDTH, -1)
-        gone = np.cumsum(change[: len(w.data)]) > 0
+        gone = np.cumsum(change[: len(w.data)], dtype=np.int32) > 0
         kept, removed = [], []
         for a, n in zip(w.begin.tolist(), w.sizes.tolist(), strict=True):
             x = gone[a : a + n]
@@ -357,20 +368,28 @@ def _remove(buckets: int):
     return run
 
 
+def key_buckets(groups: int) -> int:
+    return -(-groups // GROUPS_PER_KEY_BUCKET)
+
+
+def string_buckets(groups: int) -> int:
+    return -(-groups // GROUPS_PER_BUCKET)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text's bytes), n_bytes, kept (binary) and removed (array of start, end in bytes) for each row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
-    buckets = groups * BUCKETS_PER_GROUP
+    keys, buckets = key_buckets(groups), string_buckets(groups)
     grouped = rows.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(groups)).alias("g"), "doc_id", "text", "text_hash")
     by_group = grouped.groupBy("g")
-    told = by_group.applyInArrow(_whole(_announce(buckets)), _SENT).groupBy("bucket").applyInArrow(_whole(_repeated), _SENT)
-    sent = by_group.cogroup(told.groupBy("g")).applyInArrow(_whole(_submit(buckets)), _SENT)
+    told = by_group.applyInArrow(_whole(_announce(keys)), _SENT).groupBy("bucket").applyInArrow(_whole(_repeated), _SENT)
+    sent = by_group.cogroup(told.groupBy("g")).applyInArrow(_whole(_submit(keys, buckets)), _SENT)
     answers = sent.groupBy("bucket").applyInArrow(_whole(_answer), _SENT)
     both = told.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)))
-    result = by_group.cogroup(both.groupBy("g")).applyInArrow(_whole(_remove(buckets)), "doc_id long, text_hash long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>")
+    result = by_group.cogroup(both.groupBy("g")).applyInArrow(_whole(_remove(keys, buckets)), "doc_id long, text_hash long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>")
     alone = rows.where("doc_id IS NULL").select("doc_id", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("kept"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"))
     return result.unionByName(alone)
 
